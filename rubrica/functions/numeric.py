@@ -60,5 +60,4 @@ def parse_number(text: Column) -> Column:
 
 def parse_label(text: Column) -> Column:
     """Rubric label: the number truncated toward zero; null where missing or not finite."""
-    number = parse_number(text)
-    return F.when(F.abs(number) < 2147483648.0, number).cast("int")
+    return bind(parse_number(text), lambda x: F.when(F.abs(x) < 2147483648.0, x)).cast("int")

@@ -160,8 +160,9 @@ def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     return F.regexp_replace(out, r"^[^\p{L}\p{N}]*$", "")
 
 
-def early_gate(clean_stimulus: Column, clean_response: Column, normalized: bool = False) -> Column:
-    """0 for an empty response (tested first), 4 for an exact match, -1 to go on.
+def early_gate_score(clean_stimulus: Column, clean_response: Column, normalized: bool = False) -> Column:
+    """Score the gate settles: 0 for an empty response (tested first), 4 for an exact match,
+    null for a pair that goes on.
 
     ``normalized`` says that both texts come from :func:`clean_text` and need no second folding.
     """
@@ -169,11 +170,13 @@ def early_gate(clean_stimulus: Column, clean_response: Column, normalized: bool
     if not normalized:
         stim = normalize_whitespace(coerce_text(stim))
         resp = normalize_whitespace(coerce_text(resp))
-    return (
-        F.when(is_effectively_empty(resp), 0)
-        .when((stim != "") & (stim == resp), 4)
-        .otherwise(-1)
-    )
+    empty = resp == "" if normalized else is_effectively_empty(resp)
+    return F.when(empty, 0).when((stim != "") & (stim == resp), 4)
+
+
+def early_gate(clean_stimulus: Column, clean_response: Column) -> Column:
+    """The gate as 4, 0 or -1 (go on)."""
+    return F.coalesce(early_gate_score(clean_stimulus, clean_response), F.lit(-1))
 
 
 def gate_to_score(gate: Column) -> Column:

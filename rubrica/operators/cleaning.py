@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rubrica.config import CleanConfig
 from rubrica.functions.numeric import parse_label
-from rubrica.functions.text import clean_text, early_gate, gate_to_score
+from rubrica.functions.text import clean_text, early_gate_score
 from rubrica.sources.headers import detect_score_column
 
 
@@ -19,8 +19,8 @@ def preprocess_pairs(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFra
             "clean_response": clean_text(F.col("transcription"), cfg),
         }
     )
-    gate = early_gate(F.col("clean_stimulus"), F.col("clean_response"), normalized=True)
-    return cleaned.withColumn("early_gate_score", gate_to_score(gate))
+    gate = early_gate_score(F.col("clean_stimulus"), F.col("clean_response"), normalized=True)
+    return cleaned.withColumn("early_gate_score", gate)
 
 
 def with_labels(df: DataFrame, score_column: str | None = None) -> DataFrame:

@@ -72,38 +72,37 @@ def lexical_features(
     lexicon: DataFrame | None = None,
     cfg: FeatureConfig = FeatureConfig(),
     broadcast_rows: int = BROADCAST_ROWS,
+    only: Column | None = None,
 ) -> DataFrame:
     """The eight overlap features of ``clean_stimulus`` and ``clean_response``.
 
     Without a lexicon a word is its own lemma, nothing is known to be a content word, and the
     operator is a projection.  With one, the words are looked up and lemmas are counted per
     row of ``key``: rows are shuffled by key once, as text, before they are split into words.
-    Idea units follow the lexicon's part of speech, not the sentence.
+    Idea units follow the lexicon's part of speech, not the sentence.  Rows outside ``only``
+    and rows with an empty text get zeros.
     """
+    wanted = _both_texts() if only is None else only & _both_texts()
     words = {side: lexical.tokens(F.col(side), cfg.number_words) for side in PAIR}
-    zero = F.lit(0)
+    none = F.array().cast("array<string>")
     if lexicon is None:
-        sets = df.withColumns(
-            {f"_{side}": F.when(_both_texts(), words[side]).otherwise(F.array().cast("array<string>")) for side in PAIR}
-        )
+        sets = df.withColumns({f"_{side}": F.when(wanted, words[side]).otherwise(none) for side in PAIR})
         stim, resp = F.col("_clean_stimulus"), F.col("_clean_response")
-        counted = sets.withColumns(
-            {
-                "_lemma_s": F.size(stim),
-                "_lemma_r": F.size(resp),
-                "_lemma_both": F.size(F.array_intersect(stim, resp)),
-                "_idea_s": zero,
-                "_idea_r": zero,
-                "_idea_both": zero,
-            }
-        )
-        return _finish_overlap(counted, df.columns)
+        sizes = {
+            "_lemma_s": F.size(stim),
+            "_lemma_r": F.size(resp),
+            "_lemma_both": F.size(F.array_intersect(stim, resp)),
+        }
+        ideas = {name: F.lit(0) for name in ("_idea_s", "_idea_r", "_idea_both")}
+        return _finish_overlap(sets.withColumns(sizes | ideas), df.columns)
 
     def tagged(side: str) -> Column:
         from_stimulus = F.lit(side == "clean_stimulus")
-        return F.transform(words[side], lambda t: F.struct(t.alias("form"), from_stimulus.alias("in_s")))
+        listed = F.when(F.col("_wanted"), words[side]).otherwise(none)
+        return F.transform(listed, lambda t: F.struct(t.alias("form"), from_stimulus.alias("in_s")))
 
-    rows = df.filter(_both_texts()).select(*key, *PAIR).repartition(*key)
+    # Unwanted rows have no words and vanish here; a filter would repeat the cleaning.
+    rows = df.select(*key, *PAIR, wanted.alias("_wanted")).repartition(*key)
     occurrences = rows.select(*key, F.inline(F.concat(*[tagged(side) for side in PAIR])))
     forms = lexicon.groupBy("form").agg(F.min(F.struct("lemma", "pos", "is_stop")).alias("entry"))
     found = lookup_join(occurrences, forms, ["form"], spread_by=key, broadcast_rows=broadcast_rows)
@@ -303,8 +302,14 @@ def gated_features(
 ) -> DataFrame:
     """Features where the gate left a row open, null features where it settled the score.
 
-    A filter, not a conditional, keeps settled rows away from the models.
+    Word overlap alone is a projection.  Models are kept from settled rows by a filter, as a
+    conditional would not hold them back; ``df`` is then read several times and should be a
+    stored table, or its cleaning is repeated inside every filter.
     """
-    gate = F.col("early_gate_score")
-    open_rows = extract_features(df.filter(gate.isNull()), key, models, cfg)
-    return open_rows.unionByName(df.filter(gate.isNotNull()), allowMissingColumns=True)
+    is_open = F.col("early_gate_score").isNull()
+    names = feature_names(cfg)
+    if set(names) <= set(lexical.LEXICAL_FEATURES) and models.lexicon is None:
+        out = lexical_features(df, key, None, cfg, only=is_open) if names else df
+        return out.withColumns({name: F.when(is_open, F.col(name)) for name in names})
+    open_rows = extract_features(df.filter(is_open), key, models, cfg)
+    return open_rows.unionByName(df.filter(~is_open), allowMissingColumns=True)

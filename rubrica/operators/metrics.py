@@ -13,12 +13,14 @@ EXPERT_QWK = 0.80
 
 
 def confusion_cells(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
-    """Counts ``n`` per (truth ``t``, prediction ``p``); rows without either are left out."""
-    keys = by or []
-    rows = df.dropna(subset=[truth, pred])
-    return rows.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(
-        F.count("*").alias("n")
-    )
+    """Counts ``n`` per (truth ``t``, prediction ``p``); rows without either are left out.
+
+    They are left out by their count, after grouping: a filter on the prediction would be
+    pushed below the scoring and would score every row a second time.
+    """
+    keys, both = by or [], F.col("t").isNotNull() & F.col("p").isNotNull()
+    named = df.select(*keys, F.col(truth).alias("t"), F.col(pred).alias("p"))
+    return named.groupBy(*keys, "t", "p").agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
 
 
 def _cells(df: DataFrame, truth: str, pred: str, by: list[str] | None) -> DataFrame:
@@ -35,14 +37,23 @@ def evaluate(df: DataFrame, truth: str, pred: str, by: list[str] | None = None)
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str, labels=RUBRIC) -> DataFrame:
-    """One row per label of truth, one column per label of prediction, zeros kept."""
-    counted = (
-        df.filter(F.col(truth).isin(*labels))
-        .groupBy(F.col(truth).cast("int").alias("truth"))
-        .agg(*[F.count_if(F.col(pred) == label).alias(f"pred_{label}") for label in labels])
+    """One row per label of truth, one column per label of prediction, zeros kept.
+
+    A single aggregate without keys: every task sends one row of counts.
+    """
+    cell = "n_{}_{}".format
+    counts = df.agg(
+        *[
+            F.count_if((F.col(truth) == i) & (F.col(pred) == j)).alias(cell(i, j))
+            for i in labels
+            for j in labels
+        ]
     )
-    frame = df.sparkSession.createDataFrame([(label,) for label in labels], "truth int")
-    return frame.join(F.broadcast(counted), "truth", "left").fillna(0)
+    rows = [
+        F.struct(F.lit(i).alias("truth"), *[F.col(cell(i, j)).alias(f"pred_{j}") for j in labels])
+        for i in labels
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def classification_report(df: DataFrame, truth: str, pred: str, labels=RUBRIC) -> DataFrame:
@@ -90,8 +101,8 @@ def classification_report(df: DataFrame, truth: str, pred: str, labels=RUBRIC) -
 def error_profile(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Rows by distance between truth and prediction."""
     distance = F.abs(F.col(truth) - F.col(pred)).cast("int")
-    rows = df.dropna(subset=[truth, pred])
-    return rows.groupBy(distance.alias("off_by")).agg(F.count("*").alias("n"))
+    counts = df.select(distance.alias("off_by")).groupBy("off_by").agg(F.count("off_by").alias("n"))
+    return counts.filter(F.col("n") > 0)
 
 
 def agreement_level(qwk: Column) -> Column:

@@ -11,7 +11,7 @@ from rubrica.functions.text import profile_text
 
 def label_distribution(df: DataFrame, label: str = "human_score") -> DataFrame:
     """Count and percentage of each label; unlabelled rows are left out."""
-    counts = df.dropna(subset=[label]).groupBy(label).agg(F.count("*").alias("n"))
+    counts = df.groupBy(label).agg(F.count(label).alias("n")).filter(F.col("n") > 0)
     # One row per label is left, so the window over all of them is small.
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("percent", round4(F.lit(100.0) * F.col("n") / total))

@@ -23,6 +23,7 @@ from rubrica.functions.text import clean_text, early_gate
 from rubrica.functions.vectors import cosine
 from rubrica.operators import cleaning, features, heuristic, metrics, ordering, ordinal, profile, split, thresholds
 from rubrica.plans import experiment, fixtures
+from rubrica.session import materialize
 from rubrica.sources import sheets
 from rubrica.sources.artifacts import report_table, validation_predictions
 
@@ -196,8 +197,8 @@ def _overlap(df: DataFrame, key: list[str], words: DataFrame | None = None) -> D
 
 @query
 def lemma_overlap(spark, sf):
-    cleaned = _cleaned(spark, sf).select(*ROW, *features.PAIR)
-    return _overlap(cleaned, ROW, fixtures.lexicon(cleaned))
+    cleaned = materialize(_cleaned(spark, sf).select(*ROW, *features.PAIR), "cleaned")
+    return _overlap(cleaned, ROW, materialize(fixtures.lexicon(cleaned), "lexicon"))
 
 
 @query
@@ -218,9 +219,9 @@ def vector_cosine(spark, sf):
 
 @query
 def hash_embed_cosine(spark, sf):
-    gate = F.col("early_gate_score")
-    pairs = _cleaned(spark, sf).filter(gate.isNull()).select(*features.PAIR).distinct()
-    return features.vector_similarity(pairs, features.hashed_embedder())
+    cleaned = materialize(_cleaned(spark, sf), "cleaned")
+    pairs = cleaned.filter(F.col("early_gate_score").isNull()).select(*features.PAIR).distinct()
+    return features.vector_similarity(materialize(pairs, "pairs"), features.hashed_embedder())
 
 
 @query
@@ -246,7 +247,7 @@ def gated_features(spark, sf):
 @query
 def model_features(spark, sf):
     """All engines, with the built-in stand-in models, on the rows the gate leaves open."""
-    routed = features.gated_features(_cleaned(spark, sf), ROW)
+    routed = features.gated_features(materialize(_cleaned(spark, sf), "cleaned"), ROW)
     return routed.select(*ROW, "early_gate_score", *features.feature_names(FeatureConfig()))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rubrica.functions.binding import bind
 from rubrica.functions.text import clean_text
 
 
@@ -19,21 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet per document, one item per sentence, the answer being one of eight variants:
     exact, noisy, gibberish, cut short, restarted, cut shorter, another sentence, blank."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        "lang",
-        "source",
-        F.split("text", r"[.!?\n]+", -1).alias("sentences"),
-    )
-    items = docs.select(
-        "doc_id", "lang", "source", "sentences", F.posexplode("sentences").alias("pos", "sent")
-    ).select(
-        "doc_id",
-        "lang",
-        "source",
-        "pos",
-        "sent",
-        F.get("sentences", F.col("pos") + 1).alias("other"),
+    docs = table(spark, sf_dir, "documents")
+
+    def with_next(sentences: Column) -> Column:
+        return F.transform(
+            sentences,
+            lambda x, i: F.struct(i.alias("pos"), x.alias("sent"), F.get(sentences, i + 1).alias("other")),
+        )
+
+    sentences = bind(F.split("text", r"[.!?\n]+", -1), with_next)
+    items = docs.select("doc_id", "lang", "source", F.inline(sentences)).select(
+        "*",
         F.length("sent").alias("len"),
         F.pmod(F.col("doc_id") + F.col("pos"), F.lit(8)).alias("v"),
     )

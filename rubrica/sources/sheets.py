@@ -182,23 +182,25 @@ def flag_rows(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) ->
     The item suffix goes after the blank check, so ``(7)`` survives as an empty stimulus.
     """
     low, high = cfg.allowed_score_range
-    stim, resp, score = F.col("stimulus"), F.col("transcription"), F.col("human_score")
-    out_of_range = (score < low) | (score > high) if role == "tuning" else F.lit(False)
-    typed = rows.select(
+    stim, resp = (F.col(c).cast("string") for c in ("stimulus", "transcription"))
+    score = parse_number(F.col("human_score"))
+    has_text = rf"(?U)[^{SPACE}]"
+    # On the raw texts, so that a filter on the reason does not repeat the cleaning.
+    reason = F.when(stim.isNull() | resp.isNull(), "missing").when(
+        ~(stim.rlike(has_text) & resp.rlike(has_text)), "blank"
+    )
+    if role == "tuning":
+        reason = reason.when(~score.between(low, high), "out_of_range")
+    return rows.select(
         participant_id(F.col("sheet_name")).alias("participant_id"),
         "sheet_ordinal",
         "sheet_name",
         "row_ordinal",
-        strip(stim.cast("string")).alias("stimulus"),
-        strip(resp.cast("string")).alias("transcription"),
-        parse_number(score).alias("human_score"),
-    )
-    reason = (
-        F.when(stim.isNull() | resp.isNull(), "missing")
-        .when((stim == "") | (resp == ""), "blank")
-        .when(out_of_range, "out_of_range")
+        strip_item_suffix(strip(stim)).alias("stimulus"),
+        strip(resp).alias("transcription"),
+        score.alias("human_score"),
+        reason.alias("drop_reason"),
     )
-    return typed.withColumn("drop_reason", reason).withColumn("stimulus", strip_item_suffix(stim))
 
 
 def standardize(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) -> DataFrame:
