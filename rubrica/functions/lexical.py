@@ -20,19 +20,16 @@ LEXICAL_FEATURES = (
 )
 
 
-def is_number_like(token: Column, words: tuple[str, ...] = NUMBER_WORDS) -> Column:
-    digits = F.regexp_replace(F.regexp_replace(token, r"^[+\-±~]", ""), "[,.]", "")
-    ratio = token.rlike(r"^[+\-±~]?\p{Nd}+/\p{Nd}+$")
-    return digits.rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$") | ratio | digits.isin(*words)
+# Bare punctuation, digits with signs and separators, and fractions, as whole words.
+_DIGIT = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
+_NO_WORD = rf"(?:\p{{P}}+|[+\-±~]?[,.]*[{_DIGIT}][{_DIGIT},.]*|[+\-±~]?\p{{Nd}}+/\p{{Nd}}+)"
+_DROPPED = rf"(?=[\p{{P}}\p{{N}}+±~])(?<![^ ]){_NO_WORD}(?![^ ])"
 
 
 def tokens(text: Column, number_words: tuple[str, ...] = NUMBER_WORDS) -> Column:
     """Distinct words of cleaned text, without bare punctuation and number-like words."""
-
-    def keep(token: Column) -> Column:
-        return token.rlike(r"[^\p{P}]") & ~is_number_like(token, number_words)
-
-    return F.filter(F.array_distinct(F.split(text, " ")), keep)
+    words = F.array_distinct(F.split(F.regexp_replace(text, _DROPPED, ""), " "))
+    return F.filter(words, lambda word: ~word.isin("", *number_words))
 
 
 def _share(part: Column, whole: Column) -> Column:

@@ -40,10 +40,16 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"(?U)[{SPACE}]+", " "))
 
 
+def _any_of(patterns: list[str], words: tuple[str, ...]) -> str:
+    """Alternation that looks at the first character before trying any pattern."""
+    first = "".join(sorted({re.escape(w[0]) for w in words}))
+    return f"(?iu)(?=[{first}])(?:{'|'.join(patterns)})"
+
+
 def remove_noise_tags(c: Column, tags: tuple[str, ...]) -> Column:
     if not tags:
         return c
-    return F.regexp_replace(c, "(?iu)" + "|".join(re.escape(t) for t in tags), " ")
+    return F.regexp_replace(c, _any_of([re.escape(t) for t in tags], tags), " ")
 
 
 def _bounded(marker: str) -> str:
@@ -57,7 +63,7 @@ def _bounded(marker: str) -> str:
 def remove_gibberish(c: Column, markers: tuple[str, ...]) -> Column:
     if not markers:
         return c
-    return F.regexp_replace(c, "(?iu)" + "|".join(_bounded(m) for m in markers), " ")
+    return F.regexp_replace(c, _any_of([_bounded(m) for m in markers], markers), " ")
 
 
 def remove_restarts(c: Column) -> Column:
@@ -75,26 +81,25 @@ def remove_punctuation(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _base_letters() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters whose canonical decomposition, less its marks, is another letter or letters.
+def _base_letters() -> dict[str, str]:
+    """Letters and what is left of their canonical decomposition without its marks.
 
-    Built from the Unicode database: two parallel strings for ``translate`` and the few
-    letters that decompose into several base characters.
+    Built from the Unicode database; syllable blocks follow a rule of their own.
     """
-    source, target, several = [], [], []
+    base = {}
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or HANGUL_FIRST <= code <= HANGUL_LAST:
-            continue
         ch = chr(code)
-        if unicodedata.category(ch) == "Mn" or not unicodedata.decomposition(ch):
+        if HANGUL_FIRST <= code <= HANGUL_LAST or not unicodedata.decomposition(ch):
             continue
-        base = "".join(p for p in unicodedata.normalize("NFD", ch) if unicodedata.category(p) != "Mn")
-        if len(base) == 1 and base != ch:
-            source.append(ch)
-            target.append(base)
-        elif len(base) > 1:
-            several.append((ch, base))
-    return "".join(source), "".join(target), tuple(several)
+        parts = unicodedata.normalize("NFD", ch)
+        letters = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+        if letters and letters != ch:
+            base[ch] = letters
+    return base
+
+
+def _translate(c: Column, table: dict[str, str]) -> Column:
+    return F.translate(c, "".join(table), "".join(table.values()))
 
 
 def _decompose_hangul(c: Column) -> Column:
@@ -119,22 +124,33 @@ def _decompose_hangul(c: Column) -> Column:
 def remove_accents(c: Column) -> Column:
     """Canonical decomposition without the combining marks: ``está`` becomes ``esta``.
 
-    Plain ASCII text is passed through; the rare branches run only on rows that need them.
+    ASCII text is passed through and Latin letters take one look-up each; the full table, marks
+    standing alone and syllable blocks are tried only on rows with other scripts.
     """
-    source, target, several = _base_letters()
-    hangul = f"{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}"
-    rare = "[" + hangul + "".join(ch for ch, _ in several) + "]"
+    table = _base_letters()
+    single = {ch: base for ch, base in table.items() if len(base) == 1}
+    latin = {ch: base for ch, base in single.items() if ch < "\u0250" or "\u1e00" <= ch <= "\u1eff"}
+
+    several = {ch: base for ch, base in table.items() if len(base) > 1}
+    rare = f"[{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}{''.join(several)}]"
 
     def expand(text: Column) -> Column:
-        for ch, base in several:
+        for ch, base in several.items():
             text = F.replace(text, F.lit(ch), F.lit(base))
         return _decompose_hangul(text)
 
+    def all_scripts(text: Column) -> Column:
+        out = F.regexp_replace(_translate(text, single), r"\p{Mn}+", "")
+        return bind(out, lambda t: F.when(t.rlike(rare), expand(t)).otherwise(t))
+
     def fold(text: Column) -> Column:
-        letters = F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
-        return bind(letters, lambda t: F.when(t.rlike(rare), expand(t)).otherwise(t))
+        return (
+            F.when(F.length(text) == F.octet_length(text), text)
+            .when(text.rlike(r"[^\x00-\u024f\u1e00-\u1eff]"), all_scripts(text))
+            .otherwise(_translate(text, latin))
+        )
 
-    return bind(c, lambda t: F.when(F.length(t) == F.octet_length(t), t).otherwise(fold(t)))
+    return bind(c, fold)
 
 
 def is_effectively_empty(c: Column) -> Column:
@@ -149,7 +165,7 @@ def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     out = remove_noise_tags(out, cfg.noise_tags)
     out = remove_gibberish(out, cfg.gibberish_markers)
     # Stutters are the one-letter case of restarts, so one pass does both.
-    out = remove_restarts(out)
+    out = bind(out, lambda t: F.when(t.contains("-"), remove_restarts(t)).otherwise(t))
     if cfg.remove_punctuation:
         # Punctuation becomes a space and spaces are folded: one pass for both rules.
         out = F.regexp_replace(out, rf"[^{WORD}]+", " ")

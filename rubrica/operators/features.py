@@ -19,7 +19,7 @@ from rubrica.config import FeatureConfig
 from rubrica.functions import lexical
 from rubrica.functions.pairs import NLI_FEATURES, joint_similarity, label_positions, nli_columns, softmax
 from rubrica.functions.vectors import cosine
-from rubrica.operators.lookup import BROADCAST_ROWS, lookup_join
+from rubrica.operators.lookup import fits_broadcast, lookup_join
 from rubrica.session import materialize
 
 PAIR = ["clean_stimulus", "clean_response"]
@@ -71,14 +71,14 @@ def lexical_features(
     key: list[str],
     lexicon: DataFrame | None = None,
     cfg: FeatureConfig = FeatureConfig(),
-    broadcast_rows: int = BROADCAST_ROWS,
     only: Column | None = None,
 ) -> DataFrame:
     """The eight overlap features of ``clean_stimulus`` and ``clean_response``.
 
     Without a lexicon a word is its own lemma, nothing is known to be a content word, and the
     operator is a projection.  With one, the words are looked up and lemmas are counted per
-    row of ``key``: rows are shuffled by key once, as text, before they are split into words.
+    row of ``key``.  Where the lexicon can be broadcast, rows are shuffled by key once, as text,
+    before they are split into words, and both counts follow without another shuffle.
     Idea units follow the lexicon's part of speech, not the sentence.  Rows outside ``only``
     and rows with an empty text get zeros.
     """
@@ -102,15 +102,16 @@ def lexical_features(
         return F.transform(listed, lambda t: F.struct(t.alias("form"), from_stimulus.alias("in_s")))
 
     # Unwanted rows have no words and vanish here; a filter would repeat the cleaning.
-    rows = df.select(*key, *PAIR, wanted.alias("_wanted")).repartition(*key)
+    rows = df.select(*key, *PAIR, wanted.alias("_wanted"))
+    small = fits_broadcast(lexicon)
+    rows = rows.repartition(*key) if small else rows
     occurrences = rows.select(*key, F.inline(F.concat(*[tagged(side) for side in PAIR])))
-    forms = lexicon.groupBy("form").agg(F.min(F.struct("lemma", "pos", "is_stop")).alias("entry"))
-    found = lookup_join(occurrences, forms, ["form"], spread_by=key, broadcast_rows=broadcast_rows)
+    found = lookup_join(occurrences, lexicon, ["form"], spread_by=key, small_fits=small)
 
-    listed = F.lower(F.trim(F.coalesce(F.col("entry.lemma"), F.col("form"))))
-    content = F.coalesce(F.col("entry.pos").isin(*cfg.content_pos), F.lit(False))
+    listed = F.lower(F.trim(F.coalesce(F.col("lemma"), F.col("form"))))
+    content = F.coalesce(F.col("pos").isin(*cfg.content_pos), F.lit(False))
     if cfg.remove_stopwords_for_ideas:
-        content = content & ~F.coalesce(F.col("entry.is_stop"), F.lit(False))
+        content = content & ~F.coalesce(F.col("is_stop"), F.lit(False))
     units = found.select(
         *key,
         F.when(listed == "-pron-", F.col("form")).otherwise(listed).alias("lemma"),

@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows up to which the smaller side is broadcast; checked by a count before planning.
-BROADCAST_ROWS = 200_000
+from rubrica.session import materialize
+
+# Bytes of values up to which the smaller side is broadcast; summed up before planning.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A key counts as hot when it holds more than this share of the large side, so there are
 # fewer hot keys than 1 / share.
 HOT_SHARE = 1 / 1024
 HOT_COPIES = 64
 
 
+def _bytes_of(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, T.ArrayType):
+        return F.coalesce(F.size(column), F.lit(0)) * 8
+    return F.lit(8)
+
+
+def fits_broadcast(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of ``small`` add up to few enough bytes (one distributed count)."""
+    row = sum((_bytes_of(f) for f in small.schema.fields), F.lit(0).cast("long"))
+    return (small.agg(F.sum(row)).first()[0] or 0) <= max_bytes
+
+
 def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], small_fits: bool | None = None
 ) -> DataFrame:
     """Left join of ``big`` to ``small`` (at most one row per key in ``small``).
 
     A small side of checked size is broadcast.  Beyond that both sides are shuffled, and the
     rows of hot keys are spread over ``HOT_COPIES`` sub-keys by the hash of ``spread_by``,
-    against as many copies of the few rows they meet.
+    against as many copies of the few rows they meet.  ``big`` is then read twice, once to
+    count its keys.  ``small_fits`` is the outcome of the size check where it is known.
     """
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), on, "left")
-    counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
+    counts = materialize(big.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.filter(F.col("_n") > total * HOT_SHARE).select(*on, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)  # fewer than 1 / HOT_SHARE rows

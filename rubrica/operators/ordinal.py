@@ -159,7 +159,6 @@ def _estimator(cfg: OrdinalConfig, n: int):
         elasticNetParam=0.0,
         standardization=False,
         maxIter=cfg.lr_max_iter,
-        tol=1e-7,
         **shared,
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rubrica.config import RUBRIC, ThresholdSearchConfig, check_cuts
 from rubrica.functions.agreement import weighted_kappa
+from rubrica.functions.binding import bind
 from rubrica.functions.numeric import clamp01
 from rubrica.operators.heuristic import to_rubric
 from rubrica.operators.metrics import evaluate
@@ -49,31 +50,38 @@ def score_histogram(df: DataFrame, raw: str, label: str) -> DataFrame:
 
 
 def running_counts(histogram: DataFrame) -> DataFrame:
-    """Per cut value ``bin`` (0 to 10,000): rows of each label below it (``c0`` to ``c4``) and
-    in all (``n0`` to ``n4``)."""
+    """Per cut value ``bin`` (0 to 10,000) the rows of each label ``below`` it, and the ``total``
+    of each label: arrays in label order."""
     wide = histogram.groupBy("bin").agg(
         *[F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"b{y}") for y in RUBRIC]
     )
     bins = histogram.sparkSession.range(SCALE + 1).select(F.col("id").cast("int").alias("bin"))
     dense = bins.join(F.broadcast(wide), "bin", "left").fillna(0)
     # At most 10,001 rows, whatever the size of the data.
-    below = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
     return dense.select(
         "bin",
-        *[F.coalesce(F.sum(f"b{y}").over(below), F.lit(0)).alias(f"c{y}") for y in RUBRIC],
-        *[F.sum(f"b{y}").over(whole).alias(f"n{y}") for y in RUBRIC],
+        F.array(*[F.coalesce(F.sum(f"b{y}").over(before), F.lit(0)) for y in RUBRIC]).alias("below"),
+        F.array(*[F.sum(f"b{y}").over(whole) for y in RUBRIC]).alias("total"),
     )
 
 
-def _kappa(below: Sequence[Sequence[Column]], totals: Sequence[Column]) -> Column:
-    """QWK from the counts of each label below each of the four cuts."""
-    cells = []
-    for y in RUBRIC:
-        edges = [F.lit(0), *[cut[y] for cut in below], totals[y]]
-        for p, (low, high) in enumerate(zip(edges, edges[1:])):
-            cells.append(F.struct(F.lit(y).alias("t"), F.lit(p).alias("p"), (high - low).cast("long").alias("n")))
-    return weighted_kappa(F.filter(F.array(*cells), lambda c: c["n"] > 0))
+def _kappa(below: Sequence[Column], total: Column) -> Column:
+    """QWK from the counts of each label below each of the four cuts.
+
+    Label y gets grade p as often as it lies between cut p and cut p + 1.
+    """
+    edges = [F.transform(total, lambda _: F.lit(0).cast("long")), *below, total]
+
+    def cells_of(steps: Column) -> Column:
+        def cell(y: Column, p: Column) -> Column:
+            return F.struct(y.alias("t"), p.alias("p"), (steps[p + 1][y] - steps[p][y]).alias("n"))
+
+        labels = F.array(*[F.lit(y) for y in RUBRIC])
+        return F.flatten(F.transform(labels, lambda y: F.transform(labels, lambda p: cell(y, p))))
+
+    return weighted_kappa(F.filter(bind(F.array(*edges), cells_of), lambda c: c["n"] > 0))
 
 
 def _bins(low: float, high: float, step: float) -> list[int]:
@@ -93,18 +101,14 @@ def grid_candidates(cfg: ThresholdSearchConfig) -> list[tuple[int, ...]]:
 
 def score_candidates(running: DataFrame, cfg: ThresholdSearchConfig) -> DataFrame:
     """Grid cuts (as bins ``t1`` to ``t4``) with their ``qwk``; null where it is 0/0."""
-    spark = running.sparkSession
     candidates = grid_candidates(cfg)
-    out = spark.createDataFrame(candidates, ", ".join(f"{t} int" for t in CUTS))
-    wanted = sorted({b for cuts in candidates for b in cuts})
-    at_cut = running.filter(F.col("bin").isin(wanted))
-    for i, cut in enumerate(CUTS):
-        totals = [F.col(f"n{y}") for y in RUBRIC] if i == 0 else []
-        below = [F.col(f"c{y}").alias(f"{cut}_c{y}") for y in RUBRIC]
-        # One row per grid value.
-        out = out.join(F.broadcast(at_cut.select(F.col("bin").alias(cut), *below, *totals)), cut)
-    below = [[F.col(f"{cut}_c{y}") for y in RUBRIC] for cut in CUTS]
-    return out.select(*CUTS, _kappa(below, [F.col(f"n{y}") for y in RUBRIC]).alias("qwk"))
+    out = running.sparkSession.createDataFrame(candidates, ", ".join(f"{t} int" for t in CUTS))
+    at_cut = running.filter(F.col("bin").isin(sorted({b for cuts in candidates for b in cuts})))
+    for cut in CUTS:
+        total = ["total"] if cut == CUTS[0] else []
+        counts = at_cut.select(F.col("bin").alias(cut), F.col("below").alias(f"below_{cut}"), *total)
+        out = out.join(F.broadcast(counts), cut)  # one row per grid value
+    return out.select(*CUTS, _kappa([F.col(f"below_{t}") for t in CUTS], F.col("total")).alias("qwk"))
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
@@ -125,11 +129,10 @@ def _improve(running: DataFrame, held: list[Row], i: int, cfg: ThresholdSearchCo
     low = max(low, held[i - 1]["bin"] + 1 if i > 0 else 0)
     high = min(high, held[i + 1]["bin"] - 1 if i + 1 < len(held) else SCALE)
     below = [
-        [F.col(f"c{y}") if k == i else F.lit(row[f"c{y}"]) for y in RUBRIC] for k, row in enumerate(held)
+        F.col("below") if k == i else F.array(*[F.lit(n) for n in row["below"]])
+        for k, row in enumerate(held)
     ]
-    scored = running.filter(F.col("bin").between(low, high)).withColumn(
-        "qwk", _kappa(below, [F.col(f"n{y}") for y in RUBRIC])
-    )
+    scored = running.filter(F.col("bin").between(low, high)).withColumn("qwk", _kappa(below, F.col("total")))
     rank = F.struct(F.col("qwk"), -F.abs(F.col("bin") - held[i]["bin"]), -F.col("bin"))
     best = F.max_by(F.struct(*scored.columns), rank)
     return scored.filter(F.col("qwk").isNotNull()).agg(best.alias("best")).first()["best"]

@@ -134,14 +134,14 @@ def sample_head(spark, sf):
 
 @query
 def clean_documents(spark, sf):
-    docs = fixtures.table(spark, sf, "documents")
+    docs = fixtures.spread_table(spark, sf, "documents", "doc_id", ["doc_id", "text"])
     clean = docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
     return clean.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n_clean"))
 
 
 @query
 def clean_pages(spark, sf):
-    pages = fixtures.table(spark, sf, "pages")
+    pages = fixtures.spread_table(spark, sf, "pages", "page_id", ["page_id", "html"])
     clean = pages.select("page_id", clean_text(F.col("html")).alias("clean"))
     return clean.select("page_id", F.md5("clean").alias("digest"), F.length("clean").alias("n_clean"))
 
@@ -150,7 +150,7 @@ def clean_pages(spark, sf):
 def clean_keep_accents(spark, sf):
     """Accents and case kept, punctuation removed."""
     cfg = CleanConfig(lowercase=False, normalize_accents=False)
-    docs = fixtures.table(spark, sf, "documents")
+    docs = fixtures.spread_table(spark, sf, "documents", "doc_id", ["doc_id", "text"])
     clean = docs.select("doc_id", clean_text(F.col("text"), cfg).alias("clean"))
     return clean.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n_clean"))
 

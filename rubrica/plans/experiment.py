@@ -40,9 +40,12 @@ def process_dataset(
     pairs: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), models: Models = Models()
 ) -> DataFrame:
     """Labels, cleaned texts, gate and features of every pair, numbered in sheet order."""
-    cleaned = preprocess_pairs(with_labels(pairs), cfg.clean)
+
+    def clean(rows: DataFrame) -> DataFrame:
+        return preprocess_pairs(with_labels(rows), cfg.clean)
+
     # The numbering writes the cleaned table, which the feature engines then read.
-    indexed = with_row_index(cleaned, [c for c in ORDER if c in pairs.columns])
+    indexed = with_row_index(pairs, [c for c in ORDER if c in pairs.columns], then=clean)
     features = gated_features(indexed, ["row_index"], models, cfg.features)
     return audit_table(features, feature_names(cfg.features))
 

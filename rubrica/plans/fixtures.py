@@ -13,14 +13,28 @@ from rubrica.functions.binding import bind
 from rubrica.functions.text import clean_text
 
 
+# Below this many bytes per task slot a table may come as a single row group, that is, one task.
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str]) -> DataFrame:
+    """``columns`` of a table for heavy work per row: a table too small to occupy all task
+    slots by itself is spread over them, a larger one is read as it is."""
+    rows = table(spark, sf_dir, name).select(*columns)
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    size = files.agg(F.sum("length")).first()[0]
+    return rows.repartition(4 * slots, key) if size < slots * SPREAD_BYTES else rows
+
+
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet per document, one item per sentence, the answer being one of eight variants:
     exact, noisy, gibberish, cut short, restarted, cut shorter, another sentence, blank."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "lang", "source", "text"])
 
     def with_next(sentences: Column) -> Column:
         return F.transform(
