@@ -143,8 +143,8 @@ def fit_thresholds(
 ) -> tuple[list[float], float | None]:
     """Cut points and their QWK: best of the grid, then one cut after the other to 4 decimals.
 
-    Passes end when one brings no gain, or after ``maxiter`` of them.  The QWK is that of the
-    returned cuts.  Where no candidate has a QWK the initial guess comes back.
+    The search ends when no cut brings a gain any more, or after ``maxiter`` rounds.  The QWK is
+    that of the returned cuts.  Where no candidate has a QWK the initial guess comes back.
     """
     check_fit_rows(df, label)
     running = materialize(running_counts(score_histogram(df, raw, label)), "running-counts")
@@ -153,14 +153,14 @@ def fit_thresholds(
         return list(cfg.initial), None
     bins = [round(start[t] * SCALE) for t in CUTS]
     held = running.filter(F.col("bin").isin(bins)).orderBy("bin").collect()  # four rows
-    best = start["qwk"]
-    for _ in range(cfg.maxiter):
-        before = best
-        for i in range(len(held)):
-            found = _improve(running, held, i, cfg)
-            if found is not None and found["qwk"] > best:
-                held[i], best = found, found["qwk"]
-        if best <= before:
+    best, without_gain = start["qwk"], 0
+    for i in itertools.islice(itertools.cycle(range(len(held))), cfg.maxiter * len(held)):
+        found = _improve(running, held, i, cfg)
+        if found is not None and found["qwk"] > best:
+            held[i], best, without_gain = found, found["qwk"], 1
+        else:
+            without_gain += 1
+        if without_gain >= len(held):
             break
     return [row["bin"] / SCALE for row in held], best
 
