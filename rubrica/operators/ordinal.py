@@ -23,6 +23,8 @@ from rubrica.functions.numeric import round4, safe_value
 from rubrica.functions.ordinal import class_probabilities, logistic, most_likely
 from rubrica.operators.metrics import evaluate
 
+ROWS_PER_TASK = 65_536
+
 BinaryModel = LogisticRegressionModel | RandomForestClassificationModel
 
 
@@ -166,7 +168,8 @@ def _estimator(cfg: OrdinalConfig, n: int):
 def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
     """Fit ``y > class`` for every class but the last, with balanced class weights."""
     table = training_table(df, label, cfg)
-    sizes = {r["_label"]: r["n"] for r in table.groupBy("_label").agg(F.sum("n").alias("n")).collect()}
+    by_label = table.groupBy("_label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = {r["_label"]: r["n"] for r in by_label}
     if not sizes:
         raise ValueError("no labelled rows to train on")
     if not set(sizes) <= set(RUBRIC):
@@ -177,8 +180,10 @@ def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig =
     n = sum(sizes.values())
 
     assembled = VectorAssembler(inputCols=list(cfg.features), outputCol="_features").transform(table)
-    # Read once per iteration of every fit.
-    train = assembled.select("_features", "_label", "n").persist()
+    # Read once per iteration of every fit, so small tables are kept in few tasks; coalescing
+    # to more partitions than there are changes nothing.
+    tasks = max(1, sum(r["rows"] for r in by_label) // ROWS_PER_TASK)
+    train = assembled.select("_features", "_label", "n").coalesce(tasks).persist()
     try:
 
         def fit(boundary: int) -> BinaryModel:

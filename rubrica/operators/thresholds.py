@@ -147,7 +147,9 @@ def fit_thresholds(
     that of the returned cuts.  Where no candidate has a QWK the initial guess comes back.
     """
     check_fit_rows(df, label)
-    running = materialize(running_counts(score_histogram(df, raw, label)), "running-counts")
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    running = running_counts(score_histogram(df, raw, label)).repartition(min(slots, 16))
+    running = materialize(running, "running-counts")
     start = best_candidate(score_candidates(running, cfg)).first()
     if start["qwk"] is None:
         return list(cfg.initial), None
