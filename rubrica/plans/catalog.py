@@ -231,6 +231,14 @@ def pair_margin(spark, sf):
     return outputs.select("vec_id", *nli_columns(F.col("p"), positions))
 
 
+@query
+def shared_word_margin(spark, sf):
+    """The pair-model slot on distinct open pairs, with the stand-in that counts shared words."""
+    cleaned = materialize(_cleaned(spark, sf), "cleaned")
+    pairs = cleaned.filter(F.col("early_gate_score").isNull() & (F.col("clean_stimulus") != ""))
+    return features.nli_features(pairs.select(*features.PAIR).distinct(), features.overlap_pair_model())
+
+
 @query
 def joint_pair_similarity(spark, sf):
     outputs = fixtures.model_outputs(spark, sf)

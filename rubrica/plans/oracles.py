@@ -484,6 +484,21 @@ SELECT vec_id, {r4('pe')} AS nli_entailment, {r4('pn')} AS nli_neutral, {r4('pc'
     sql["joint_pair_similarity"] = f"""WITH {outputs},
 clamped AS (SELECT vec_id, least(1e0, greatest(0e0, score)) AS x FROM outputs)
 SELECT vec_id, {r4('x')} AS cross_encoder_similarity FROM clamped"""
+    sql["shared_word_margin"] = f"""WITH {CLEANED},
+open_pairs AS (
+  SELECT DISTINCT clean_stimulus, clean_response, list_distinct(string_split(clean_stimulus, ' ')) AS s,
+    list_distinct(string_split(clean_response, ' ')) AS r
+  FROM cleaned WHERE early_gate_score IS NULL AND clean_stimulus <> ''
+),
+leaned AS (SELECT *, 4e0 * (len(list_intersect(s, r))::DOUBLE / len(s)) - 2e0 AS lean FROM open_pairs),
+powers AS (
+  SELECT *, exp(lean - greatest(lean, 0e0, -lean)) AS a, exp(0e0 - greatest(lean, 0e0, -lean)) AS b,
+    exp(-lean - greatest(lean, 0e0, -lean)) AS c FROM leaned
+),
+probs AS (SELECT *, a / ((a + b) + c) AS pe, b / ((a + b) + c) AS pn, c / ((a + b) + c) AS pc FROM powers),
+margins AS (SELECT *, pe - pc AS m FROM probs)
+SELECT clean_stimulus, clean_response, {r4('pe')} AS nli_entailment, {r4('pn')} AS nli_neutral,
+  {r4('pc')} AS nli_contradiction, {r4('m')} AS nli_margin FROM margins"""
     gated_columns = ", ".join(
         f"CASE WHEN early_gate_score IS NULL THEN {c.strip()} END AS {c.strip()}" for c in LEXICAL.split(",")
     )

@@ -106,11 +106,36 @@ def codec_for(path: str) -> Codec:
     return workbook_codec if path.lower().endswith((".xlsx", ".xlsm")) else csv_codec
 
 
-def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame | None:
+SHEET_LIST_SCHEMA = "path string, sheet_ordinal int, sheet_name string, status string, n_rows long"
+
+
+def _sheets_in(
+    batches: Iterator[pd.DataFrame], codec: Codec | None
+) -> Iterator[tuple[str, int, str, pd.DataFrame | None]]:
+    """Every sheet of every file in the batches; a file that cannot be read has no frame."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                sheets = (codec or codec_for(path))(path, bytes(content))
+            except Exception:
+                logger.exception("could not read %s", path)
+                yield path, 0, "", None
+                continue
+            for ordinal, (name, frame) in enumerate(sheets.items()):
+                yield path, ordinal, name, frame
+
+
+def _status(name: str, frame: pd.DataFrame | None) -> str:
+    if frame is None:
+        return "unreadable"
+    if any(token in name.lower().strip() for token in IGNORED_SHEETS):
+        return "ignored"
+    mapped = {"stimulus", "transcription"} <= map_headers(frame.columns).keys()
+    return "read" if mapped else "no_text_columns"
+
+
+def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame:
     fields = map_headers(frame.columns)
-    if not {"stimulus", "transcription"} <= fields.keys():
-        logger.warning("sheet %r skipped: no stimulus or no transcription column", name)
-        return None
     out = pd.DataFrame({"row_ordinal": range(len(frame))}, dtype="int64")
     for field in ("stimulus", "transcription", "human_score"):
         if field in fields:
@@ -118,7 +143,15 @@ def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame |
             out[field] = [None if pd.isna(v) else str(v) for v in column]
         else:
             out[field] = None
-    return out.assign(sheet_name=name, sheet_ordinal=ordinal)
+    return out.assign(sheet_name=name, sheet_ordinal=ordinal)[SHEET_ROW_SCHEMA.names]
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    except AnalysisException as missing:
+        logger.error("nothing to read at %s: %s", path, missing)
+        return None
 
 
 def read_sheets(spark: SparkSession, path: str, codec: Codec | None = None) -> DataFrame:
@@ -128,31 +161,33 @@ def read_sheets(spark: SparkSession, path: str, codec: Codec | None = None) -> D
     by sheet.  Ignored, unmappable and unreadable sheets yield no rows; a missing path yields
     an empty table.
     """
-    columns = SHEET_ROW_SCHEMA.names
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file_path, content in zip(batch["path"], batch["content"]):
-                try:
-                    sheets = (codec or codec_for(file_path))(file_path, bytes(content))
-                except Exception:
-                    logger.exception("could not read %s", file_path)
-                    continue
-                for ordinal, (name, frame) in enumerate(sheets.items()):
-                    if any(token in name.lower().strip() for token in IGNORED_SHEETS):
-                        continue
-                    rows = _sheet_rows(name, ordinal, frame)
-                    if rows is not None:
-                        yield rows[columns]
+        for _, ordinal, name, frame in _sheets_in(batches, codec):
+            if _status(name, frame) == "read":
+                yield _sheet_rows(name, ordinal, frame)
 
-    try:
-        files = spark.read.format("binaryFile").load(path).select("path", "content")
-    except AnalysisException as missing:
-        logger.error("nothing to read at %s: %s", path, missing)
+    files = _files(spark, path)
+    if files is None:
         return spark.createDataFrame([], SHEET_ROW_SCHEMA)
     return files.mapInPandas(read, SHEET_ROW_SCHEMA)
 
 
+def list_sheets(spark: SparkSession, path: str, codec: Codec | None = None) -> DataFrame:
+    """One row per sheet under ``path``: its place, name, row count and whether it is read."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for file, ordinal, name, frame in _sheets_in(batches, codec):
+            n_rows = 0 if frame is None else len(frame)
+            row = (file, ordinal, name, _status(name, frame), n_rows)
+            yield pd.DataFrame([row], columns=["path", "sheet_ordinal", "sheet_name", "status", "n_rows"])
+
+    files = _files(spark, path)
+    if files is None:
+        return spark.createDataFrame([], SHEET_LIST_SCHEMA)
+    return files.mapInPandas(describe, SHEET_LIST_SCHEMA)
+
+
 def sheet_rows_from_table(df: DataFrame, sheet: str = "sheet_name") -> DataFrame:
     """Sheet rows of a table that already has a sheet column and free-form headers."""
     keep = {sheet, "sheet_ordinal", "row_ordinal"}

@@ -88,6 +88,12 @@ def test_dedup_does_not_depend_on_partitions(spark):
         assert {(r.transcription, r.human_score, r.row_ordinal) for r in got} == want
 
 
+def test_copies_collapse_before_the_shuffle(spark, plan_of):
+    plan = plan_of(sheets.load_pairs(rows(spark, ("P1", 0, "k", "t", "1")), "tuning"))
+    assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
+    assert "SortAggregate" not in plan and "Window" not in plan and "Python" not in plan
+
+
 def write_csv(folder, name, frame):
     frame.to_csv(os.path.join(folder, f"{name}.csv"), index=False)
 
@@ -97,7 +103,7 @@ def test_read_csv_sheets(spark, tmp_path):
     write_csv(tmp_path, "Participant 2", pd.DataFrame({"prompt": ["x"], "Student transcription": ["y"]}))
     write_csv(tmp_path, "Instructions", pd.DataFrame({"stimulus": ["x"], "response": ["y"]}))
     write_csv(tmp_path, "P3", pd.DataFrame({"foo": ["x"]}))
-    (tmp_path / "P4.csv").write_bytes(b"")
+    (tmp_path / "P4.csv").write_bytes(b"\xff\xfe\xff,\n")
     got = sheets.read_sheets(spark, str(tmp_path)).collect()
     assert sorted((r.sheet_name, r.row_ordinal, r.stimulus, r.transcription, r.human_score) for r in got) == [
         ("Participant 1", 0, "a (3)", "a", "4.0"),
@@ -106,6 +112,22 @@ def test_read_csv_sheets(spark, tmp_path):
     ]
 
 
+def test_list_sheets_and_summary(spark, tmp_path):
+    write_csv(tmp_path, "Participant 1", pd.DataFrame({"Target": ["a", "a", "b"], "Response": ["a", "a", "c"], "Score": [4, 3, None]}))
+    write_csv(tmp_path, "Instructions", pd.DataFrame({"stimulus": ["x"], "response": ["y"]}))
+    write_csv(tmp_path, "P3", pd.DataFrame({"foo": ["x"]}))
+    (tmp_path / "P4.csv").write_bytes(b"\xff\xfe\xff,\n")
+    listed = sheets.list_sheets(spark, str(tmp_path))
+    assert {(r.sheet_name, r.status, r.n_rows) for r in listed.collect()} == {
+        ("Participant 1", "read", 3), ("Instructions", "ignored", 1), ("P3", "no_text_columns", 1), ("", "unreadable", 0),
+    }
+    report = sheets.load_report(sheets.read_sheets(spark, str(tmp_path)), "tuning")
+    assert sheets.load_summary(report, listed).first().asDict() == {
+        "sheets_total": 4, "sheets_skipped": 3, "sheets_valid": 1, "kept": 3, "deduplicated": 1, "missing_scores": 1, "final_rows": 1,
+    }
+    assert sheets.list_sheets(spark, str(tmp_path / "none")).isEmpty()
+
+
 def json_codec(path, content):
     return {name: pd.DataFrame(columns) for name, columns in json.loads(content).items()}
 
