@@ -27,7 +27,7 @@ def round4(x: Column) -> Column:
     """Round to 4 decimals the way Python's ``round(x, 4)`` does.
 
     Spark's ``round`` works on the shortest decimal text of the double and rounds half up;
-    the reference results are rounded on the exact binary value, ties to even.
+    Python, and so every published score, rounds the exact binary value, ties to even.
     """
 
     def rounded(v: Column) -> Column:

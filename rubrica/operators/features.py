@@ -6,6 +6,7 @@ Python model behind ``mapInPandas`` all fit the same slot.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from rubrica.functions.vectors import cosine
 from rubrica.operators.lookup import fits_broadcast, lookup_join
 from rubrica.session import materialize
 
+logger = logging.getLogger(__name__)
+
 PAIR = ["clean_stimulus", "clean_response"]
 
 # (text) -> (text, vector)
@@ -268,6 +271,12 @@ def feature_names(cfg: FeatureConfig) -> list[str]:
 
 def model_features(df: DataFrame, models: Models, cfg: FeatureConfig) -> DataFrame:
     """Model features of the distinct pairs in ``df``: equal pairs share one model call."""
+    for engine, used, model in (
+        ("sentence vectors", cfg.use_sbert, models.embedder),
+        ("pair model", cfg.use_nli, models.pair_model),
+    ):
+        if used and model is None:
+            logger.warning("%s: no model given, using the built-in stand-in", engine)
     pairs = materialize(df.filter(_both_texts()).select(*PAIR).distinct(), "pairs")
     out = pairs
     if cfg.use_sbert:

@@ -124,8 +124,9 @@ def run_experiment(
 
     # Read by the split, both fits and the scoring below, so it is written first.
     audit = keep(process_dataset(tuning, cfg, models), "tuning_audit")
-    split = split_labeled(audit, "row_index", "human_score", cfg.split)
-    sides = materialize(split, "split")
+    # The fits need no texts.
+    numbers = audit.select("row_index", "human_score", "early_gate_score", *feature_names(cfg.features))
+    sides = materialize(split_labeled(numbers, "row_index", "human_score", cfg.split), "split")
     train = sides.filter(F.col("split") == "train").drop("split")
     validation = sides.filter(F.col("split") == "validation").drop("split")
 

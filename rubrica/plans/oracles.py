@@ -309,6 +309,7 @@ _CELLS = " UNION ALL ".join(
     f"unnest([a.c{y}, b.c{y} - a.c{y}, c.c{y} - b.c{y}, d.c{y} - c.c{y}, n{y} - d.c{y}]) AS n FROM looked"
     for y in range(5)
 )
+GRID_KEY = "t1 * 1000000000000000 + t2 * 10000000000 + t3 * 100000 + t4"
 GRID = f"""{HISTOGRAM},
 cut AS (SELECT unnest(range(0, 10001, 500)) AS bin UNION SELECT unnest([2000, 4000, 6000, 8500])),
 below AS (
@@ -323,7 +324,7 @@ looked AS (
     AND c.bin BETWEEN 4000 AND 9000 AND d.bin BETWEEN 6000 AND 10000
 ),
 grid_cells AS ({_CELLS}),
-{agreement("SELECT t1 * 1000000000000 + t2 * 100000000 + t3 * 10000 + t4 // 1 - t4 // 10000 AS g, t, p, n FROM grid_cells WHERE n > 0").lstrip()}"""
+{agreement(f"SELECT {GRID_KEY} AS g, t, p, n FROM grid_cells WHERE n > 0").lstrip()}"""
 
 
 def _details() -> str:
@@ -430,7 +431,7 @@ SELECT {PAIR_COLUMNS} FROM pairs ORDER BY sheet_name, row_ordinal LIMIT 10"""
         ("clean_pages", "pages", "page_id", "html", {}),
         ("clean_keep_accents", "documents", "doc_id", "text", {"lower": False, "accents_off": False}),
     ):
-        sql[name] = f"""SELECT {key}, md5(x) AS digest, length(x) AS n_clean
+        sql[name] = f"""SELECT {key}, md5(x) AS digest, CAST(length(x) AS INTEGER) AS n_clean
 FROM (SELECT {key}, {clean(text, **options)} AS x FROM {table})"""
     sql["clean_noisy_pairs"] = f"""WITH {CLEANED}
 SELECT sheet_name, row_ordinal, clean_stimulus, clean_response FROM cleaned"""
@@ -531,8 +532,7 @@ SELECT CAST(abs(y - pred) AS INTEGER) AS off_by, count(*) AS n FROM predicted GR
     sql["threshold_grid_best"] = f"""WITH {GRID},
 best AS (
   SELECT m.k, g.t1, g.t2, g.t3, g.t4 FROM metrics m
-  JOIN (SELECT DISTINCT t1, t2, t3, t4, t1 * 1000000000000 + t2 * 100000000 + t3 * 10000 + t4 // 1 - t4 // 10000 AS g
-        FROM grid_cells) g ON g.g = m.g
+  JOIN (SELECT DISTINCT t1, t2, t3, t4, {GRID_KEY} AS g FROM grid_cells) g ON g.g = m.g
   WHERE m.k IS NOT NULL ORDER BY round(m.k, 12) DESC, t1, t2, t3, t4 LIMIT 1
 )
 SELECT t1 / 1e4 AS t1, t2 / 1e4 AS t2, t3 / 1e4 AS t3, t4 / 1e4 AS t4, {r4('k')} AS qwk FROM best"""
