@@ -20,6 +20,7 @@ from rubrica.functions.binding import bind
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f"
+SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
 
 _NOT_AFTER_WORD, _NOT_BEFORE_WORD = rf"(?<![{WORD}])", rf"(?![{WORD}])"
 _AFTER_WORD, _BEFORE_WORD = rf"(?<=[{WORD}])", rf"(?=[{WORD}])"
@@ -32,8 +33,8 @@ def coerce_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Drop white space at both ends (``trim`` would take U+0020 only)."""
-    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    """Drop white space at both ends (``trim`` alone would take U+0020 only)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_whitespace(c: Column) -> Column:

@@ -74,19 +74,18 @@ def is_ignored_sheet(sheet_name: Column) -> Column:
 
 def participant_id(sheet_name: Column) -> Column:
     """``P`` and the first digit run of the name, else the name with ``_`` for white space."""
-    digits = F.regexp_extract(sheet_name, r"\p{Nd}+", 0)
-    name = F.regexp_replace(strip(sheet_name), rf"(?U)[{SPACE}]+", "_")
-    return (
-        F.when(digits != "", F.concat(F.lit("P"), digits))
-        .when(name != "", name)
-        .otherwise("unknown_participant")
+    name = strip(sheet_name)
+    return F.coalesce(
+        F.concat(F.lit("P"), F.regexp_substr(sheet_name, F.lit(r"\p{Nd}+"))),
+        F.when(name != "", F.regexp_replace(name, rf"(?U)[{SPACE}]+", "_")),
+        F.lit("unknown_participant"),
     )
 
 
 def strip_item_suffix(stimulus: Column) -> Column:
     """Remove one trailing count: ``Quiero cortarme el pelo (7)``."""
-    text = F.coalesce(stimulus.cast("string"), F.lit(""))
-    return strip(F.regexp_replace(text, rf"(?U)[{SPACE}]*\(\p{{Nd}}+\)[{SPACE}]*$", ""))
+    text = strip(F.coalesce(stimulus.cast("string"), F.lit("")))
+    return strip(F.regexp_replace(text, r"\(\p{Nd}+\)$", ""))
 
 
 # --- readers ------------------------------------------------------------------------------
@@ -231,7 +230,7 @@ def flag_rows(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) ->
         "sheet_ordinal",
         "sheet_name",
         "row_ordinal",
-        strip_item_suffix(strip(stim)).alias("stimulus"),
+        strip_item_suffix(stim).alias("stimulus"),
         strip(resp).alias("transcription"),
         score.alias("human_score"),
         reason.alias("drop_reason"),
