@@ -91,9 +91,13 @@ def strip_item_suffix(stimulus: Column) -> Column:
 # --- readers ------------------------------------------------------------------------------
 
 
+def _stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
 def csv_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
     """One CSV file is one sheet, named after the file."""
-    return {os.path.splitext(os.path.basename(path))[0]: pd.read_csv(io.BytesIO(content))}
+    return {_stem(path): pd.read_csv(io.BytesIO(content))}
 
 
 def workbook_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
@@ -101,8 +105,15 @@ def workbook_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
     return pd.read_excel(io.BytesIO(content), sheet_name=None, engine="openpyxl")
 
 
+def parquet_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
+    """One Parquet file is one sheet, named after the file."""
+    return {_stem(path): pd.read_parquet(io.BytesIO(content))}
+
+
 def codec_for(path: str) -> Codec:
-    return workbook_codec if path.lower().endswith((".xlsx", ".xlsm")) else csv_codec
+    """Codec by the ending of a file's name; CSV where it says nothing else."""
+    ending = os.path.splitext(path)[1].lower()
+    return {".xlsx": workbook_codec, ".xlsm": workbook_codec, ".parquet": parquet_codec}.get(ending, csv_codec)
 
 
 SHEET_LIST_SCHEMA = "path string, sheet_ordinal int, sheet_name string, status string, n_rows long"
@@ -335,8 +346,7 @@ def load_role(
     codec: Codec | None = None,
 ) -> DataFrame:
     """One data set, from its cached standardised table where that is still fresh."""
-    stem = os.path.splitext(os.path.basename(path.rstrip("/*")))[0]
-    cache = f"{cfg.cache_dir.rstrip('/')}/{stem}_{role}" if cfg.cache_dir else None
+    cache = f"{cfg.cache_dir.rstrip('/')}/{_stem(path.rstrip('/*'))}_{role}" if cfg.cache_dir else None
     if cache and is_cache_valid(spark, path, cache, cfg.force_reload):
         return spark.read.schema(PAIR_SCHEMA).parquet(cache)
     rows = read_sheets(spark, path, codec)

@@ -88,6 +88,12 @@ def test_dedup_does_not_depend_on_partitions(spark):
         assert {(r.transcription, r.human_score, r.row_ordinal) for r in got} == want
 
 
+def test_read_parquet_sheets(spark, tmp_path):
+    pd.DataFrame({"Target": ["a"], "Response": ["b"], "Grade": [3]}).to_parquet(tmp_path / "Participant 4.parquet")
+    got = sheets.load_role(spark, str(tmp_path), "tuning").collect()
+    assert [(r.participant_id, r.transcription, r.human_score) for r in got] == [("P4", "b", 3.0)]
+
+
 def test_copies_collapse_before_the_shuffle(spark, plan_of):
     plan = plan_of(sheets.load_pairs(rows(spark, ("P1", 0, "k", "t", "1")), "tuning"))
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
