@@ -61,7 +61,7 @@ def accuracy(cells: Column) -> Column:
     return hits / _total(cells, lambda c: c["n"])
 
 
-def _class_counts(cells: Column, label: Column) -> tuple[Column, Column, Column]:
+def class_counts(cells: Column, label: Column) -> tuple[Column, Column, Column]:
     """True positives, rows of truth and rows of prediction of one label."""
     is_t, is_p = (lambda c: c["t"] == label), (lambda c: c["p"] == label)
     count = lambda test: _total(cells, lambda c: F.when(test(c), c["n"]).otherwise(0))
@@ -72,7 +72,7 @@ def macro_f1(cells: Column) -> Column:
     """Unweighted mean of the F1 of every label that occurs; 0/0 counts 0."""
 
     def f1(label: Column) -> Column:
-        hit, truth, pred = _class_counts(cells, label)
+        hit, truth, pred = class_counts(cells, label)
         return F.lit(2.0) * hit / (truth + pred)
 
     def mean(values: Column) -> Column:

@@ -191,10 +191,11 @@ def vector_similarity(pairs: DataFrame, embedder: Embedder) -> DataFrame:
     """``sbert_similarity`` of distinct (stimulus, response) pairs."""
     texts = pairs.select(F.explode(F.array(*PAIR)).alias("text"))
     vectors = embed_texts(texts, embedder)
+    fits = fits_broadcast(vectors)
     out = pairs
     for side in PAIR:
         named = vectors.select(F.col("text").alias(side), F.col("vector").alias(f"_{side}"))
-        out = lookup_join(out, named, [side], spread_by=PAIR)
+        out = lookup_join(out, named, [side], spread_by=PAIR, small_fits=fits)
     similarity = cosine(F.col("_clean_stimulus"), F.col("_clean_response"))
     return out.select(*pairs.columns, similarity.alias("sbert_similarity"))
 

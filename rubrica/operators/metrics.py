@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rubrica.config import RUBRIC
 from rubrica.functions import agreement
+from rubrica.functions.binding import bind
 from rubrica.functions.numeric import round4
 
 EXPERT_QWK = 0.80
@@ -58,43 +59,50 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str, labels=RUBRIC) -> Dat
 
 def classification_report(df: DataFrame, truth: str, pred: str, labels=RUBRIC) -> DataFrame:
     """Precision, recall, F1 and support per label, with accuracy and the two averages."""
-    cells = _cells(df, truth, pred, None)
-    c = F.col
+    names = ("precision", "recall", "f1")
 
     def ratio(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0)
 
-    def line(label: int) -> Column:
-        hit, n_true, n_pred = agreement._class_counts(c("cells"), F.lit(label))
-        return F.struct(F.lit(str(label)).alias("label"), hit.alias("hit"), n_true.alias("t"), n_pred.alias("p"))
-
-    scores = (
-        cells.select(F.explode(F.array(*[line(label) for label in labels])).alias("x"))
-        .select("x.*")
-        .select(
-            "label",
-            ratio(c("hit"), c("p")).alias("precision"),
-            ratio(c("hit"), c("t")).alias("recall"),
-            ratio(F.lit(2.0) * c("hit"), c("t") + c("p")).alias("f1"),
-            c("t").alias("support"),
-            "hit",
+    def line(cells: Column, label: int) -> Column:
+        hit, given, predicted = agreement.class_counts(cells, F.lit(label))
+        return F.struct(
+            F.lit(str(label)).alias("label"),
+            ratio(hit, predicted).alias("precision"),
+            ratio(hit, given).alias("recall"),
+            ratio(F.lit(2.0) * hit, given + predicted).alias("f1"),
+            given.alias("support"),
+            hit.alias("hit"),
         )
-    )
-    columns = ["precision", "recall", "f1"]
-    support = F.sum("support")
-    weighted = scores.agg(
-        *[(F.sum(c(x) * c("support")) / support).alias(x) for x in columns], support.alias("support")
-    ).withColumn("label", F.lit("weighted avg"))
-    macro = scores.agg(*[F.avg(x).alias(x) for x in columns], support.alias("support")).withColumn(
-        "label", F.lit("macro avg")
-    )
-    none = F.lit(None).cast("double")
-    hits = scores.agg((F.sum("hit") / support).alias("f1"), support.alias("support")).select(
-        F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), "f1", "support"
-    )
-    whole = scores.drop("hit").unionByName(hits).unionByName(macro).unionByName(weighted)
-    return whole.select(
-        "label", *[round4(c(x)).alias(x) for x in columns], c("support").cast("long").alias("support")
+
+    def total(lines: Column, value) -> Column:
+        return F.aggregate(F.transform(lines, value), F.lit(0.0), lambda acc, x: acc + x)
+
+    def summary(lines: Column, label: str, mean) -> Column:
+        values = [mean(name).alias(name) for name in names]
+        support = total(lines, lambda x: x["support"])
+        return F.struct(F.lit(label).alias("label"), *values, support.alias("support"), F.lit(0.0).alias("hit"))
+
+    def with_summaries(lines: Column) -> Column:
+        support = total(lines, lambda x: x["support"])
+        hits = total(lines, lambda x: x["hit"]) / support
+        none = F.lit(None).cast("double")
+        return F.concat(
+            lines,
+            F.array(
+                summary(lines, "accuracy", lambda name: hits if name == "f1" else none),
+                summary(lines, "macro avg", lambda name: total(lines, lambda x: x[name]) / len(labels)),
+                summary(
+                    lines, "weighted avg", lambda name: total(lines, lambda x: x[name] * x["support"]) / support
+                ),
+            ),
+        )
+
+    cells = _cells(df, truth, pred, None)
+    lines = F.array(*[line(F.col("cells"), label) for label in labels])
+    rows = cells.select(F.inline(bind(lines, with_summaries)))
+    return rows.select(
+        "label", *[round4(F.col(name)).alias(name) for name in names], F.col("support").cast("long").alias("support")
     )
 
 

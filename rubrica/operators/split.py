@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import math
+import operator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rubrica.config import SplitConfig
@@ -42,8 +44,8 @@ def split_labeled(
 
     A row's place is the order of ``md5("seed|id")``, so the result does not depend on
     partitioning.  Instead of ranking whole strata, counts per hash prefix find the prefix in
-    which each stratum reaches its quota, and only the rows of that prefix are ranked; all
-    other rows are compared with the resulting cut in place, without a shuffle.
+    which each stratum reaches its quota, and only the rows of that prefix are ranked.  The
+    outcome is one cut per stratum; the split itself is a comparison with it, row by row.
     """
     rows = df.filter(F.col(label).isNotNull())
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -62,32 +64,38 @@ def split_labeled(
         if quotas[0] >= n:
             raise ValueError("too few labelled rows to split")
 
-    stratum = F.col(label) if stratified else F.lit(0)
+    stratum = (F.col(label) if stratified else F.lit(0)).cast("int")
     digest = F.md5(F.concat(F.lit(f"{cfg.seed}|"), F.col(row_id).cast("string")))
-    hashed = rows.select(F.col(row_id).alias("_id"), stratum.cast("int").alias("_g"), digest.alias("_h"))
-    hashed = hashed.withColumn("_prefix", F.substring("_h", 1, PREFIX))
-    quota_rows = [(int(g), q) for g, q in quotas.items() if q > 0]
-    wanted = df.sparkSession.createDataFrame(quota_rows, "_g int, _quota long")
+    hashed = rows.select(F.col(row_id).alias("_id"), stratum.alias("_g"), digest.alias("_h"))
+    cuts = _cuts(hashed, {int(g): q for g, q in quotas.items() if q > 0})
 
+    def before(cut: Row) -> Column:
+        earlier = (digest < cut["_h"]) | ((digest == cut["_h"]) & (F.col(row_id) <= cut["_id"]))
+        return (stratum == cut["_g"]) & earlier
+
+    is_validation = reduce(operator.or_, [before(cut) for cut in cuts], F.lit(False))
+    return rows.withColumn("split", F.when(is_validation, "validation").otherwise("train"))
+
+
+def _cuts(hashed: DataFrame, quotas: dict[int, int]) -> list[Row]:
+    """The last row of each stratum (``_g``) that still belongs to its quota: one per stratum."""
+    prefix = F.substring("_h", 1, PREFIX).alias("_prefix")
+    quota = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])[F.col("_g")]
     # One row per stratum and prefix: at most 16^4 rows a stratum.
     upto = Window.partitionBy("_g").orderBy("_prefix")
     reached = (
-        hashed.groupBy("_g", "_prefix")
+        hashed.groupBy("_g", prefix)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .join(F.broadcast(wanted), "_g")
+        .withColumns({"_upto": F.sum("_n").over(upto), "_quota": quota})
         .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
         .select("_g", "_prefix", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
     in_order = Window.partitionBy("_g").orderBy("_h", "_id")
-    cuts = (
-        hashed.join(F.broadcast(reached), ["_g", "_prefix"])
+    return (
+        hashed.withColumn("_prefix", prefix)
+        .join(F.broadcast(reached), ["_g", "_prefix"])
         .withColumn("_place", F.row_number().over(in_order))
         .filter(F.col("_place") == F.col("_rank"))
-        .select("_g", F.struct("_h", "_id").alias("_cut"))
+        .select("_g", "_h", "_id")
+        .collect()
     )
-    # One cut per stratum.
-    placed = rows.withColumns({"_g": stratum.cast("int"), "_h": digest}).join(F.broadcast(cuts), "_g", "left")
-    is_validation = F.struct(F.col("_h"), F.col(row_id).alias("_id")) <= F.col("_cut")
-    side = F.when(is_validation, "validation").otherwise("train")
-    return placed.select(*df.columns, side.alias("split"))

@@ -353,7 +353,8 @@ def threshold_histogram(spark, sf):
 @query
 def threshold_grid_best(spark, sf):
     cfg = ExperimentConfig().search
-    running = thresholds.running_counts(thresholds.score_histogram(fixtures.rated(spark, sf), "raw", "y"))
+    histogram = thresholds.score_histogram(fixtures.rated(spark, sf), "raw", "y")
+    running = materialize(thresholds.running_counts(histogram), "running-counts")
     best = thresholds.best_candidate(thresholds.score_candidates(running, cfg))
     return best.select(*thresholds.CUTS, round4(F.col("qwk")).alias("qwk"))
 

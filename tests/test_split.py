@@ -65,9 +65,15 @@ def test_quota_ties_go_to_the_lower_label():
     assert validation_quotas({0: 2996, 1: 3020, 2: 3003, 3: 3003, 4: 2978}, SplitConfig()) == {0: 599, 1: 604, 2: 600, 3: 601, 4: 596}
 
 
-def test_rows_are_not_shuffled(spark, plan_of):
-    """Wide rows only meet broadcast cuts; what is shuffled are counts and the rows of one prefix."""
+@pytest.mark.parametrize("stratify", [True, False])
+def test_splitting_is_a_projection(spark, plan_of, stratify):
+    """Counts and one hash prefix are shuffled to find the cuts, the rows themselves never."""
     df = table(spark, {0: 50, 4: 200}).withColumn("wide", F.lit("x"))
-    plan = plan_of(split_labeled(df, "id").select("id", "wide", "split"))
-    above = plan[: plan.index("BroadcastExchange")]
-    assert "Exchange hashpartitioning" not in above and "SortMergeJoin" not in plan
+    plan = plan_of(split_labeled(df, "id", cfg=SplitConfig(stratify=stratify)))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_text_ids(spark):
+    df = table(spark, {0: 20, 4: 30}).withColumn("id", F.concat(F.lit("r"), "id"))
+    rows = split_labeled(df, "id").collect()
+    assert {r.id for r in rows if r.split == "validation"} == expected(rows, {0: 4, 4: 6})
