@@ -350,6 +350,17 @@ def threshold_histogram(spark, sf):
     return thresholds.score_histogram(fixtures.rated(spark, sf), "raw", "y")
 
 
+@query
+def threshold_predict(spark, sf):
+    rated = fixtures.rated(spark, sf)
+    return thresholds.apply_thresholds(rated, "raw", SECOND_CUTS).select("id", "raw", "pred")
+
+
+@query
+def threshold_evaluate(spark, sf):
+    return thresholds.evaluate_thresholds(fixtures.rated(spark, sf), "raw", "y", SECOND_CUTS)
+
+
 @query
 def threshold_grid_best(spark, sf):
     cfg = ExperimentConfig().search
@@ -447,6 +458,18 @@ def holdout_score(spark, sf):
     return scored.select("id", "early_gate_score", "heuristic_raw_score", "heuristic_pred", "ordinal_pred")
 
 
+@query
+def tuning_audit(spark, sf):
+    """Numbered records with labels, cleaned texts, gate and word overlap."""
+    return experiment.process_dataset(_tuning(spark, sf), ExperimentConfig(features=LEXICAL_ONLY))
+
+
+@query
+def sanity_check(spark, sf):
+    """The first three pairs through the same steps."""
+    return experiment.sanity_check(_tuning(spark, sf), ExperimentConfig(features=LEXICAL_ONLY))
+
+
 @query
 def report_export(spark, sf):
     pairs = cleaning.preprocess_pairs(cleaning.with_labels(_tuning(spark, sf)))

@@ -528,6 +528,11 @@ SELECT CAST(abs(y - pred) AS INTEGER) AS off_by, count(*) AS n FROM predicted GR
 
     sql["stratified_split"] = f"WITH {quotas(True)}"
     sql["plain_split"] = f"WITH {quotas(False)}"
+    second = ("15e-2", "3e-1", "5e-1", "8e-1")
+    sql["threshold_predict"] = f"WITH {RATED} SELECT id, raw, {rubric('raw', second)} AS pred FROM rated"
+    sql["threshold_evaluate"] = f"""WITH {RATED}, cut AS (SELECT y, {rubric('raw', second)} AS pred FROM rated),
+{agreement(cells_of('cut', 'y', 'pred')).lstrip()}
+SELECT n, qwk, accuracy, macro_f1 FROM rounded"""
     sql["threshold_histogram"] = f"WITH {HISTOGRAM} SELECT bin, label, n FROM histogram"
     sql["threshold_grid_best"] = f"""WITH {GRID},
 best AS (
@@ -556,6 +561,11 @@ SELECT CASE WHEN h >= o THEN 'heuristic' ELSE 'ordinal_ml' END AS winner, greate
   CASE WHEN greatest(h, o) >= 8e-1 THEN 'expert' ELSE 'below_expert' END AS agreement FROM wide"""
     sql["validation_table"] = f"""WITH {TWO_RATERS}
 SELECT id AS original_row_index, human_score, early_gate_score, heuristic_pred, ordinal_pred, heuristic_raw_score FROM two"""
+    sql["tuning_audit"] = f"""WITH {SHEET_ROWS},{flagged()},{gated('pairs')},{overlap('cleaned', row, False)}
+SELECT row_number() OVER (ORDER BY sheet_name, row_ordinal) - 1 AS row_index, participant_id, sheet_name, stimulus,
+  transcription, clean_stimulus, clean_response, CAST(trunc(human_score) AS INTEGER) AS human_score, early_gate_score,
+  {gated_columns} FROM features"""
+    sql["sanity_check"] = f"SELECT * FROM ({sql['tuning_audit']}) ORDER BY row_index LIMIT 3"
     sql["report_export"] = f"""WITH {SHEET_ROWS},{flagged()},{gated('pairs')},{overlap('cleaned', row, False)},
 graded AS (SELECT *, CASE WHEN early_gate_score IS NULL THEN lemma_recall ELSE 0e0 END AS raw FROM features)
 SELECT participant_id AS "ID", stimulus AS "Target Sentence", transcription AS "Student Response",
