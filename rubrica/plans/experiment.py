@@ -116,14 +116,15 @@ def run_experiment(
 
     With ``cfg.output_dir`` set the tables are written there and returned as read back.
     """
-    if tuning.isEmpty():
-        raise ValueError("the tuning data set is empty")
-
     def keep(df: DataFrame, name: str) -> DataFrame:
         return save_table(df, cfg.output_dir, name) if cfg.output_dir else materialize(df, name)
 
+    # Tested once the numbered rows are stored; before, the test would run the whole ingest.
+    processed = process_dataset(tuning, cfg, models)
+    if processed.isEmpty():
+        raise ValueError("the tuning data set is empty")
     # Read by the split, both fits and the scoring below, so it is written first.
-    audit = keep(process_dataset(tuning, cfg, models), "tuning_audit")
+    audit = keep(processed, "tuning_audit")
     # The fits need no texts.
     numbers = audit.select("row_index", "human_score", "early_gate_score", *feature_names(cfg.features))
     sides = materialize(split_labeled(numbers, "row_index", "human_score", cfg.split), "split")
@@ -149,13 +150,14 @@ def run_experiment(
         ),
         "ordinal_model": fitted.ordinal.summary(audit),
     }
-    if holdout is not None and not holdout.isEmpty():
-        processed = fitted.score(process_dataset(holdout, cfg, models))
-        predictions = keep(processed, "holdout_predictions")
+    if holdout is None:
+        return tables
+    processed = process_dataset(holdout, cfg, models)
+    if not processed.isEmpty():
+        predictions = keep(fitted.score(processed), "holdout_predictions")
         tables["holdout_predictions"] = predictions
-        tables["report"] = keep(report_table(predictions), "final_report") if not cfg.output_dir else save_table(
-            report_table(predictions), cfg.output_dir, "final_report", "csv"
-        )
+        report = report_table(predictions)
+        tables["report"] = save_table(report, cfg.output_dir, "final_report", "csv") if cfg.output_dir else report
     return tables
 
 

@@ -100,6 +100,11 @@ def test_empty_tuning_stops(spark, tuning):
         experiment.run_experiment(tuning.limit(0))
 
 
+def test_empty_holdout_is_skipped(spark, tuning):
+    tables = experiment.run_experiment(tuning, tuning.limit(0), WORDS)
+    assert "holdout_predictions" not in tables and "report" not in tables
+
+
 def test_experiment_from_files(spark, tmp_path):
     def sheet(start):
         words = ["la casa es roja", "el perro come pan", "uno dos gato", "hay luz hoy"]
