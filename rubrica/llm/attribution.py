@@ -66,15 +66,15 @@ def count_tokens(
         for batch in batches:
             rows, field, number, start, end, tokens, crossing = [], [], [], [], [], [], []
             columns = [batch.column(f"field{i}").to_pylist() for i in range(width)]
-            for row, parts in enumerate(zip(*columns, strict=True)):
-                whole = "\n".join(parts)
+            wholes = ["\n".join(parts) for parts in zip(*columns, strict=True)]
+            for row, whole in enumerate(wholes):
                 raw = np.frombuffer(whole.encode(), np.uint8)
                 chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 lines = np.flatnonzero(raw[:-1] == 10) + 1 if len(raw) else np.zeros(0, np.int64)
                 bounds = np.concatenate(([0], lines, [len(raw)]))
                 owner = np.zeros(len(bounds) - 1, np.int64)
                 if width > 1:
-                    sizes = np.cumsum([len(p.encode()) + 1 for p in parts[:-1]])
+                    sizes = np.cumsum([len(c[row].encode()) + 1 for c in columns[:-1]])
                     bounds = np.unique(np.concatenate((bounds, np.minimum(sizes, len(raw)))))
                     bounds = bounds if len(bounds) > 1 else np.array([0, len(raw)])
                     owner = np.searchsorted(sizes, bounds[:-1], "right")
