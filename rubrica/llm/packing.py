@@ -77,15 +77,16 @@ def _exchange(giver: tuple[int, ...], taker: tuple[int, ...], capacity: int):
     Moving length from a bin to one that is at least as full always raises the sum of squared fills.
     """
     room = capacity - sum(taker)
-    singles = sorted(set(giver), reverse=True)
+    have = Counter(giver)
+    singles = sorted(have, reverse=True)
     best, choice = 0, None
     for a in singles:
         if best < a <= room:
             best, choice = a, ((a,), ())
     back = sorted(set(taker))
     offers = [(a,) for a in singles]
-    offers += [(a, b) for i, a in enumerate(giver) for b in giver[i + 1 :]]
-    for offer in set(offers):
+    offers += [(a, b) for i, a in enumerate(singles) for b in singles[i:] if a != b or have[a] > 1]
+    for offer in offers:
         total = sum(offer)
         at = bisect_left(back, total - room)
         if at < len(back) and best < total - back[at]:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import attribution, decontaminate, packing
+from rubrica.llm import attribution, decontaminate, licenses, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -26,10 +30,20 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.report(quality.score(docs, model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_sentence_rules": license_sentence_rules,
     "op3_best_fit_packing": best_fit_packing,
     "op7_token_attribution": token_attribution,
     "op8_benchmark_decontamination": benchmark_decontamination,
+    "op10_quality_attention": quality_attention,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_sentence_rules": licenses.oracle_sql(),
+}
