@@ -66,7 +66,6 @@ SENTENCES: dict[str, str] = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
-    "gpl-free": "This program is free software:",
     "gpl-free-semicolon": "This program is free software;",
     "gpl-free-comma": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
@@ -213,10 +212,10 @@ def oracle_sql() -> str:
         f"'{UPPER}', '{LOWER}'), '([.!?;])[ \\t\\r]+', '\\1' || chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)))"
         " as piece, generate_subscripts(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), "
         f"'{UPPER}', '{LOWER}'), '([.!?;])[ \\t\\r]+', '\\1' || chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)),"
-        " 1) as at from documents), "
-        "marked as (select doc_id, at, coalesce(mark, '.') as mark from pieces left join known on s = trim(piece) "
+        " 1) as pos from documents), "
+        "marked as (select doc_id, pos, coalesce(mark, '.') as mark from pieces left join known on s = trim(piece) "
         "where trim(piece) <> ''), "
-        "joined as (select doc_id, string_agg(mark, '' order by at) as ids, count(*) as n, "
+        "joined as (select doc_id, string_agg(mark, '' order by pos) as ids, count(*) as n, "
         "count(*) filter (where mark <> '.') as k from marked group by doc_id), "
         "r0 as (select d.doc_id, coalesce(n, 0) as n_sentences, coalesce(k, 0) as n_known, coalesce(ids, '') as s0 "
         f"from documents d left join joined j on d.doc_id = j.doc_id){steps} "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import attribution, decontaminate, licenses, packing, quality
+from rubrica.llm import attribution, chat, decontaminate, licenses, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with id -1 whose texts hold control strings."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", chat.HOSTILE), (-1, 1, "assistant", chat.HOSTILE)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    return chat.report(chat.read_back(chat.build(turns.unionByName(extra))))
+
+
 def token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,7 @@ def quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_sentence_rules": license_sentence_rules,
     "op3_best_fit_packing": best_fit_packing,
+    "op5_chat_prefix_tree": chat_prefix_tree,
     "op7_token_attribution": token_attribution,
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op10_quality_attention": quality_attention,
@@ -46,4 +57,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_sentence_rules": licenses.oracle_sql(),
+    "op5_chat_prefix_tree": chat.oracle_sql(),
 }
