@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import attribution, chat, decontaminate, licenses, packing, quality
+from rubrica.llm import attribution, chat, decontaminate, licenses, ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with id -1 whose texts hold control strings."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,6 +53,7 @@ def quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_sentence_rules": license_sentence_rules,
     "op3_best_fit_packing": best_fit_packing,
+    "op4_ngram_jaccard_join": ngram_jaccard_join,
     "op5_chat_prefix_tree": chat_prefix_tree,
     "op7_token_attribution": token_attribution,
     "op8_benchmark_decontamination": benchmark_decontamination,
