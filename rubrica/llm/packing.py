@@ -26,8 +26,8 @@ from rubrica.llm.tokens import encoder, vocabulary_files
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces that one task ranks.
-RANKED_ROWS = 200_000
+#: Pieces of one length that are ranked together.
+RANKED_ROWS = 1000
 
 Kinds = Counter  # of bins, by their lengths in decreasing order
 
@@ -200,10 +200,13 @@ def pack(
     """Every piece with its sequence and offset; ``ids`` (little-endian unsigned 32-bit) on request."""
     spark = docs.sparkSession
     pieces = stored(cut(docs, key, text, capacity, files or vocabulary_files(), with_ids), "pieces")
-    buckets = max(1, -(-pieces.count() // RANKED_ROWS))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    per_bucket = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = spark.createDataFrame(
+        [(length, -(-n // RANKED_ROWS)) for length, n in counts.items()], "length bigint, buckets bigint"
+    )
+    bucket = F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.col("buckets"))
+    pieces = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", bucket).drop("buckets")
+    per_bucket = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     table = places(improve(best_fit(counts, capacity), capacity))
     shared = spark.sparkContext.broadcast(table)
 
