@@ -247,6 +247,29 @@ def scan(
     return found.select(F.col("key").alias(key), "n_words", "runs", "items")
 
 
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs.  No shuffle."""
+    spark = docs.sparkSession
+    schema = docs.schema
+    for tables in _table_blocks(benchmark, item, item_text, window):
+        shared = spark.sparkContext.broadcast(tables)
+
+        def one_pass(batches, shared=shared):
+            for batch in batches:
+                keep = [not runs for _, runs, _ in _scan(shared.value, batch.column(text))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(one_pass, schema)
+    return docs
+
+
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts and a digest of the items per document."""
     n_hit = F.aggregate(

@@ -405,3 +405,17 @@ def join(
         F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNotNull(), F.coalesce("class", "key")).alias("component_id"),
     )
+
+
+def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest key, and that once.
+
+    Rows without a key are in no group and stay.
+    """
+    ids = joined.where(F.col(key).isNotNull())
+    gone = ids.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("gone")).distinct()
+    kept = docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    total = ids.agg(F.count(key), F.count_distinct(key)).first()
+    if total[0] == total[1]:
+        return kept
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))

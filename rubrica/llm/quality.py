@@ -194,45 +194,53 @@ def fit(
     return train(bags, np.array([r["label"] for r in rows]))
 
 
+def _scores(p: dict, texts: pa.Array):
+    """Score, number of passages and most attended passage of each text."""
+    scores, counts, tops = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, _, data, bounds in text_blocks(texts):
+        features, first = encode_passages(data, bounds)
+        counts.append(np.diff(first))
+        if "constant" in p:
+            scores.append(np.full(len(first) - 1, p["constant"]))
+            tops.append(np.zeros(len(first) - 1, np.int64))
+            continue
+        got, inner = _forward(p, (features - p["mean"]) / p["spread"], first[:-1])
+        weight, sizes = inner[4], inner[0]
+        at = np.flatnonzero(np.repeat(np.maximum.reduceat(weight, first[:-1]), sizes) == weight)
+        owner = np.searchsorted(first, at, "right") - 1
+        scores.append(got)
+        tops.append(at[np.searchsorted(owner, np.arange(len(sizes)))] - first[:-1])
+    return np.concatenate(scores), np.concatenate(counts), np.concatenate(tops)
+
+
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``key``, score, n_passages and the passage with the largest attention.  No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def apply(batches):
-        p = shared.value
         for batch in batches:
-            scores, counts, tops = [], [], []
-            for _, _, data, bounds in text_blocks(batch.column("text")):
-                features, first = encode_passages(data, bounds)
-                counts.append(np.diff(first))
-                if "constant" in p:
-                    scores.append(np.full(len(first) - 1, p["constant"]))
-                    tops.append(np.zeros(len(first) - 1, np.int64))
-                    continue
-                got, inner = _forward(p, (features - p["mean"]) / p["spread"], first[:-1])
-                weight, sizes = inner[4], inner[0]
-                best = np.repeat(np.maximum.reduceat(weight, first[:-1]), sizes) == weight
-                at = np.flatnonzero(best)
-                owner = np.searchsorted(first, at, "right") - 1
-                scores.append(got)
-                tops.append(at[np.searchsorted(owner, np.arange(len(sizes)))] - first[:-1])
-            if scores:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key"),
-                        pa.array(np.concatenate(scores), pa.float64()),
-                        pa.array(np.concatenate(counts).astype(np.int64)),
-                        pa.array(np.concatenate(tops).astype(np.int64)),
-                    ],
-                    names=["key", "score", "n_passages", "top_passage"],
-                )
+            columns = (pa.array(x) for x in _scores(shared.value, batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *columns], names=["key", "score", "n_passages", "top_passage"]
+            )
 
     kind = dict(texts.dtypes)["key"]
     schema = f"key {kind}, score double, n_passages bigint, top_passage bigint"
     return texts.mapInArrow(apply, schema).withColumnRenamed("key", key)
 
 
+def accepted(docs: DataFrame, model: dict, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``least`` or more.  No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(text))[0] >= least))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def report(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     return scored.select(
         key,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import attribution, chat, decontaminate, licenses, ngram_join, packing, quality
+from rubrica.llm import attribution, chat, decontaminate, licenses, line_dedup, ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,23 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup.report(docs, line_dedup.decide(docs))
+
+
 def quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.report(quality.score(docs, model))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_sentence_rules": license_sentence_rules,
     "op3_best_fit_packing": best_fit_packing,
@@ -57,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_prefix_tree": chat_prefix_tree,
     "op7_token_attribution": token_attribution,
     "op8_benchmark_decontamination": benchmark_decontamination,
+    "op9_fuzzy_line_dedup": fuzzy_line_dedup,
     "op10_quality_attention": quality_attention,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
