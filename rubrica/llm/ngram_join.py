@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.components import components
-from rubrica.llm.scratch import stored
+from rubrica.llm.scratch import having, stored
 from rubrica.llm.textblocks import (
     LOWER,
     NOT_SPACE,
@@ -236,42 +236,72 @@ def _tiles(percent: int):
     return first_pass
 
 
-def _arrays(texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """Whole sorted arrays and bitmaps of the documents that occur in candidates."""
+def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """Set size and bitmap of each text."""
 
     def encode(batches):
         for batch in batches:
-            n, arrays, maps = [], [], []
+            n, maps = [], []
             for s in shingle_sets(batch.column("text"), size):
                 bits = np.zeros(BITS, np.uint8)
                 bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
                 n.append(len(s))
-                arrays.append(s.tobytes())
                 maps.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array(n, pa.int64()),
-                    pa.array(arrays, pa.binary()),
-                    pa.array(maps, pa.binary()),
-                ],
-                names=["key", "n", "hashes", "bitmap"],
+                [batch.column("key"), pa.array(n, pa.int64()), pa.array(maps, pa.binary())],
+                names=["key", "n", "bitmap"],
             )
 
-    kind = dict(texts.dtypes)["key"]
-    wanted = texts.join(keys, "key", "left_semi")
-    encoded = wanted.mapInArrow(encode, f"key {kind}, n bigint, hashes binary, bitmap binary")
-    return stored(encoded.dropDuplicates(["key"]), "shingles")
+    return stored(texts.mapInArrow(encode, "key bigint, n bigint, bitmap binary"), "bitmaps")
+
 
+def _overlaps(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps can reach the threshold.
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
+    A bit set in one bitmap alone stands for at least one shingle that the other set lacks.
+    """
+    less = np.bitwise_count(one & ~two).sum(1, dtype=np.int64)
+    more = np.bitwise_count(two & ~one).sum(1, dtype=np.int64)
+    most = np.minimum(n - less, m - more)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bitmaps do not rule out."""
+
+    def bound(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            maps = [
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                for c in ("x", "y")
+            ]
+            sizes = [batch.column(c).to_numpy() for c in ("n", "m")]
+            mask = pa.array(_overlaps(*sizes, *maps, percent))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
+            )
+
+    return (
+        pairs.join(bitmaps.select(F.col("key").alias("a"), "n", F.col("bitmap").alias("x")), "a")
+        .join(bitmaps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
+        .select("a", "b", "n", "m", "x", "y")
+        .mapInArrow(bound, "a bigint, b bigint")
+    )
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose whole sorted arrays reach the threshold.
+
+    Texts are moved rather than arrays: they are half as large.
+    """
 
     def intersect(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            sets = (shingle_sets(batch.column(c), size) for c in ("x", "y"))
+            for one, two in zip(*sets, strict=True):
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             mask = pa.array(keep, pa.bool_())
@@ -279,12 +309,11 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
-    kind = dict(pairs.dtypes)["a"]
     return (
-        pairs.join(arrays.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
-        .join(arrays.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+        pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(intersect, f"a {kind}, b {kind}")
+        .mapInArrow(intersect, "a bigint, b bigint")
     )
 
 
@@ -308,10 +337,7 @@ def _bounded(percent: int):
                     p, q = np.nonzero(fits)
                     for c in range(0, len(p), 1 << 16):
                         one, two = i[p[c : c + (1 << 16)]], q[c : c + (1 << 16)]
-                        less = np.bitwise_count(maps[one] & ~maps[two]).sum(1, dtype=np.int64)
-                        more = np.bitwise_count(maps[two] & ~maps[one]).sum(1, dtype=np.int64)
-                        most = np.minimum(n[one] - less, n[two] - more)
-                        left = 100 * most >= percent * (n[one] + n[two] - most)
+                        left = _overlaps(n[one], n[two], maps[one], maps[two], percent)
                         out_a.append(np.minimum(key[one[left]], key[two[left]]))
                         out_b.append(np.maximum(key[one[left]], key[two[left]]))
             if out_a:
@@ -321,7 +347,7 @@ def _bounded(percent: int):
     return second_pass
 
 
-def _across(large: DataFrame, united: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def _across(large: DataFrame, united: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Candidates of the large tiles between components that are still apart."""
     rows = (
         large.join(united.select(F.col("id").alias("key"), "component"), "key", "left")
@@ -349,13 +375,12 @@ def _across(large: DataFrame, united: DataFrame, arrays: DataFrame, percent: int
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("x", F.least("side", "other"))
         .withColumn("y", F.greatest("side", "other"))
-        .join(arrays.select("key", "bitmap"), "key")
+        .join(bitmaps.select("key", "bitmap"), "key")
         .repartition("h", "band", "x", "y")
         .sortWithinPartitions("h", "band", "x", "y", "key")
     )
-    kind = dict(large.dtypes)["key"]
     columns = ["h", "band", "x", "y", "side", "home", "key", "n", "component", "bitmap"]
-    return tiles.select(*columns).mapInArrow(_bounded(percent), f"a {kind}, b {kind}").distinct()
+    return tiles.select(*columns).mapInArrow(_bounded(percent), "a bigint, b bigint").distinct()
 
 
 def join(
@@ -374,7 +399,8 @@ def join(
     identity = ["n", "one", "two"]
     first = sets.where("n > 0 and key is not null").groupBy(*identity).agg(F.min("key").alias("first"))
 
-    kept = sets.dropDuplicates(["key"]).join(first.select(F.col("first").alias("key")), "key", "left_semi")
+    copies = sets.select("key", *identity).join(first, identity).where("key <> first").select("key").distinct()
+    kept = sets.where("n > 0 and key is not null").join(copies, "key", "left_anti")
     entries = kept.select("key", "n", "prefix", "n_frequent").mapInArrow(
         _entries, "h bigint, key bigint, n bigint, salt int"
     )
@@ -385,18 +411,29 @@ def join(
         .mapInArrow(_tiles(percent), "a bigint, b bigint, h bigint, n bigint"),
         "tiles",
     )
-    pairs = tiled.where("b is not null").select("a", "b").distinct()
+    pairs = stored(tiled.where("b is not null").select("a", "b").distinct(), "pairs")
     large = tiled.where("b is null").select("h", F.col("a").alias("key"), "n")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(large.select("key")).distinct()
-    arrays = _arrays(texts, wanted, size)
-    links = stored(_verified(pairs, arrays, percent), "shingle-links")
-    united = components(links)
+    candidates = stored(having(texts, stored(wanted, "wanted"), "key"), "candidates")
+    bitmaps = _bitmaps(candidates, size)
+
+    # One pair per document unites most groups; then only pairs between groups can matter.
+    one_each = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(_verified(_possible(one_each, bitmaps, percent), candidates, size, percent), "shingle-links")
+    united = stored(components(links), "united")
+    group_of = united.select("id", "component")
+    apart = (
+        pairs.join(group_of.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a", "left")
+        .join(group_of.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left")
+        .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        .select("a", "b")
+    )
+    rest = _possible(apart, bitmaps, percent)
     if not large.isEmpty():
-        united = stored(united, "united")
-        more = stored(_verified(_across(large, united, arrays, percent), arrays, percent), "shingle-links")
-        if not more.isEmpty():
-            links = united.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-            united = components(links)
+        rest = rest.union(_across(large, united, bitmaps, percent)).distinct()
+    more = stored(_verified(stored(rest, "pairs"), candidates, size, percent), "shingle-links")
+    if not more.isEmpty():
+        united = components(united.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     class_of = first.join(united.withColumnRenamed("id", "first"), "first", "left").select(
         *identity, F.coalesce("component", "first").alias("class")
     )
