@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rubrica.llm import attribution, chat, decontaminate, licenses, line_dedup, ngram_join, packing, quality
+from rubrica.llm import (
+    attribution,
+    chat,
+    decontaminate,
+    embedding_dedup,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +45,10 @@ def chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.read_back(chat.build(turns.unionByName(extra))))
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": best_fit_packing,
     "op4_ngram_jaccard_join": ngram_jaccard_join,
     "op5_chat_prefix_tree": chat_prefix_tree,
+    "op6_embedding_near_dedup": embedding_near_dedup,
     "op7_token_attribution": token_attribution,
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_fuzzy_line_dedup": fuzzy_line_dedup,
@@ -76,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_sentence_rules": licenses.oracle_sql(),
     "op5_chat_prefix_tree": chat.oracle_sql(),
+    "op6_embedding_near_dedup": embedding_dedup.oracle_sql(),
 }
