@@ -16,6 +16,7 @@ from rubrica.llm import (
     ngram_join,
     packing,
     quality,
+    suffix_dedup,
 )
 
 
@@ -27,6 +28,10 @@ def license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(_table(spark, sf_dir, "documents")))
 
 
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_sentence_rules": license_sentence_rules,
+    "op2_suffix_repeats": suffix_repeats,
     "op3_best_fit_packing": best_fit_packing,
     "op4_ngram_jaccard_join": ngram_jaccard_join,
     "op5_chat_prefix_tree": chat_prefix_tree,
