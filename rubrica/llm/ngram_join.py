@@ -46,6 +46,7 @@ SMALL_TILE = 64
 FREQUENT, FREQUENT_SHARE = 25, 1 / 2000
 SALTS = 32
 BLOCK = 2048
+#: Bits of the smallest bitmap; a larger set has two to four bits per shingle.
 BITS = 1024
 
 
@@ -243,8 +244,9 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             n, maps = [], []
             for s in shingle_sets(batch.column("text"), size):
-                bits = np.zeros(BITS, np.uint8)
-                bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+                width = max(BITS, 1 << (2 * len(s)).bit_length())
+                bits = np.zeros(width, np.uint8)
+                bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
                 n.append(len(s))
                 maps.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -255,6 +257,11 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
     return stored(texts.mapInArrow(encode, "key bigint, n bigint, bitmap binary"), "bitmaps")
 
 
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap in ``size`` bytes, as if it had been made that wide."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def _overlaps(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes and bitmaps can reach the threshold.
 
@@ -271,14 +278,17 @@ def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
     def bound(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            maps = [
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                for c in ("x", "y")
-            ]
-            sizes = [batch.column(c).to_numpy() for c in ("n", "m")]
-            mask = pa.array(_overlaps(*sizes, *maps, percent))
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            widths = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+            keep = np.zeros(len(n), dtype=bool)
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                for at in range(0, len(own), 1024):
+                    rows = own[at : at + 1024]
+                    maps = (np.stack([_folded(side[i], width) for i in rows]) for side in (x, y))
+                    keep[rows] = _overlaps(n[rows], m[rows], *maps, percent)
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
@@ -326,7 +336,8 @@ def _bounded(percent: int):
             out_a, out_b = [], []
             for s, e in zip(low.tolist(), high.tolist(), strict=True):
                 side, home, key, n, part = (rows[k][s:e] for k in (4, 5, 6, 7, 8))
-                maps = np.frombuffer(b"".join(rows[9][s:e]), np.uint64).reshape(e - s, -1)
+                width = min(map(len, rows[9][s:e]))
+                maps = np.stack([_folded(x, width) for x in rows[9][s:e]])
                 within = rows[2][s] == rows[3][s]
                 for at in range(0, e - s, 64):
                     i = np.arange(at, min(at + 64, e - s))
@@ -335,8 +346,9 @@ def _bounded(percent: int):
                     if not within:
                         fits &= side[i][:, None] != side[None, :]
                     p, q = np.nonzero(fits)
-                    for c in range(0, len(p), 1 << 16):
-                        one, two = i[p[c : c + (1 << 16)]], q[c : c + (1 << 16)]
+                    step = max(1, (1 << 23) // width)
+                    for c in range(0, len(p), step):
+                        one, two = i[p[c : c + step]], q[c : c + step]
                         left = _overlaps(n[one], n[two], maps[one], maps[two], percent)
                         out_a.append(np.minimum(key[one[left]], key[two[left]]))
                         out_b.append(np.maximum(key[one[left]], key[two[left]]))
