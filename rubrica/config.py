@@ -37,6 +37,9 @@ class IngestConfig:
     tuning_path: str | None = None
     holdout_path: str | None = None
     cache_dir: str | None = None
+    #: Read a missing path as an empty table, and go on without workbooks that cannot be read.
+    missing_ok: bool = False
+    skip_unreadable: bool = False
 
 
 @dataclass(frozen=True)
@@ -191,6 +194,8 @@ class ExperimentConfig:
                 tuning_path=under_raw("tuning_set"),
                 holdout_path=under_raw("holdout_test_set"),
                 cache_dir=paths.get("cache_dir"),
+                missing_ok=bool(data.get("missing_ok", False)),
+                skip_unreadable=bool(data.get("skip_unreadable", False)),
             ),
             clean=clean_config(cfg),
             features=FeatureConfig(

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rubrica.functions.binding import bind
+from rubrica.functions.text import strip
 
+ASCII_SPACE = " \t\n\v\f\r"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITE = r"^(?i)[+-]?inf(inity)?$"
 
@@ -49,15 +51,20 @@ def clamp01(x: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Text to double; null where the text is no plain decimal number.
+    """Text to double; null where the text is no plain decimal number.  ASCII white space around it is skipped.
 
     The pattern guards the cast, which would also take type suffixes such as ``1d``.
     """
-    t = F.trim(text.cast("string"))
+    return bind(F.trim(text.cast("string"), F.lit(ASCII_SPACE)), _number)
+
+
+def _number(t: Column) -> Column:
     infinite = F.when(t.startswith("-"), float("-inf")).otherwise(float("inf"))
     return F.when(t.rlike(NUMBER), t.try_cast("double")).when(t.rlike(INFINITE), infinite)
 
 
 def parse_label(text: Column) -> Column:
-    """Rubric label: the number truncated toward zero; null where missing or not finite."""
-    return bind(parse_number(text), lambda x: F.when(F.abs(x) < 2147483648.0, x)).cast("int")
+    """Rubric label: the number truncated toward zero; null where missing or not finite.  Any white space around
+    it is skipped."""
+    number = bind(strip(text.cast("string")), _number)
+    return bind(number, lambda x: F.when(F.abs(x) < 2147483648.0, x)).cast("int")

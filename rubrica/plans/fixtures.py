@@ -68,6 +68,9 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v == 1, "4.0")
         .when(v == 2, "0")
         .when((v == 3) & (length % 5 == 0), "7")
+        .when((v == 3) & (length % 5 == 1), "3\t")
+        .when((v == 3) & (length % 5 == 2), "\n3")
+        .when((v == 3) & (length % 5 == 3), "\u00a03")
         .when(v == 3, " 3 ")
         .when((v == 5) & (length % 7 == 0), "n/a")
         .when(v == 5, "1.9")

@@ -74,7 +74,8 @@ all_rows AS (
       WHEN 3 THEN substr(sent, 1, len * 7 // 10) WHEN 4 THEN 'dis- ' || sent
       WHEN 5 THEN substr(sent, 1, len * 3 // 10) WHEN 6 THEN other ELSE '   ' END AS transcription,
     CASE WHEN v IN (0, 4) THEN '4' WHEN v = 1 THEN '4.0' WHEN v = 2 THEN '0'
-      WHEN v = 3 AND len % 5 = 0 THEN '7' WHEN v = 3 THEN ' 3 '
+      WHEN v = 3 THEN CASE len % 5 WHEN 0 THEN '7' WHEN 1 THEN '3' || chr(9) WHEN 2 THEN chr(10) || '3'
+        WHEN 3 THEN chr(160) || '3' ELSE ' 3 ' END
       WHEN v = 5 AND len % 7 = 0 THEN 'n/a' WHEN v = 5 THEN '1.9' WHEN v = 6 THEN '2' END AS human_score
   FROM variants
 ),
@@ -83,8 +84,18 @@ sheet_rows AS (
 )"""
 
 
+def _number(cell: str) -> str:
+    return f"CASE WHEN regexp_matches({cell}, '{NUMBER}') THEN TRY_CAST({cell} AS DOUBLE) END"
+
+
 def number(x: str) -> str:
-    return f"CASE WHEN regexp_matches(trim({x}), '{NUMBER}') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+    """ASCII white space around a number is skipped."""
+    return _number(f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+def label(x: str) -> str:
+    """Any white space around a label is skipped."""
+    return f"CAST(trunc({_number(strip(x))}) AS INTEGER)"
 
 
 def participant(x: str) -> str:
@@ -132,7 +143,7 @@ cleaned AS (
 CLEANED = f"""{SHEET_ROWS},
 named AS (
   SELECT sheet_name, row_ordinal, {suffix_off('stimulus')} AS stimulus, transcription,
-    CAST(trunc({number('human_score')}) AS INTEGER) AS human_score
+    {label('human_score')} AS human_score
   FROM sheet_rows
 ),{gated('named')}"""
 
@@ -418,8 +429,8 @@ SELECT (SELECT count(DISTINCT sheet_name) FROM all_rows) AS sheets_total,
   CAST(sum(deduplicated) AS BIGINT) AS deduplicated, CAST(sum(missing_scores) AS BIGINT) AS missing_scores,
   CAST(sum(final_rows) AS BIGINT) AS final_rows FROM report"""
     sql["label_parse"] = f"""WITH {SHEET_ROWS},
-parsed AS (SELECT {number('human_score')} AS number FROM sheet_rows)
-SELECT number, CAST(trunc(number) AS INTEGER) AS label, count(*) AS n, bool_and(number % 1 = 0) AS integral
+parsed AS (SELECT {number('human_score')} AS number, {label('human_score')} AS label FROM sheet_rows)
+SELECT number, label, count(*) AS n, bool_and(number % 1 = 0) AS integral
 FROM parsed GROUP BY ALL"""
     sql["row_numbering"] = f"""WITH {SHEET_ROWS},{flagged()}
 SELECT row_number() OVER (ORDER BY sheet_name, row_ordinal) - 1 AS row_index, sheet_name, row_ordinal FROM pairs"""

@@ -7,10 +7,15 @@ order that Spark does not keep.
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import io
 import logging
 import os
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -21,6 +26,7 @@ from pyspark.sql import types as T
 from rubrica.config import IngestConfig
 from rubrica.functions.numeric import parse_number
 from rubrica.functions.text import SPACE, strip
+from rubrica.session import materialize
 from rubrica.sources.headers import map_headers
 
 logger = logging.getLogger(__name__)
@@ -92,12 +98,7 @@ def strip_item_suffix(stimulus: Column) -> Column:
 
 
 def _stem(path: str) -> str:
-    return os.path.splitext(os.path.basename(path))[0]
-
-
-def csv_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
-    """One CSV file is one sheet, named after the file."""
-    return {_stem(path): pd.read_csv(io.BytesIO(content))}
+    return os.path.splitext(os.path.basename(unquote(path)))[0]
 
 
 def workbook_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
@@ -105,29 +106,127 @@ def workbook_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
     return pd.read_excel(io.BytesIO(content), sheet_name=None, engine="openpyxl")
 
 
-def parquet_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
-    """One Parquet file is one sheet, named after the file."""
-    return {_stem(path): pd.read_parquet(io.BytesIO(content))}
+SHEET_LIST_SCHEMA = "path string, sheet_ordinal int, sheet_name string, status string, n_rows long"
+
+# Cell texts that stand for a missing cell.
+MISSING_CELLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
+def _files(spark: SparkSession, path: str, missing_ok: bool) -> list[str]:
+    """Paths of the files under ``path`` (a file, folder or glob); their contents are not read."""
+    try:
+        found = spark.read.format("binaryFile").load(path).select("path").collect()  # one row per sheet file
+    except AnalysisException as missing:
+        if missing_ok:
+            logger.warning("nothing to read at %s", path)
+            return []
+        raise FileNotFoundError(f"nothing to read at {path}") from missing
+    return sorted(r["path"] for r in found)
 
-def codec_for(path: str) -> Codec:
-    """Codec by the ending of a file's name; CSV where it says nothing else."""
-    ending = os.path.splitext(path)[1].lower()
-    return {".xlsx": workbook_codec, ".xlsm": workbook_codec, ".parquet": parquet_codec}.get(ending, csv_codec)
 
+def _split_by_kind(files: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """CSV, Parquet and workbook files; a file is CSV where its name says nothing else."""
+    kinds: dict[str, list[str]] = {"csv": [], "parquet": [], "book": []}
+    for file in files:
+        ending = os.path.splitext(file)[1].lower()
+        kinds[{".parquet": "parquet", ".xlsx": "book", ".xlsm": "book"}.get(ending, "csv")].append(file)
+    return kinds["csv"], kinds["parquet"], kinds["book"]
 
-SHEET_LIST_SCHEMA = "path string, sheet_ordinal int, sheet_name string, status string, n_rows long"
+
+def _check_names(files: list[str]) -> None:
+    """Rows are told apart by sheet, so a name may not come from two files."""
+    names = Counter(_stem(f) for f in files)
+    twice = sorted(n for n, k in names.items() if k > 1)
+    if twice:
+        raise ValueError(f"sheet names that occur in several files: {twice[:5]}")
+
+
+def _named(file: Column) -> Column:
+    """Sheet name of a file: its name without the ending."""
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _csv_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header cells, from the first line of each file."""
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    # The first block of a file is read in order by one task, so its first line is the header.
+    first = lines.where("start = 0").groupBy("file").agg(F.first("value").alias("header")).collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first:
+        cells = tuple(next(csv.reader([row["header"].removeprefix("\ufeff")]), []))
+        found.setdefault(cells, []).append(row["file"])
+    return found
+
+
+def _read_csv(spark: SparkSession, cells: tuple[str, ...], files: list[str], multi_line: bool) -> DataFrame:
+    """Files of one header, all cells as text, with their file and the order of their rows.
+
+    Blocks of a file start a megabyte apart or more, and Spark numbers the rows of a task.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(len(cells)))
+    read = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    block = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    return read.csv([unquote(f) for f in files]).select(
+        "*", F.col("_metadata.file_path").alias("file"), (F.shiftleft(block, 33) + within).alias("row_ordinal")
+    )
+
+
+def _present(cell: Column) -> Column:
+    return F.when(~cell.isin(*MISSING_CELLS), cell)
+
+
+def _csv_rows(spark: SparkSession, files: list[str], multi_line: bool) -> list[DataFrame]:
+    """One table per header set that names both texts."""
+    tables = []
+    for cells, group in sorted(_csv_headers(spark, files).items()):
+        fields = map_headers(cells)
+        if not {"stimulus", "transcription"} <= fields.keys():
+            continue
+        place = {field: cells.index(header) for field, header in fields.items()}
+        read = _read_csv(spark, cells, group, multi_line)
+        texts = [
+            (_present(F.col(f"c{place[f]}")) if f in place else F.lit(None)).cast("string").alias(f)
+            for f in ("stimulus", "transcription", "human_score")
+        ]
+        rows = read.select(F.lit(0).alias("sheet_ordinal"), _named(F.col("file")).alias("sheet_name"), "row_ordinal", *texts)
+        tables.append(rows.filter(~is_ignored_sheet(F.col("sheet_name"))))
+    return tables
+
+
+def _parquet_table(spark: SparkSession, files: list[str]) -> DataFrame | None:
+    """Parquet files as one table: its own sheet column, or a sheet per file in row order."""
+    table = spark.read.option("mergeSchema", True).parquet(*[unquote(f) for f in files])
+    if "sheet_name" not in table.columns:
+        _check_names(files)
+        table = table.select(
+            "*",
+            _named(F.col("_metadata.file_path")).alias("sheet_name"),
+            F.col("_metadata.row_index").alias("row_ordinal"),
+        )
+    elif "row_ordinal" not in table.columns:
+        raise ValueError("a table with a sheet column needs a row_ordinal column")
+    known = map_headers(c for c in table.columns if c not in ("sheet_name", "row_ordinal")).keys()
+    return sheet_rows_from_table(table) if {"stimulus", "transcription"} <= known else None
 
 
 def _sheets_in(
-    batches: Iterator[pd.DataFrame], codec: Codec | None
+    batches: Iterator[pd.DataFrame], codec: Codec, skip_unreadable: bool
 ) -> Iterator[tuple[str, int, str, pd.DataFrame | None]]:
-    """Every sheet of every file in the batches; a file that cannot be read has no frame."""
+    """Every sheet of every workbook in the batches; one that is skipped has no frame."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
-                sheets = (codec or codec_for(path))(path, bytes(content))
+                sheets = codec(path, bytes(content))
             except Exception:
+                if not skip_unreadable:
+                    raise
                 logger.exception("could not read %s", path)
                 yield path, 0, "", None
                 continue
@@ -156,46 +255,84 @@ def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame:
     return out.assign(sheet_name=name, sheet_ordinal=ordinal)[SHEET_ROW_SCHEMA.names]
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.format("binaryFile").load(path).select("path", "content")
-    except AnalysisException as missing:
-        logger.error("nothing to read at %s: %s", path, missing)
-        return None
+def _workbooks(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load([unquote(f) for f in files]).select("path", "content")
 
 
-def read_sheets(spark: SparkSession, path: str, codec: Codec | None = None) -> DataFrame:
+def read_sheets(
+    spark: SparkSession,
+    path: str,
+    codec: Codec | None = None,
+    missing_ok: bool = False,
+    skip_unreadable: bool = False,
+    multi_line: bool = True,
+) -> DataFrame:
     """Sheet rows of every file under ``path`` (a file, folder or glob).
 
-    Files are parsed in parallel, one file at a time per task, and headers are mapped sheet
-    by sheet.  Ignored, unmappable and unreadable sheets yield no rows; a missing path yields
-    an empty table.
+    CSV and Parquet files go through Spark's readers, with headers mapped once per set of headers; only
+    the columns in use are read.  ``multi_line=False`` also splits single CSV files among tasks, for files
+    without line feeds inside cells.  Workbooks, or all files if a ``codec`` is given, are parsed file by file.
+    Sheets that are ignored or lack a text column yield no rows.  A missing path and an unreadable workbook
+    are errors unless ``missing_ok`` or ``skip_unreadable`` says otherwise; :func:`list_sheets` names the rejected.
     """
+    files = _files(spark, path, missing_ok)
+    texts, tables, books = ([], [], files) if codec else _split_by_kind(files)
+    _check_names(texts)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, ordinal, name, frame in _sheets_in(batches, codec):
+        for _, ordinal, name, frame in _sheets_in(batches, codec or workbook_codec, skip_unreadable):
             if _status(name, frame) == "read":
                 yield _sheet_rows(name, ordinal, frame)
 
-    files = _files(spark, path)
-    if files is None:
-        return spark.createDataFrame([], SHEET_ROW_SCHEMA)
-    return files.mapInPandas(read, SHEET_ROW_SCHEMA)
+    parts = _csv_rows(spark, texts, multi_line) if texts else []
+    parts += [t for t in ([_parquet_table(spark, tables)] if tables else []) if t is not None]
+    if books:
+        parts.append(_workbooks(spark, books).mapInPandas(read, SHEET_ROW_SCHEMA))
+    empty = spark.createDataFrame([], SHEET_ROW_SCHEMA)
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
-def list_sheets(spark: SparkSession, path: str, codec: Codec | None = None) -> DataFrame:
+def list_sheets(
+    spark: SparkSession, path: str, codec: Codec | None = None, missing_ok: bool = False, multi_line: bool = True
+) -> DataFrame:
     """One row per sheet under ``path``: its place, name, row count and whether it is read."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for file, ordinal, name, frame in _sheets_in(batches, codec):
+        for file, ordinal, name, frame in _sheets_in(batches, codec or workbook_codec, skip_unreadable=True):
             n_rows = 0 if frame is None else len(frame)
             row = (file, ordinal, name, _status(name, frame), n_rows)
             yield pd.DataFrame([row], columns=["path", "sheet_ordinal", "sheet_name", "status", "n_rows"])
 
-    files = _files(spark, path)
-    if files is None:
-        return spark.createDataFrame([], SHEET_LIST_SCHEMA)
-    return files.mapInPandas(describe, SHEET_LIST_SCHEMA)
+    files = _files(spark, path, missing_ok)
+    texts, tables, books = ([], [], files) if codec else _split_by_kind(files)
+
+    def counted(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+        mapped = {"stimulus", "transcription"} <= map_headers(columns).keys()
+        name = _named(F.col("file"))
+        status = F.when(is_ignored_sheet(name), "ignored").otherwise("read" if mapped else "no_text_columns")
+        counts = rows.groupBy("file").agg(F.count("*").alias("n_rows"))
+        return counts.select(
+            F.col("file").alias("path"),
+            F.lit(0).alias("sheet_ordinal"),
+            name.alias("sheet_name"),
+            status.alias("status"),
+            "n_rows",
+        )
+
+    parts = []
+    if texts:
+        for cells, group in sorted(_csv_headers(spark, texts).items()):
+            every = spark.createDataFrame([(f,) for f in group], "file string")
+            read = _read_csv(spark, cells, group, multi_line).select("file")
+            listed = counted(read, cells).drop("sheet_name", "status", "sheet_ordinal")
+            empty = counted(every, cells).drop("n_rows")
+            parts.append(empty.join(listed, "path", "left").fillna(0, subset=["n_rows"]))
+    if tables:
+        table = spark.read.option("mergeSchema", True).parquet(*[unquote(f) for f in tables])
+        parts.append(counted(table.select(F.col("_metadata.file_path").alias("file")), table.columns))
+    if books:
+        parts.append(_workbooks(spark, books).mapInPandas(describe, SHEET_LIST_SCHEMA))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SHEET_LIST_SCHEMA)
 
 
 def sheet_rows_from_table(df: DataFrame, sheet: str = "sheet_name") -> DataFrame:
@@ -338,6 +475,12 @@ def is_cache_valid(spark: SparkSession, source: str, cache: str, force_reload: b
     return newest is not None and oldest is not None and oldest >= newest
 
 
+def cache_path(cfg: IngestConfig, path: str, role: str) -> str:
+    """Where the standardised table of a source is kept: named by the whole path, the role and the settings."""
+    settings = repr((path, role, cfg.allowed_score_range, cfg.skip_unreadable))
+    return f"{cfg.cache_dir.rstrip('/')}/{role}-{hashlib.sha256(settings.encode()).hexdigest()[:24]}"
+
+
 def load_role(
     spark: SparkSession,
     path: str,
@@ -346,10 +489,11 @@ def load_role(
     codec: Codec | None = None,
 ) -> DataFrame:
     """One data set, from its cached standardised table where that is still fresh."""
-    cache = f"{cfg.cache_dir.rstrip('/')}/{_stem(path.rstrip('/*'))}_{role}" if cfg.cache_dir else None
+    cache = cache_path(cfg, path, role) if cfg.cache_dir else None
     if cache and is_cache_valid(spark, path, cache, cfg.force_reload):
         return spark.read.schema(PAIR_SCHEMA).parquet(cache)
-    rows = read_sheets(spark, path, codec)
+    # Stored once, so that the tests below and the load do not parse the files again.
+    rows = materialize(read_sheets(spark, path, codec, cfg.missing_ok, cfg.skip_unreadable), "sheet-rows")
     if role == "tuning" and not rows.isEmpty():
         if rows.filter(F.col("human_score").isNotNull()).isEmpty():
             raise ValueError(f"tuning data at {path} has no usable score column")

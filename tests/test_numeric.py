@@ -26,6 +26,7 @@ def test_parse(spark):
     cases = {
         "4": (4.0, 4), " 3.9 ": (3.9, 3), "abc": (None, None), None: (None, None), "1d": (None, None),
         "1e0": (1.0, 1), "inf": (math.inf, None), "-Infinity": (-math.inf, None), "nan": (None, None),
+        "3\t": (3.0, 3), "\n3": (3.0, 3), "\u00a03": (None, 3), "\u20033 ": (None, 3),
         "": (None, None), ".5": (0.5, 0), "-1.7": (-1.7, -1), "0x1": (None, None), "1e30": (1e30, None),
     }
     rows = spark.createDataFrame([(c,) for c in cases], "s string")

@@ -125,13 +125,13 @@ def test_list_sheets_and_summary(spark, tmp_path):
     (tmp_path / "P4.csv").write_bytes(b"\xff\xfe\xff,\n")
     listed = sheets.list_sheets(spark, str(tmp_path))
     assert {(r.sheet_name, r.status, r.n_rows) for r in listed.collect()} == {
-        ("Participant 1", "read", 3), ("Instructions", "ignored", 1), ("P3", "no_text_columns", 1), ("", "unreadable", 0),
+        ("Participant 1", "read", 3), ("Instructions", "ignored", 1), ("P3", "no_text_columns", 1), ("P4", "no_text_columns", 0),
     }
     report = sheets.load_report(sheets.read_sheets(spark, str(tmp_path)), "tuning")
     assert sheets.load_summary(report, listed).first().asDict() == {
         "sheets_total": 4, "sheets_skipped": 3, "sheets_valid": 1, "kept": 3, "deduplicated": 1, "missing_scores": 1, "final_rows": 1,
     }
-    assert sheets.list_sheets(spark, str(tmp_path / "none")).isEmpty()
+    assert sheets.list_sheets(spark, str(tmp_path / "none"), missing_ok=True).isEmpty()
 
 
 def json_codec(path, content):
@@ -152,7 +152,10 @@ def test_workbook_with_many_sheets(spark, tmp_path):
 
 
 def test_missing_path_and_missing_scores(spark, tmp_path):
-    assert sheets.load_role(spark, str(tmp_path / "none.csv"), "tuning").isEmpty()
+    with pytest.raises(FileNotFoundError):
+        sheets.load_role(spark, str(tmp_path / "none.csv"), "tuning")
+    empty_ok = IngestConfig(missing_ok=True)
+    assert sheets.load_role(spark, str(tmp_path / "none.csv"), "tuning", empty_ok).isEmpty()
     write_csv(tmp_path, "P1", pd.DataFrame({"stimulus": ["a"], "response": ["b"]}))
     with pytest.raises(ValueError, match="score"):
         sheets.load_role(spark, str(tmp_path), "tuning")
@@ -165,7 +168,7 @@ def test_cache(spark, tmp_path):
     write_csv(source, "P1", pd.DataFrame({"stimulus": ["a"], "response": ["b"], "score": [2]}))
     cfg = IngestConfig(cache_dir=str(tmp_path / "cache"))
     assert sheets.load_role(spark, str(source), "tuning", cfg).count() == 1
-    cache = str(tmp_path / "cache" / "in_tuning")
+    cache = sheets.cache_path(cfg, str(source), "tuning")
     assert sheets.is_cache_valid(spark, str(source), cache)
     assert not sheets.is_cache_valid(spark, str(source), cache, force_reload=True)
     assert not sheets.is_cache_valid(spark, str(source), str(tmp_path / "nowhere"))
@@ -184,3 +187,53 @@ def test_table_with_sheet_column(spark):
     assert [(r.participant_id, r.stimulus, r.human_score) for r in got] == [("P1", "a", 4.0)]
     with pytest.raises(ValueError, match="transcription"):
         sheets.sheet_rows_from_table(table.drop("Response"))
+
+
+def test_cache_of_two_glob_sources(spark, tmp_path):
+    cfg = IngestConfig(cache_dir=str(tmp_path / "cache"))
+    for folder, text in (("a", "first"), ("b", "second")):
+        (tmp_path / folder).mkdir()
+        write_csv(tmp_path / folder, "P1", pd.DataFrame({"stimulus": [text], "response": ["x"], "score": [1]}))
+        got = sheets.load_role(spark, str(tmp_path / folder / "*.csv"), "tuning", cfg).collect()
+        assert [r.stimulus for r in got] == [text]
+
+
+def test_equal_sheet_names_are_rejected(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        write_csv(tmp_path / folder, "Participant 1", pd.DataFrame({"stimulus": ["s"], "response": ["r"]}))
+    with pytest.raises(ValueError, match="Participant 1"):
+        sheets.read_sheets(spark, str(tmp_path / "*"))
+
+
+def test_unreadable_workbook(spark, tmp_path):
+    (tmp_path / "book.json").write_text("no json")
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        sheets.read_sheets(spark, str(tmp_path), json_codec).collect()
+    assert sheets.read_sheets(spark, str(tmp_path), json_codec, skip_unreadable=True).isEmpty()
+    assert [r.status for r in sheets.list_sheets(spark, str(tmp_path), json_codec).collect()] == ["unreadable"]
+
+
+def test_native_reader_prunes_and_runs_no_python(spark, tmp_path, plan_of):
+    frame = pd.DataFrame({"Target": ["a", "b"], "Response": ["b", "c"], "Grade": [3, 4], "Notes": ["n", "m"]})
+    frame.to_parquet(tmp_path / "P 4.parquet")
+    read = sheets.read_sheets(spark, str(tmp_path))
+    plan = plan_of(read.select("stimulus"))
+    assert "Python" not in plan and "Pandas" not in plan
+    assert "Notes" not in plan and "Response" not in plan.split("ReadSchema")[-1]
+    got = read.orderBy("row_ordinal").collect()
+    assert [(r.sheet_name, r.row_ordinal, r.stimulus, r.human_score) for r in got] == [("P 4", 0, "a", "3"), ("P 4", 1, "b", "4")]
+
+
+def test_rows_of_a_split_file_keep_their_order(spark, tmp_path):
+    n = 60_000
+    write_csv(tmp_path, "P+1 %", pd.DataFrame({"stimulus": [f"s{i}" for i in range(n)], "response": ["r" * 40] * n}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        read = sheets.read_sheets(spark, str(tmp_path), multi_line=False)
+        assert read.rdd.getNumPartitions() > 1
+        got = [r.stimulus for r in read.orderBy("row_ordinal").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"s{i}" for i in range(n)] and read.first().sheet_name == "P+1 %"
