@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from rubrica.llm import chat, embedding_dedup
+from rubrica.llm import components as united
 from rubrica.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,7 +147,9 @@ def test_no_conversations(spark):
 # --- components and pipeline -----------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [1_000_000, 100])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(united, "TASK_LINKS", task_links)
     random.seed(6)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
     links += [(random.randrange(2000, 2300), random.randrange(2000, 2300)) for _ in range(200)] + [(5, 5)]
