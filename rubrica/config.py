@@ -179,6 +179,8 @@ class ExperimentConfig:
         seed = int(cfg.get("project", {}).get("seed", 42))
         if int(engine.get("rf_min_samples_split", 2)) != 2:
             raise ValueError("rf_min_samples_split other than 2 has no Spark ML counterpart")
+        if engine.get("lr_solver", "lbfgs") != "lbfgs":
+            raise ValueError("lr_solver other than lbfgs has no Spark ML counterpart")
 
         limits = optim.get("grid_search", {}).get("bounds", {})
         base = ThresholdSearchConfig()

@@ -41,12 +41,17 @@ class PairModel:
 
 @dataclass(frozen=True)
 class Models:
-    """What the engines run on.  ``lexicon`` has ``form, lemma, pos, is_stop``, one row a form."""
+    """What the engines run on.  ``lexicon`` has ``form, lemma, pos, is_stop``, one row a form.
+
+    ``stand_ins`` lets hashed and shared words stand in for models that are not given; without it
+    a missing model is an error.
+    """
 
     lexicon: DataFrame | None = None
     embedder: Embedder | None = None
     pair_model: PairModel | None = None
     joint_model: Callable[[DataFrame], DataFrame] | None = None
+    stand_ins: bool = False
 
 
 def _both_texts() -> Column:
@@ -157,12 +162,16 @@ def hashed_embedder(width: int = 256) -> Embedder:
     return embed
 
 
+# Rows that one task runs through a model.
+MODEL_ROWS = 16_384
+
+
 def _model_tasks(df: DataFrame) -> DataFrame:
-    """Spread rows over all tasks: model time follows rows, not bytes, so a fixed number of
-    partitions keeps adaptive execution from folding small texts into one task."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n)
+    """Deal rows to tasks by their number, all task slots at least: model time follows rows, not bytes.
+
+    ``df`` should be a stored table, as it is counted first.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // MODEL_ROWS)))
 
 
 def python_embedder(load: Callable[[], Callable[[list[str]], object]], batch_size: int = 8) -> Embedder:
@@ -184,7 +193,7 @@ def python_embedder(load: Callable[[], Callable[[list[str]], object]], batch_siz
 
 def embed_texts(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """Each distinct text once: (text, vector), written so that no vector is computed twice."""
-    return materialize(embedder(texts.select("text").distinct()), "vectors")
+    return materialize(embedder(materialize(texts.select("text").distinct(), "texts")), "vectors")
 
 
 def vector_similarity(pairs: DataFrame, embedder: Embedder) -> DataFrame:
@@ -276,8 +285,8 @@ def model_features(df: DataFrame, models: Models, cfg: FeatureConfig) -> DataFra
         ("sentence vectors", cfg.use_sbert, models.embedder),
         ("pair model", cfg.use_nli, models.pair_model),
     ):
-        if used and model is None:
-            logger.warning("%s: no model given, using the built-in stand-in", engine)
+        if used and model is None and not models.stand_ins:
+            raise ValueError(f"{engine}: no model given (Models(stand_ins=True) runs the built-in stand-ins)")
     pairs = materialize(df.filter(_both_texts()).select(*PAIR).distinct(), "pairs")
     out = pairs
     if cfg.use_sbert:

@@ -10,10 +10,8 @@ from rubrica.session import materialize
 
 # Bytes of values up to which the smaller side is broadcast; summed up before planning.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key counts as hot when it holds more than this share of the large side, so there are
-# fewer hot keys than 1 / share.
-HOT_SHARE = 1 / 1024
-HOT_COPIES = 64
+# Rows of one key that a task should meet; a key with more is spread over as many sub-keys as it takes.
+ROWS_PER_KEY = 1 << 20
 
 
 def _bytes_of(field: T.StructField) -> Column:
@@ -36,20 +34,20 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of ``big`` to ``small`` (at most one row per key in ``small``).
 
-    A small side of checked size is broadcast.  Beyond that both sides are shuffled, and the
-    rows of hot keys are spread over ``HOT_COPIES`` sub-keys by the hash of ``spread_by``,
-    against as many copies of the few rows they meet.  ``big`` is then read twice, once to
-    count its keys.  ``small_fits`` is the outcome of the size check where it is known.
+    A small side of checked size is broadcast.  Beyond that both sides are shuffled, and the rows of
+    a hot key are spread over sub-keys by the hash of ``spread_by``, as many as its count asks for,
+    against as many copies of the row they meet.  ``big`` is then read twice, once to count its keys.
+    The list of hot keys is broadcast after the same size check.  ``small_fits`` is the outcome of
+    the size check where it is known.
     """
     if fits_broadcast(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), on, "left")
     counts = materialize(big.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.filter(F.col("_n") > total * HOT_SHARE).select(*on, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)  # fewer than 1 / HOT_SHARE rows
-    is_hot = F.col("_hot").isNotNull()
-    slot = F.pmod(F.xxhash64(*spread_by), F.lit(HOT_COPIES)).cast("int")
-    slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_COPIES - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, on, "left").withColumn("_slot", F.when(is_hot, slot).otherwise(0)).drop("_hot")
-    right = small.join(hot, on, "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+    copies = F.ceil(F.col("_n") / ROWS_PER_KEY).cast("int")
+    hot = counts.filter(F.col("_n") > ROWS_PER_KEY).select(*on, copies.alias("_copies"))
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    copies = F.coalesce("_copies", F.lit(1))
+    slot = F.pmod(F.xxhash64(*spread_by), copies).cast("int")
+    left = big.join(hot, on, "left").withColumn("_slot", slot).drop("_copies")
+    right = small.join(hot, on, "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
     return left.join(right, [*on, "_slot"], "left").drop("_slot")

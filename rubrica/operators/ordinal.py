@@ -168,22 +168,24 @@ def _estimator(cfg: OrdinalConfig, n: int):
 def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
     """Fit ``y > class`` for every class but the last, with balanced class weights."""
     table = training_table(df, label, cfg)
-    by_label = table.groupBy("_label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
-    sizes = {r["_label"]: r["n"] for r in by_label}
+    # One row of a fixed width, whatever labels there are.
+    per_grade = [F.sum(F.when(F.col("_label") == c, F.col("n"))).alias(f"n{c}") for c in RUBRIC]
+    row = table.agg(*per_grade, F.count_if(~F.col("_label").isin(*RUBRIC)).alias("other")).first()
+    sizes = {c: row[f"n{c}"] for c in RUBRIC if row[f"n{c}"]}
+    if row["other"]:
+        raise ValueError("labels must be grades 0 to 4")
     if not sizes:
         raise ValueError("no labelled rows to train on")
-    if not set(sizes) <= set(RUBRIC):
-        raise ValueError("labels must be grades 0 to 4")
     classes = tuple(sorted(sizes))
     if len(classes) < 2:
         raise ValueError("training needs at least two classes")
     n = sum(sizes.values())
 
     assembled = VectorAssembler(inputCols=list(cfg.features), outputCol="_features").transform(table)
-    # Read once per iteration of every fit, so small tables are kept in few tasks; coalescing
-    # to more partitions than there are changes nothing.
-    tasks = max(1, sum(r["rows"] for r in by_label) // ROWS_PER_TASK)
-    train = assembled.select("_features", "_label", "n").coalesce(tasks).persist()
+    # Read once per iteration of every fit, so a small table is kept in few tasks.  The rows are
+    # filtered and pruned before they are dealt out, and the stage that reads them keeps its tasks.
+    tasks = max(1, n // ROWS_PER_TASK)
+    train = assembled.select("_features", "_label", "n").repartition(tasks).persist()
     try:
 
         def fit(boundary: int) -> BinaryModel:

@@ -86,6 +86,8 @@ def _kappa(below: Sequence[Column], total: Column) -> Column:
 
 def _bins(low: float, high: float, step: float) -> list[int]:
     first, last, width = (round(x * SCALE) for x in (low, high, step))
+    if width < 1:
+        raise ValueError(f"grid_step must be {1 / SCALE} or more")
     return sorted({*range(first, last + 1, width)})
 
 
@@ -147,9 +149,7 @@ def fit_thresholds(
     that of the returned cuts.  Where no candidate has a QWK the initial guess comes back.
     """
     check_fit_rows(df, label)
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    running = running_counts(score_histogram(df, raw, label)).repartition(min(slots, 16))
-    running = materialize(running, "running-counts")
+    running = materialize(running_counts(score_histogram(df, raw, label)), "running-counts")
     start = best_candidate(score_candidates(running, cfg)).first()
     if start["qwk"] is None:
         return list(cfg.initial), None

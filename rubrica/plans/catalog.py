@@ -255,7 +255,8 @@ def gated_features(spark, sf):
 @query
 def model_features(spark, sf):
     """All engines, with the built-in stand-in models, on the rows the gate leaves open."""
-    routed = features.gated_features(materialize(_cleaned(spark, sf), "cleaned"), ROW)
+    stand_ins = features.Models(stand_ins=True)
+    routed = features.gated_features(materialize(_cleaned(spark, sf), "cleaned"), ROW, stand_ins)
     return routed.select(*ROW, "early_gate_score", *features.feature_names(FeatureConfig()))
 
 
@@ -479,7 +480,8 @@ def report_export(spark, sf):
 
 @query
 def experiment_summary(spark, sf):
-    return experiment.run_experiment(_tuning(spark, sf))["experiment_summary"]
+    stand_ins = features.Models(stand_ins=True)
+    return experiment.run_experiment(_tuning(spark, sf), models=stand_ins)["experiment_summary"]
 
 
 @query

@@ -92,16 +92,16 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant turn that follows, both cleaned.
+    """Every turn but the assistant's with the assistant turn that follows (empty if none does), both cleaned.
 
     An equality join on (conversation, turn), so a long conversation is spread over tasks.
     """
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("stimulus"))
+    asked = turns.filter(F.col("role") != "assistant").select("conv_id", "turn", F.col("text").alias("stimulus"))
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
-    return asked.join(answered, ["conv_id", "turn"]).select(
+    return asked.join(answered, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
         clean_text(F.col("stimulus")).alias("clean_stimulus"),
@@ -110,20 +110,26 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector with the one numbered next."""
+    """Each vector with the one numbered next, the last one without."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return vectors.select("vec_id", F.col("embedding").alias("a")).join(following, "vec_id")
+    return vectors.select("vec_id", F.col("embedding").alias("a")).join(following, "vec_id", "left")
 
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors read as model outputs: three logits, four cumulative probabilities, one score."""
+    """Vectors read as model outputs, each of sums over all values: three logits, four cumulative
+    probabilities, one score."""
     v = F.col("embedding")
+
+    def total(parts: int, part: int) -> Column:
+        own = F.filter(v, lambda _, i: i % parts == part)
+        return F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double"))
+
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
-        F.transform(F.slice(v, 1, 3), lambda x: x.cast("double") * 8.0).alias("logits"),
-        *[((v[i].cast("double") * 2.0 + 1.0) / 2.0).alias(f"g{i}") for i in range(4)],
-        (v[5].cast("double") * 4.0).alias("score"),
+        F.array(*[total(3, k) * 2.0 for k in range(3)]).alias("logits"),
+        *[((total(4, k) + 1.0) / 2.0).alias(f"g{k}") for k in range(4)],
+        total(1, 0).alias("score"),
     )
 
 

@@ -469,21 +469,26 @@ SELECT total, exact, total - exact AS needs_features, {r4('x')} AS exact_percent
     sql["word_overlap"] = f"WITH {CLEANED},{overlap('cleaned', row, False)} SELECT {row}, {LEXICAL} FROM features"
     sql["conv_overlap"] = f"""WITH turns AS (
   SELECT a.conv_id, a.turn, {clean('a.text')} AS clean_stimulus, {clean('b.text')} AS clean_response
-  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-  WHERE a.role = 'user' AND b.role = 'assistant'
+  FROM conversations a LEFT JOIN conversations b
+    ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
+  WHERE a.role <> 'assistant'
 ),{overlap('turns', 'conv_id, turn', False)} SELECT conv_id, turn, {LEXICAL} FROM features"""
     sql["vector_cosine"] = f"""WITH pairs AS (
   SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1
 ), dots AS (
   SELECT vec_id, least(1e0, greatest(0e0, list_dot_product(a, b)
     / sqrt(list_dot_product(a, a) * list_dot_product(b, b)))) AS x FROM pairs
 ) SELECT vec_id, {r4('x')} AS sbert_similarity FROM dots"""
-    outputs = """outputs AS (
-  SELECT vec_id, [CAST(embedding[i] AS DOUBLE) * 8e0 for i in [1, 2, 3]] AS logits,
-    (CAST(embedding[1] AS DOUBLE) * 2e0 + 1e0) / 2e0 AS g0, (CAST(embedding[2] AS DOUBLE) * 2e0 + 1e0) / 2e0 AS g1,
-    (CAST(embedding[3] AS DOUBLE) * 2e0 + 1e0) / 2e0 AS g2, (CAST(embedding[4] AS DOUBLE) * 2e0 + 1e0) / 2e0 AS g3,
-    CAST(embedding[6] AS DOUBLE) * 4e0 AS score FROM embeddings
+
+    def total(parts: int, part: int) -> str:
+        own = f"[CAST(embedding[i + 1] AS DOUBLE) for i in range(len(embedding)) if i % {parts} = {part}]"
+        return f"list_reduce({own}, lambda x, y: x + y)"
+
+    outputs = f"""outputs AS (
+  SELECT vec_id, [{", ".join(f"{total(3, k)} * 2e0" for k in range(3))}] AS logits,
+    {", ".join(f"({total(4, k)} + 1e0) / 2e0 AS g{k}" for k in range(4))},
+    {total(1, 0)} AS score FROM embeddings
 )"""
     sql["pair_margin"] = f"""WITH {outputs},
 shifted AS (SELECT vec_id, [exp(x - list_max(logits)) for x in logits] AS e FROM outputs),

@@ -23,43 +23,77 @@ def _path(name: str) -> str:
     return name if os.path.exists(name) else SparkFiles.get(os.path.basename(name))
 
 
-def _runner(model: str, tokenizer: str, max_length: int):
-    """Function from a list of texts or text pairs to the first model output and the mask."""
-    import onnxruntime
-    from tokenizers import Tokenizer
-
-    words = Tokenizer.from_file(_path(tokenizer))
-    words.enable_truncation(max_length)
-    pad = next((t for t in PAD_TOKENS if words.token_to_id(t) is not None), PAD_TOKENS[-1])
-    words.enable_padding(pad_id=words.token_to_id(pad) or 0, pad_token=pad)
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = 1  # one task slot, one core
-    session = onnxruntime.InferenceSession(_path(model), options, providers=["CPUExecutionProvider"])
-    wanted = {i.name for i in session.get_inputs()}
-
-    def run(texts: list) -> tuple[np.ndarray, np.ndarray]:
-        encoded = words.encode_batch(texts)
-        mask = np.array([e.attention_mask for e in encoded], dtype=np.int64)
-        feed = {
-            "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
-            "attention_mask": mask,
-            "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
-        }
-        return session.run(None, {k: v for k, v in feed.items() if k in wanted})[0], mask
-
-    return run
+class _Runner:
+    """A model with its tokenizer; texts of any length, cut into overlapping windows of ``max_length`` tokens."""
+
+    def __init__(self, model: str, tokenizer: str, max_length: int, batch_size: int):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        self.words = Tokenizer.from_file(_path(tokenizer))
+        self.words.no_truncation()
+        pad = next((t for t in PAD_TOKENS if self.words.token_to_id(t) is not None), PAD_TOKENS[-1])
+        self.words.enable_padding(pad_id=self.words.token_to_id(pad) or 0, pad_token=pad)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1  # one task slot, one core
+        self.session = onnxruntime.InferenceSession(_path(model), options, providers=["CPUExecutionProvider"])
+        self.wanted = {i.name for i in self.session.get_inputs()}
+        self.max_length, self.batch_size = max_length, batch_size
+
+    def run(self, texts: list):
+        """First model output and mask, a batch of windows at a time."""
+        for start in range(0, len(texts), self.batch_size):
+            encoded = self.words.encode_batch(texts[start : start + self.batch_size])
+            mask = np.array([e.attention_mask for e in encoded], dtype=np.int64)
+            feed = {
+                "input_ids": np.array([e.ids for e in encoded], dtype=np.int64),
+                "attention_mask": mask,
+                "token_type_ids": np.array([e.type_ids for e in encoded], dtype=np.int64),
+            }
+            yield self.session.run(None, {k: v for k, v in feed.items() if k in self.wanted})[0], mask
+
+    def _room(self, pair: bool) -> int:
+        return max(1, self.max_length - self.words.num_special_tokens_to_add(pair))
+
+    def _slices(self, text: str, pieces: int) -> list[str]:
+        """The text in ``pieces`` parts of equal tokens, each with an eighth of its neighbours on either side."""
+        places = self.words.encode(text, add_special_tokens=False).offsets
+        if pieces == 1 or not places:
+            return [text] * pieces
+        width = len(places) / pieces
+        found = []
+        for k in range(pieces):
+            first = min(len(places) - 1, max(0, int(k * width - width / 8)))
+            last = max(first + 1, min(len(places), int(np.ceil((k + 1) * width + width / 8))))
+            found.append(text[places[first][0] : places[last - 1][1]])
+        return found
+
+    def _tokens(self, text: str) -> int:
+        return len(self.words.encode(text, add_special_tokens=False).offsets)
+
+    def windows(self, *texts: str) -> list:
+        """Windows of a text, or aligned windows of two texts that the model reads together."""
+        total, room = sum(map(self._tokens, texts)), self._room(len(texts) > 1)
+        pieces = 1 if total <= room else int(np.ceil(1.25 * total / room))
+        slices = [self._slices(t, pieces) for t in texts]
+        return slices[0] if len(slices) == 1 else list(zip(*slices, strict=True))
 
 
 def onnx_embedder(model: str, tokenizer: str, max_length: int = 128, batch_size: int = 8) -> Embedder:
-    """Unit-length sentence vectors: the mean of the token states under the attention mask."""
+    """Unit-length sentence vectors: the mean of the token states over all windows of the text."""
 
     def load():
-        run = _runner(model, tokenizer, max_length)
+        runner = _Runner(model, tokenizer, max_length, batch_size)
 
         def encode(texts: list[str]) -> np.ndarray:
-            states, mask = run(texts)
-            weights = mask[:, :, None]
-            mean = (states * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1)
+            windows = [runner.windows(t) for t in texts]
+            sums, counts = [], []
+            for states, mask in runner.run([w for own in windows for w in own]):
+                sums.append((states * mask[:, :, None]).sum(axis=1))
+                counts.append(mask.sum(axis=1))
+            first = np.cumsum([0, *map(len, windows[:-1])])
+            total = np.add.reduceat(np.concatenate(sums), first, axis=0)
+            mean = total / np.maximum(np.add.reduceat(np.concatenate(counts), first), 1)[:, None]
             norms = np.linalg.norm(mean, axis=1, keepdims=True)
             return (mean / np.where(norms == 0, 1, norms)).astype(np.float32)
 
@@ -71,14 +105,21 @@ def onnx_embedder(model: str, tokenizer: str, max_length: int = 128, batch_size:
 def onnx_pair_model(
     model: str, tokenizer: str, labels: Sequence[str], max_length: int = 256, batch_size: int = 8
 ) -> PairModel:
-    """Class logits of premise and hypothesis, truncated together to ``max_length`` tokens."""
+    """Class logits of premise and hypothesis.
+
+    A pair longer than ``max_length`` tokens is read in windows: both texts are cut into the same number of
+    overlapping parts, part meets part, and the logits are the mean over the windows.
+    """
 
     def load():
-        run = _runner(model, tokenizer, max_length)
+        runner = _Runner(model, tokenizer, max_length, batch_size)
 
         def classify(premises: list[str], hypotheses: list[str]) -> np.ndarray:
-            logits, _ = run(list(zip(premises, hypotheses)))
-            return logits.astype(np.float64)
+            windows = [runner.windows(p, h) for p, h in zip(premises, hypotheses, strict=True)]
+            logits = [out for out, _ in runner.run([w for own in windows for w in own])]
+            first, sizes = np.cumsum([0, *map(len, windows[:-1])]), np.array([len(w) for w in windows])
+            total = np.add.reduceat(np.concatenate(logits).astype(np.float64), first, axis=0)
+            return total / sizes[:, None]
 
         return classify
 

@@ -16,8 +16,14 @@ from rubrica.plans.experiment import Fitted
 def score_stream(answers: DataFrame, fitted: Fitted, clean: CleanConfig = CleanConfig()) -> DataFrame:
     """Cleaned, gated and scored answers of a streaming table of pairs.
 
-    Word overlap is computed in the stream; model features are used where the table has them.
+    Word overlap is computed in the stream; features of models must come with the table.  A stream without
+    one that carries weight, or that the fitted models read, is rejected: its scores would mean something else.
     """
+    needed = {f for f, weight in fitted.heuristic.normalized_weights.items() if weight}
+    needed |= set(fitted.ordinal.config.features)
+    missing = sorted(needed - set(LEXICAL_FEATURES) - set(answers.columns))
+    if missing:
+        raise ValueError(f"the stream lacks features that the scorers use: {missing}")
     overlap = lexical_features(preprocess_pairs(answers, clean), key=[])
     # Settled rows carry no features, as in the batch tables.
     is_open = F.col("early_gate_score").isNull()

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rubrica.config import ExperimentConfig, FeatureConfig, IngestConfig
+from rubrica.config import ExperimentConfig, FeatureConfig, HeuristicConfig, IngestConfig, OrdinalConfig
+from rubrica.operators.features import Models
 from rubrica.operators.ordering import first_rows, with_row_index
 from rubrica.plans import catalog, experiment
 from rubrica.session import materialize, scratch_dir
@@ -13,7 +14,12 @@ from rubrica.streaming.scoring import score_stream, write_scores
 
 from conftest import SMALL
 
-WORDS = ExperimentConfig(features=FeatureConfig(use_sbert=False, use_nli=False))
+WORDS = ExperimentConfig(
+    features=FeatureConfig(use_sbert=False, use_nli=False),
+    heuristic=HeuristicConfig({"lemma_recall": 1.0}),
+    ordinal=OrdinalConfig(features=("lemma_recall",)),
+)
+STAND_INS = Models(stand_ins=True)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +32,7 @@ def result(spark, tuning, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     holdout = tuning.withColumn("human_score", F.lit(None).cast("double"))
     cfg = ExperimentConfig(output_dir=out)
-    return out, experiment.run_experiment(tuning, holdout, cfg)
+    return out, experiment.run_experiment(tuning, holdout, cfg, STAND_INS)
 
 
 def test_row_index(spark, tuning):
@@ -97,7 +103,7 @@ def test_heuristic_wins_a_tie(spark):
 
 def test_empty_tuning_stops(spark, tuning):
     with pytest.raises(ValueError):
-        experiment.run_experiment(tuning.limit(0))
+        experiment.run_experiment(tuning.limit(0), models=STAND_INS)
 
 
 def test_empty_holdout_is_skipped(spark, tuning):
@@ -123,13 +129,13 @@ def test_experiment_from_files(spark, tmp_path):
         return {k: pd.DataFrame(v) for k, v in json.loads(content).items()}
 
     cfg = ExperimentConfig(ingest=IngestConfig(tuning_path=str(tmp_path / "tuning.json"), holdout_path=str(tmp_path / "holdout.json")))
-    tables = experiment.run_from_files(spark, cfg, codec=codec)
+    tables = experiment.run_from_files(spark, cfg, STAND_INS, codec)
     assert tables["tuning_audit"].count() == 72 and tables["holdout_predictions"].count() == 72
     assert tables["holdout_predictions"].filter("human_score is not null").isEmpty()
 
 
 def test_sanity_check(spark, tuning):
-    rows = experiment.sanity_check(tuning).collect()
+    rows = experiment.sanity_check(tuning, models=STAND_INS).collect()
     first = first_rows(tuning, experiment.ORDER, 3).collect()
     assert sorted(r.stimulus for r in rows) == sorted(r.stimulus for r in first) and len(rows) == 3
 
@@ -148,6 +154,18 @@ def test_streaming_equals_batch(spark, tuning, tmp_path):
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch)) and len(batch) > 0
 
 
+def test_stream_without_weighted_features_is_rejected(spark, tuning):
+    fitted, _, _ = experiment.fit_scorers(materialize(experiment.process_dataset(tuning, WORDS), "train"), WORDS)
+    other = experiment.Fitted(HeuristicConfig(), fitted.ordinal)
+    with pytest.raises(ValueError, match="nli_margin"):
+        score_stream(tuning, other)
+
+
+def test_missing_models_are_an_error(spark, tuning):
+    with pytest.raises(ValueError, match="no model"):
+        experiment.process_dataset(tuning)
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark) == shared

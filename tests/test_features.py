@@ -73,7 +73,7 @@ def test_lexicon_path_equals_brute_force(spark, monkeypatch, fits, remove_stops)
     text = lambda: " ".join(w for w in rng.choice(vocabulary, rng.integers(0, 9)) if w) or ""
     values = [(f"el {text()}".strip(), text()) for _ in range(300)] + [("", "el"), ("el", "")]
     monkeypatch.setattr(features, "fits_broadcast", lambda *_: fits)
-    monkeypatch.setattr(lookup, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(lookup, "ROWS_PER_KEY", 20)
     lexicon = spark.createDataFrame([(f, *e) for f, e in entries.items()], LEXICON)
     cfg = FeatureConfig(remove_stopwords_for_ideas=remove_stops)
     got = by_id(features.lexical_features(pairs(spark, *values), ["id"], lexicon, cfg))
@@ -84,6 +84,7 @@ def test_lexicon_path_equals_brute_force(spark, monkeypatch, fits, remove_stops)
 
 def test_lookup_join_with_a_hot_key(spark, monkeypatch):
     """A key with a third of all rows is spread; nothing is lost or doubled."""
+    monkeypatch.setattr(lookup, "ROWS_PER_KEY", 100)
     big = spark.range(9000).select(
         F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 4000)).alias("k")
     )

@@ -4,7 +4,6 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rubrica.operators import features
 
@@ -100,10 +99,29 @@ def test_pair_classifier(spark, files):
         assert abs(r.nli_entailment - p[0]) < 1e-4 and abs(r.nli_margin - (p[0] - p[2])) < 1e-4
 
 
-def test_truncation(spark, files):
-    folder, table = files
-    model = onnx_pair_model(str(folder / "pairs.onnx"), str(folder / "tokenizer.json"), ["entail"], max_length=2)
-    long = pairs(spark).filter(F.col("clean_stimulus") == "la casa roja")
-    row = features.nli_features(long, model).first()
-    logits = table[[WORDS.index("la"), WORDS.index("la")]].mean(axis=0).astype(float)
-    assert abs(row.nli_entailment - np.exp(logits[0]) / np.exp(logits).sum()) < 1e-4
+def test_texts_longer_than_the_model_count_whole(spark, files):
+    folder, _ = files
+    paths = str(folder / "encoder.onnx"), str(folder / "tokenizer.json")
+    base, tail = "la casa " * 200, "perro roja perro " * 40
+    rows = [(base, base), (base, base + tail), (base + "roja " * 90, base)]
+    long = spark.createDataFrame(rows, "clean_stimulus string, clean_response string")
+    embedder = onnx_embedder(*paths, max_length=128)
+    got = {(r.clean_stimulus, r.clean_response): r.sbert_similarity for r in features.vector_similarity(long, embedder).collect()}
+    assert got[rows[0]] == 1 and got[rows[1]] < 1 and got[rows[2]] < 1
+    model = onnx_pair_model(
+        str(folder / "pairs.onnx"), paths[1], ["entailment", "neutral", "contradiction"], max_length=256, batch_size=1
+    )
+    scored = {(r.clean_stimulus, r.clean_response): r.nli_entailment for r in features.nli_features(long, model).collect()}
+    assert len(set(scored.values())) == 3
+
+
+def test_windows_cover_the_text(files):
+    from rubrica.sources.onnx_models import _Runner
+
+    folder, _ = files
+    runner = _Runner(str(folder / "encoder.onnx"), str(folder / "tokenizer.json"), 10, 4)
+    words = [f"w{i}" for i in range(57)]
+    windows = [w.split() for w in runner.windows(" ".join(words))]
+    assert all(len(w) <= 10 for w in windows)
+    assert [w for i, w in enumerate(words) if not any(w in x for x in windows)] == []
+    assert all(set(a) & set(b) for a, b in zip(windows, windows[1:]))
