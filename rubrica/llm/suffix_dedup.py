@@ -5,7 +5,7 @@ anchor, so equal windows have equal anchors wherever they lie.  Consecutive wind
 form a span, about 35 windows long.
 
 1. Anchors are shuffled by hash; those that occur once cannot be in a repeat.  Equal spans become one span with a first
-   occurrence; the others are repeats of it throughout.
+   occurrence, within a batch before the shuffle and among all after it; the others are repeats of it throughout.
 2. The texts of spans whose anchor has different spans are dealt to shards by anchor.  A shard sorts the suffixes that start at
    its windows (a suffix array), takes the common prefix lengths of neighbours, and scans them with a stack:
    every interval of common prefix ``LENGTH`` or more is a node of the interval tree, with all its occurrences.
@@ -83,32 +83,58 @@ def spans_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
     return row[first], begin - bounds[row[first]], count, offset, grams[anchor], whole
 
 
+def _later_copies(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Spans that equal an earlier one of these."""
+    order = np.lexsort((place, doc))
+    code = (mix(anchor) ^ whole)[order]
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    first = first[group]
+    same = (anchor[order] == anchor[order][first]) & (whole[order] == whole[order][first])
+    later = np.zeros(len(doc), dtype=bool)
+    later[order] = same & (first != np.arange(len(doc)))
+    return later
+
+
 def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per span; ``known`` is 1 where an earlier span of the same batch is equal."""
+
     def find(batches):
         for batch in batches:
             docs = batch.column("doc").to_numpy()
+            parts = []
             for low, _, data, bounds in text_blocks(batch.column("text"), BLOCK_BYTES):
                 row, start, count, offset, anchor, whole = spans_of(data, bounds, length, gram)
-                if len(row):
-                    place = start << 16 | count << 8 | offset
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(anchor.view(np.int64)),
-                            pa.array(whole.view(np.int64)),
-                            pa.array(docs[low + row]),
-                            pa.array(place.astype(np.int64)),
-                        ],
-                        names=["anchor", "whole", "doc", "place"],
-                    )
+                parts.append((docs[low + row], start << 16 | count << 8 | offset, anchor, whole))
+            if not parts:
+                continue
+            doc, place, anchor, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+            known = _later_copies(doc, place, anchor, whole)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(known.astype(np.int32)),
+                    pa.array(anchor.view(np.int64)),
+                    pa.array(whole.view(np.int64)),
+                    pa.array(doc),
+                    pa.array(place.astype(np.int64)),
+                ],
+                names=["known", "anchor", "whole", "doc", "place"],
+            )
 
-    return texts.mapInArrow(find, "anchor bigint, whole bigint, doc bigint, place bigint")
+    return texts.mapInArrow(find, "known int, anchor bigint, whole bigint, doc bigint, place bigint")
 
 
 def _repeated(batches):
     """Of sorted anchors: later equal spans (kind 0), and first spans of anchors with several (1; 2 if hot)."""
     rest = before = None  # ``before``: anchor, last span and number of spans of a run that goes on
     for batch in batches:
-        part = [batch.column(c).to_numpy() for c in ("anchor", "whole", "doc", "place")]
+        known = batch.column("known").to_numpy() == 1
+        if known.any():
+            copies = batch.filter(pa.array(known))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(copies), np.int32)), *(copies.column(c) for c in ("anchor", "doc", "place"))],
+                names=["kind", "anchor", "doc", "place"],
+            )
+        part = [batch.column(c).to_numpy()[~known] for c in ("anchor", "whole", "doc", "place")]
         if rest is not None:
             part = [np.concatenate(x) for x in zip(rest, part, strict=True)]
         if not len(part[0]):
@@ -332,9 +358,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     """Later occurrences of repeated strings, of (doc, text): doc, start, length; first_* where a shard found it."""
     own = texts.select("doc", "text")
     anchors = _anchors(own, length, gram)
+    # Copies that a batch knows of are settled: they are dealt out evenly, whatever their anchor.
+    dealt = F.when(F.col("known") == 1, F.xxhash64("doc", "place")).otherwise(F.col("anchor"))
     sorted_out = stored(
-        anchors.repartition("anchor")
-        .sortWithinPartitions("anchor", "whole", "doc", "place")
+        anchors.repartition(dealt)
+        .sortWithinPartitions("known", "anchor", "whole", "doc", "place")
         .mapInArrow(_repeated, "kind int, anchor bigint, doc bigint, place bigint"),
         "anchors",
     )
