@@ -99,7 +99,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def removed_lines(docs, simhash, distance, similarity, least_words):
+def removed_lines(docs, simhash, edits, distance, similarity, least_words):
     places = defaultdict(list)
     for key, text in docs:
         for i, line in enumerate((text or "").split("\n")):
@@ -107,13 +107,13 @@ def removed_lines(docs, simhash, distance, similarity, least_words):
             if words:
                 places[" ".join(words)].append((key, i))
     lines, union = list(places), Union()
-    hashes = [simhash(x) for x in lines]
+    hashes = [simhash(x) if x.count(" ") + 1 >= least_words else None for x in lines]
     for i, a in enumerate(lines):
         for j in range(i):
             b = lines[j]
-            if min(a.count(" "), b.count(" ")) + 1 < least_words or (hashes[i] ^ hashes[j]).bit_count() > distance:
+            if None in (hashes[i], hashes[j]) or (hashes[i] ^ hashes[j]).bit_count() > distance:
                 continue
-            if 1 - edit_distance(a, b) / max(len(a), len(b)) >= similarity:
+            if 1 - edits(a, b) / max(len(a), len(b)) >= similarity:
                 union.join(i, j)
     groups = defaultdict(list)
     for i, line in enumerate(lines):

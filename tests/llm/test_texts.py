@@ -225,7 +225,8 @@ def simhash(line):
 
 
 def expected_lines(rows):
-    return brute.removed_lines(rows, simhash, line_dedup.DISTANCE, line_dedup.SIMILARITY, line_dedup.MIN_WORDS)
+    limits = line_dedup.DISTANCE, line_dedup.SIMILARITY, line_dedup.MIN_WORDS
+    return brute.removed_lines(rows, simhash, line_dedup.edit_distance, *limits)
 
 
 def check_lines(docs, rows):
