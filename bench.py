@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -53,6 +54,12 @@ def throughput(spark: SparkSession, sf_dir: str, seconds: dict[str, float]) -> d
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="bench-") as scratch:
+        run(scratch)
+
+
+def run(scratch: str) -> None:
+    """All intermediate tables go to ``scratch``."""
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
     names = sys.argv[1:] or HEADLINE
@@ -64,6 +71,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", scratch)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
