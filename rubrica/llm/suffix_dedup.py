@@ -40,7 +40,6 @@ GRAM = 32
 SHARD_BYTES = 1 << 20
 #: Different spans of an anchor from which its windows are shuffled one by one.
 HOT_SPANS = 20_000
-BLOCK_BYTES = 1 << 20
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +101,7 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             docs = batch.column("doc").to_numpy()
             parts = []
-            for low, _, data, bounds in text_blocks(batch.column("text"), BLOCK_BYTES):
+            for low, _, data, bounds in text_blocks(batch.column("text")):
                 row, start, count, offset, anchor, whole = spans_of(data, bounds, length, gram)
                 parts.append((docs[low + row], start << 16 | count << 8 | offset, anchor, whole))
             if not parts:

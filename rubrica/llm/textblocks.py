@@ -7,7 +7,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that are worked on at a time; the arrays made from them take some sixty times as much.
+BLOCK_BYTES = (1 << 20) - 64
 #: An odd multiplier and its inverse modulo 2**64, for hashes of any byte range from running sums.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -68,7 +69,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below ``size`` at least."""
-    return _powers(1 << max(21, int(size).bit_length()))
+    return _powers(1 << max(20, (int(size) - 1).bit_length()))
 
 
 def range_sums(data: np.ndarray) -> np.ndarray:
