@@ -283,3 +283,29 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("runs") > 0).alias("contaminated"),
     )
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The same report by joining every window of every document to those of the benchmark."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = (
+        f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words"
+    )
+    return (
+        f"with docs as (select doc_id, {words} from documents), "
+        f"items as (select coalesce(cast(item_id as varchar), '') as item, {words} from benchmark), "
+        f"sized as (select item, words, least({window}, len(words)) as m from items where len(words) > 0), "
+        "patterns as (select distinct item, m, unnest([words[i:i + m - 1] for i in range(1, len(words) - m + 2)]) as p "
+        "from sized), "
+        "starts as (select doc_id, words, m, unnest(range(1, len(words) - m + 2)) as i "
+        "from docs join (select distinct m from patterns) sizes on len(words) >= m), "
+        "windows as (select doc_id, m, i, words[i:i + m - 1] as p from starts), "
+        "found as (select doc_id, w.m, i, item from windows w join patterns t on w.m = t.m and w.p = t.p), "
+        "hits as (select doc_id, count(distinct k) as n_hit from "
+        "(select doc_id, unnest(range(i, i + m)) as k from found) x group by doc_id), "
+        "owners as (select doc_id, list_sort(list(distinct item)) as own from found group by doc_id) "
+        "select d.doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(own), 0) as n_items, "
+        "sha256(coalesce(array_to_string(own, ','), '')) as items_sha256, n_hit is not null as contaminated "
+        "from docs d left join hits h on d.doc_id = h.doc_id left join owners o on d.doc_id = o.doc_id"
+    )

@@ -468,3 +468,25 @@ def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataF
     if total[0] == total[1]:
         return kept
     return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
+
+
+def oracle_sql(size: int = SHINGLE, percent: int = PERCENT) -> str:
+    """The same result by counting the shared shingles of all documents that share any."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (
+        "with recursive texts as (select doc_id, regexp_extract_all("
+        f"translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents), "
+        "shingles as (select distinct doc_id, unnest(case "
+        f"when len(w) >= {size} then [array_to_string(w[i:i + {size - 1}], ' ') for i in range(1, len(w) - {size - 2})] "
+        "when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from texts), "
+        "sizes as (select doc_id, count(*) as n from shingles group by doc_id), "
+        "shared as (select a.doc_id as a, b.doc_id as b, count(*) as common from shingles a join shingles b "
+        "on a.s = b.s and a.doc_id < b.doc_id group by all), "
+        "near as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b "
+        f"where 100 * common >= {percent} * (x.n + y.n - common)), "
+        "links as (select a, b from near union all select b, a from near), "
+        "reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a), "
+        "lowest as (select a, min(b) as low from reach group by a) "
+        "select t.doc_id, coalesce(n, 0) as n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) as component_id "
+        "from texts t left join sizes z on z.doc_id = t.doc_id left join lowest l on l.a = t.doc_id"
+    )

@@ -96,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_sentence_rules": licenses.oracle_sql(),
+    "op4_ngram_jaccard_join": ngram_join.oracle_sql(),
     "op5_chat_prefix_tree": chat.oracle_sql(),
     "op6_embedding_near_dedup": embedding_dedup.oracle_sql(),
+    "op8_benchmark_decontamination": decontaminate.oracle_sql(),
 }
