@@ -353,8 +353,15 @@ def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(numbers, same).select(rows["key"], rows["tag"], rows["text"], numbers["doc"])
 
 
+def _one_row_each(texts: DataFrame) -> DataFrame:
+    """(doc, text) with one row per document, so that rows that repeat a document are no copies of each other."""
+    total = texts.agg(F.count("*"), F.count_distinct("doc")).first()
+    own = texts.select("doc", "text")
+    return own if total[0] == total[1] else stored(own.dropDuplicates(["doc"]), "documents")
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Later occurrences of repeated strings, of (doc, text): doc, start, length; first_* where a shard found it."""
+    """Later occurrences of repeated strings, of (doc, text), a row per doc: doc, start, length; first_* where a shard found it."""
     own = texts.select("doc", "text")
     anchors = _anchors(own, length, gram)
     # Copies that a batch knows of are settled: they are dealt out evenly, whatever their anchor.
@@ -412,7 +419,7 @@ def remove(
 ) -> DataFrame:
     """Per document: ``key``, n_bytes, n_removed, n_spans, kept_sha256; on request spans and the bytes kept."""
     texts = _numbered(docs, key, text)
-    found = repeats(texts, length)
+    found = repeats(_one_row_each(texts), length)
     gathered = found.groupBy(F.col("doc").alias("at")).agg(
         F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths")
     )

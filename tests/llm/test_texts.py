@@ -80,6 +80,13 @@ def test_repeats_with_repeated_and_null_ids(spark):
     assert out[0] == (0, n, 0) and out[1:] == [(5, n, n), (5, n, n), (5, n + 1, n)]
 
 
+def test_a_document_that_is_loaded_twice_keeps_its_text(spark):
+    rows = [(5, PHRASE * 2), (5, PHRASE * 2), (None, LONG), (None, LONG), (7, LONG[:500])]
+    out = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove(frame(spark, rows)).collect())
+    n = len(PHRASE) * 2
+    assert out == [(0, len(LONG), 0), (0, len(LONG), 0), (5, n, 0), (5, n, 0), (7, 500, 500)]
+
+
 def test_repeat_groups_hold_all_occurrences():
     random.seed(3)
     text = "".join(random.choice("ab") for _ in range(300)).encode()
