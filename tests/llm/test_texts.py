@@ -278,6 +278,32 @@ def test_near_lines(spark, monkeypatch, cell, tile):
     check_lines(frame(spark, rows), rows)
 
 
+def changed_lines():
+    """Lines of 6 to 60 words and a copy of each with up to a sixth of the words replaced, as plain similarity has it."""
+    random.seed(4)
+    rows = []
+    for k in range(300):
+        words = [f"{random.choice('abcdefghij')}{random.randrange(10**6):x}" for _ in range(random.randint(6, 60))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 6)):
+            other[random.randrange(len(words))] = f"z{random.randrange(10**5):x}"
+        a, b = " ".join(words), " ".join(other)
+        if a != b and 5 * brute.edit_distance(a, b) <= max(len(a), len(b)):
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    return rows
+
+
+def test_near_lines_of_all_lengths_against_plain_edit_similarity(spark):
+    rows = changed_lines()
+    decided = {r.key for r in line_dedup.decide(frame(spark, rows)).collect()}
+    assert not {k for k in decided if k % 2 == 0}
+    assert len(rows) > 300 and len(decided) >= 0.98 * len(rows) / 2
+
+
+def test_similarity_of_exactly_four_fifths():
+    assert line_dedup.similar("a b c", "a b c"[:4]) and not line_dedup.similar("abcd", "abc")
+
+
 def test_edit_distance():
     random.seed(1)
     for _ in range(300):
