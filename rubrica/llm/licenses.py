@@ -6,6 +6,11 @@ is then one short string such as ``..<12>.<13>``, and ordered rules are matched
 sequence of identifiers with at most ``GAP`` unknown sentences between two of them.  A match is taken out before
 the next rule is tried, so a full licence text is not reported again as the notices it contains.
 
+Every text is read twice.  The first reading takes each line for a sentence of its own and gives n_sentences and n_known.
+The second one takes comment marks and list numbers off the lines and joins those of a paragraph, so wrapped texts are
+read as published; it also knows the sentences and rules of ``MORE_SENTENCES`` and ``MORE_RULES``.  Of each licence the reading
+with more matches counts.  The SQL has the first reading alone: it gives the same where the second one finds no more.
+
 Everything happens within the row: no join, no shuffle, no Python.  The tables of sentences and rules are fixed.
 
 Results for odd input: null and empty texts have no sentences and no licence; sentences without a letter or digit
@@ -123,6 +128,35 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("rights",)),
 )
 
+# Further licences, known to the second reading.
+MORE_SENTENCES: dict[str, str] = {
+    "lgpl-free": "This library is free software;",
+    "lgpl-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation;"
+    ),
+    "lgpl21-later": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
+    "agpl3-free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
+    "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+MORE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-terms", "lgpl21-later")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl2",)),
+    ("Unlicense", ("unlicense",)),
+)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT, NOISE = "([.!?;])[ \\t\\r]+", "[^a-z0-9\\n]+"
 
@@ -133,13 +167,28 @@ def normal(sentence: str) -> str:
 
 def pattern(sequence: tuple[str, ...]) -> str:
     """The rule as an expression over the identifier string of a text."""
-    numbers = {name: i for i, name in enumerate(SENTENCES)}
+    numbers = {name: i for i, name in enumerate(SENTENCES | MORE_SENTENCES)}
     return f"[.]{{0,{GAP}}}".join(f"<{numbers[name]}>" for name in sequence)
 
 
-def identifiers(text: Column) -> Column:
+def unwrapped(text: Column) -> Column:
+    """The text with a line per paragraph, without comment marks and list numbers."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\r", "")
+    for found, instead in (
+        ("(?md)^[ \\t/*#;%>!|-]++(?:(?i:rem|dnl)\\b[ \\t]*+)?", ""),
+        ("(?mdi)^(?:rem|dnl)\\b[ \\t]*+", ""),
+        ("(?md)^[(]?[0-9a-zA-Z][.)][ \\t]++", "\n"),
+        ("(?mdi)^((?:portions )?copyright|[(]c[)]|spdx-|all rights reserved)([^\\n]*+)\\n", "$1$2\n\n"),
+        ("(?mdi)(conditions|met):[ \\t]*+\\n", "$1:\n\n"),
+        ("(?<!\\n)\\n(?!\\n)", " "),
+    ):
+        plain = F.regexp_replace(plain, found, instead)
+    return plain
+
+
+def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifier string: ``<n>`` for a known sentence, a dot for any other."""
-    known = F.create_map(*(F.lit(x) for i, s in enumerate(SENTENCES.values()) for x in (normal(s), f"<{i}>")))
+    known = F.create_map(*(F.lit(x) for i, s in enumerate(sentences.values()) for x in (normal(s), f"<{i}>")))
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
     clean = F.regexp_replace(F.regexp_replace(lowered, CUT, "$1\n"), NOISE, " ")
     sentences = F.filter(F.transform(F.split(clean, "\n"), lambda s: F.trim(s)), lambda s: s != "")
@@ -147,15 +196,17 @@ def identifiers(text: Column) -> Column:
     return F.array_join(marks, "")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``key``, n_sentences, n_known, matches (licence, count by rule, in rule order)."""
+EMPTY = "cast(array() as array<struct<licence:string,n:int>>)"
+
+
+def _matches(ids: str, ordered: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """(licence, count) by rule, in rule order."""
     rules = F.array(
         *(
             F.struct(F.lit(name).alias("licence"), F.lit(pattern(sequence)).alias("pattern"))
-            for name, sequence in RULES
+            for name, sequence in ordered
         )
     )
-    empty = F.expr("cast(array() as array<struct<licence:string,n:int>>)")
 
     def step(state: Column, rule: Column) -> Column:
         n = F.regexp_count(state["rest"], rule["pattern"])
@@ -165,21 +216,37 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             F.when(n > 0, F.concat(state["found"], found)).otherwise(state["found"]).alias("found"),
         )
 
-    matched = F.aggregate(
-        rules,
-        F.struct(F.col("ids").alias("rest"), empty.alias("found")),
-        step,
-        lambda state: state["found"],
-    )
+    empty = F.expr(EMPTY)
+    start = F.struct(F.col(ids).alias("rest"), empty.alias("found"))
+    matched = F.aggregate(rules, start, step, lambda state: state["found"])
+    return F.when(F.col(ids).contains("<"), matched).otherwise(empty)
+
+
+def _count(found: Column, licence: Column) -> Column:
+    own = F.filter(found, lambda m: m["licence"] == licence)
+    return F.aggregate(own, F.lit(0), lambda a, m: a + m["n"])
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: ``key``, n_sentences, n_known, matches (licence, count by rule, in rule order)."""
     n_known = F.length(F.regexp_replace("ids", "[^<]+", ""))
+    lines, joined = F.col("by_line"), F.col("by_paragraph")
+    better = F.filter(joined, lambda m: _count(joined, m["licence"]) > _count(lines, m["licence"]))
+    rest = F.filter(lines, lambda m: _count(lines, m["licence"]) >= _count(joined, m["licence"]))
     return (
-        docs.select(F.col(key).alias("key"), identifiers(F.col(text)).alias("ids"))
+        docs.select(
+            F.col(key).alias("key"),
+            identifiers(F.col(text)).alias("ids"),
+            identifiers(unwrapped(F.col(text)), SENTENCES | MORE_SENTENCES).alias("joined"),
+        )
         .select(
             F.col("key").alias(key),
             (F.length(F.regexp_replace("ids", "[0-9]+>", ""))).cast("bigint").alias("n_sentences"),
             n_known.cast("bigint").alias("n_known"),
-            F.when(F.col("ids").contains("<"), matched).otherwise(empty).alias("matches"),
+            _matches("ids", RULES).alias("by_line"),
+            _matches("joined", MORE_RULES + RULES).alias("by_paragraph"),
         )
+        .select(key, "n_sentences", "n_known", F.concat(better, rest).alias("matches"))
     )
 
 

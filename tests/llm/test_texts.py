@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import brute
@@ -367,6 +368,39 @@ def test_licences(spark):
     assert out[6].n_known == 1 and out[1].n_sentences == 0
 
 
+def wrapped(*names, mark=""):
+    known = licenses.SENTENCES | licenses.MORE_SENTENCES
+    lines = [x for n in names for x in [*textwrap.wrap(known[n], 72), ""]]
+    return "\n".join((mark + x).rstrip() for x in lines)
+
+
+def test_wrapped_and_commented_licences(spark):
+    texts = {
+        "MIT": wrapped("mit-grant", "mit-notice", "mit-warranty"),
+        "BSD-3-Clause": wrapped("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", mark=" * "),
+        "ISC": "// Copyright 2020 Somebody\n" + wrapped("isc-grant", mark="// "),
+        "Apache-2.0": wrapped("apache-under", "apache-comply", "apache-copy", "apache-basis", mark="# "),
+        "GPL-3.0-or-later": wrapped("gpl-free-comma", "gpl-hope", mark="; "),
+        "GPL-2.0-or-later": "\n".join(
+            textwrap.wrap(" ".join(licenses.SENTENCES[n] for n in ("gpl-free-semicolon", "gpl2-terms", "gpl2-later")), 60)
+        ),
+        "LGPL-2.1-or-later": wrapped("lgpl-free", "lgpl-terms", "lgpl21-later", mark="dnl "),
+        "AGPL-3.0-or-later": wrapped("agpl3-free", mark="-- "),
+        "LGPL-3.0-or-later": wrapped("lgpl3-free").replace("\n", "\r\n"),
+        "MPL-2.0": wrapped("mpl2") + "2.0. If a copy was not distributed",
+        "Unlicense": wrapped("unlicense"),
+    }
+    bullets = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided "
+    bullets += "that the following conditions\nare met:\n1. " + "\n2. ".join(
+        "\n   ".join(textwrap.wrap(licenses.SENTENCES[n], 66)) for n in ("bsd-source", "bsd-binary")
+    )
+    rows = [*enumerate(texts.values()), (50, bullets), (51, "\n".join("* " * 5000 for _ in range(3)))]
+    out = {r.doc_id: r for r in licenses.report(licenses.scan(frame(spark, rows))).collect()}
+    assert [out[k].licences for k, _ in enumerate(texts)] == list(texts)
+    assert out[50].licences == "BSD-2-Clause" and out[51].licences == ""
+    assert {r.n_matches for r in out.values() if r.licences} == {1}
+
+
 def test_licences_need_no_shuffle_and_no_python(spark, plan_of):
     plan = plan_of(licenses.report(licenses.scan(frame(spark, ODD))))
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
