@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rubrica.llm import (
+    alignment,
     attribution,
     chat,
     decontaminate,
     embedding_dedup,
+    exact_dedup,
+    hard_negatives,
     licenses,
     line_dedup,
     ngram_join,
@@ -74,6 +78,19 @@ def quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.score(docs, model))
 
 
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.relabelled(_table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.resolve(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -91,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": benchmark_decontamination,
     "op9_fuzzy_line_dedup": fuzzy_line_dedup,
     "op10_quality_attention": quality_attention,
+    "op11_cross_tokenizer_alignment": cross_tokenizer_alignment,
+    "op12_hard_negative_mining": hard_negative_mining,
+    "op13_extendible_hash_dedup": extendible_hash_dedup,
     "pipeline": pipeline,
 }
 
@@ -100,4 +120,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_prefix_tree": chat.oracle_sql(),
     "op6_embedding_near_dedup": embedding_dedup.oracle_sql(),
     "op8_benchmark_decontamination": decontaminate.oracle_sql(),
+    "op12_hard_negative_mining": hard_negatives.oracle_sql(),
+    "op13_extendible_hash_dedup": exact_dedup.oracle_sql(),
 }
