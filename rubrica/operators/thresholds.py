@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.config import RUBRIC, ThresholdSearchConfig, check_cuts
@@ -19,6 +19,7 @@ from rubrica.functions.binding import bind
 from rubrica.functions.numeric import clamp01
 from rubrica.operators.heuristic import to_rubric
 from rubrica.operators.metrics import evaluate
+from rubrica.operators.optimal_cuts import best_cuts
 from rubrica.session import materialize
 
 SCALE = 10_000
@@ -102,8 +103,12 @@ def grid_candidates(cfg: ThresholdSearchConfig) -> list[tuple[int, ...]]:
 
 
 def score_candidates(running: DataFrame, cfg: ThresholdSearchConfig) -> DataFrame:
-    """Grid cuts (as bins ``t1`` to ``t4``) with their ``qwk``; null where it is 0/0."""
-    candidates = grid_candidates(cfg)
+    """Grid cuts with their ``qwk``."""
+    return score_cuts(running, grid_candidates(cfg))
+
+
+def score_cuts(running: DataFrame, candidates: Sequence[tuple[int, ...]]) -> DataFrame:
+    """Given cuts (as bins ``t1`` to ``t4``) with their ``qwk``; null where it is 0/0."""
     out = running.sparkSession.createDataFrame(candidates, ", ".join(f"{t} int" for t in CUTS))
     at_cut = running.filter(F.col("bin").isin(sorted({b for cuts in candidates for b in cuts})))
     for cut in CUTS:
@@ -122,49 +127,24 @@ def best_candidate(scored: DataFrame) -> DataFrame:
     )
 
 
-def _improve(running: DataFrame, held: list[Row], i: int, cfg: ThresholdSearchConfig) -> Row | None:
-    """Best value of cut ``i`` with the others held, over every 4-decimal value it may take.
-
-    ``held`` has the running counts at the current cuts, so a pass reads ``running`` alone.
-    """
-    low, high = (round(x * SCALE) for x in cfg.bounds[i])
-    low = max(low, held[i - 1]["bin"] + 1 if i > 0 else 0)
-    high = min(high, held[i + 1]["bin"] - 1 if i + 1 < len(held) else SCALE)
-    below = [
-        F.col("below") if k == i else F.array(*[F.lit(n) for n in row["below"]])
-        for k, row in enumerate(held)
-    ]
-    scored = running.filter(F.col("bin").between(low, high)).withColumn("qwk", _kappa(below, F.col("total")))
-    rank = F.struct(F.col("qwk"), -F.abs(F.col("bin") - held[i]["bin"]), -F.col("bin"))
-    best = F.max_by(F.struct(*scored.columns), rank)
-    return scored.filter(F.col("qwk").isNotNull()).agg(best.alias("best")).first()["best"]
-
-
 def fit_thresholds(
     df: DataFrame, raw: str, label: str, cfg: ThresholdSearchConfig = ThresholdSearchConfig()
 ) -> tuple[list[float], float | None]:
-    """Cut points and their QWK: best of the grid, then one cut after the other to 4 decimals.
+    """The best 4-decimal cut points inside the bounds, and their QWK.
 
-    The search ends when no cut brings a gain any more, or after ``maxiter`` rounds.  The QWK is
-    that of the returned cuts.  Where no candidate has a QWK the initial guess comes back.
+    An initial guess outside the bounds is kept if it is better still; where no cuts have a QWK it comes back.
     """
     check_fit_rows(df, label)
     running = materialize(running_counts(score_histogram(df, raw, label)), "running-counts")
-    start = best_candidate(score_candidates(running, cfg)).first()
-    if start["qwk"] is None:
-        return list(cfg.initial), None
-    bins = [round(start[t] * SCALE) for t in CUTS]
-    held = running.filter(F.col("bin").isin(bins)).orderBy("bin").collect()  # four rows
-    best, without_gain = start["qwk"], 0
-    for i in itertools.islice(itertools.cycle(range(len(held))), cfg.maxiter * len(held)):
-        found = _improve(running, held, i, cfg)
-        if found is not None and found["qwk"] > best:
-            held[i], best, without_gain = found, found["qwk"], 1
-        else:
-            without_gain += 1
-        if without_gain >= len(held):
-            break
-    return [row["bin"] / SCALE for row in held], best
+    found = best_cuts(running, cfg, SCALE)
+    initial = [round(t * SCALE) for t in cfg.initial]
+    inside = all(low <= t <= high for t, (low, high) in zip(cfg.initial, cfg.bounds))
+    if found is None or not inside:
+        guess = score_cuts(running, [tuple(initial)]).first()["qwk"]
+        if found is None or (guess is not None and guess > found[1]):
+            return list(cfg.initial), guess
+    cuts, qwk = found
+    return [b / SCALE for b in cuts], qwk
 
 
 def apply_thresholds(df: DataFrame, raw: str, cuts: Sequence[float], name: str = "pred") -> DataFrame:

@@ -375,7 +375,7 @@ def threshold_grid_best(spark, sf):
 def threshold_refined(spark, sf):
     cuts, qwk = thresholds.fit_thresholds(fixtures.rated(spark, sf), "raw", "y")
     schema = "t1 double, t2 double, t3 double, t4 double, qwk double"
-    return spark.createDataFrame([(*cuts, qwk)], schema)
+    return spark.createDataFrame([(*cuts, round(qwk, 4))], schema)
 
 
 @query

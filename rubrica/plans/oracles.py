@@ -315,6 +315,75 @@ FROM placed JOIN quota USING (grp)"""
 HISTOGRAM = f"""{RATED},
 histogram AS (SELECT CAST(round(raw * 10000) AS INTEGER) AS bin, y AS label, count(*) AS n FROM rated GROUP BY ALL)"""
 
+_BOUNDS = ((0, 4000), (2000, 7000), (4000, 9000), (6000, 10000))
+
+
+def _shortest_paths(rounds: int) -> str:
+    """Best cuts of all by rounds of shortest paths; every grade has labels in the tables at hand."""
+    ctes = [
+        HISTOGRAM,
+        "per_bin AS (SELECT bin, "
+        + ", ".join(f"sum(n) FILTER (label = {y}) AS n{y}" for y in range(5))
+        + " FROM histogram GROUP BY bin)",
+        "counted AS (SELECT b.bin, "
+        + ", ".join(f"coalesce(sum(n{y}) OVER up, 0)::BIGINT AS c{y}, sum(n{y}) OVER ()::BIGINT AS a{y}" for y in range(5))
+        + " FROM (SELECT unnest(range(10001)) AS bin) b LEFT JOIN per_bin USING (bin)"
+        " WINDOW up AS (ORDER BY b.bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    ]
+
+    def apart(prefix: str, grade: int) -> str:
+        return " + ".join(f"{prefix}{y} * {(y - grade) ** 2}" for y in range(5))
+
+    columns = []
+    for at, prefix in (("", "c"), ("e", "a")):
+        rows = " + ".join(f"{prefix}{y}" for y in range(5))
+        for g in range(5):
+            columns += [
+                f"({apart(prefix, g)})::DOUBLE AS {at}o{g}",
+                f"({rows})::DOUBLE * ({apart('a', g)})::DOUBLE AS {at}d{g}",
+            ]
+    ctes += [
+        f"sums AS (SELECT bin, {', '.join(columns)}, ({' + '.join(f'a{y}' for y in range(5))})::DOUBLE AS n FROM counted)",
+        "round0 AS (SELECT 0e0 AS mu, NULL::DOUBLE AS t1, NULL::DOUBLE AS t2, NULL::DOUBLE AS t3, NULL::DOUBLE AS t4)",
+    ]
+
+    def weight(g: int, at: str = "") -> str:
+        return f"({at}o{g} - mu * {at}d{g})"
+
+    for r in range(1, rounds + 1):
+        low, high = _BOUNDS[0]
+        ctes.append(
+            f"path{r}_0 AS (SELECT *, CASE WHEN bin BETWEEN {low} AND {high} THEN "
+            f"{{'cost': {weight(0)}, 't1': bin, 'o': o0, 'd': d0}} END AS path FROM sums, (SELECT mu FROM round{r - 1}))"
+        )
+        for i in range(1, 4):
+            low, high = _BOUNDS[i]
+            cuts = ", ".join(f"'t{k}': path.t{k}" for k in range(1, i + 1))
+            kept = ", ".join(f"'t{k}': p.t{k}" for k in range(1, i + 1))
+            ctes.append(
+                f"left{r}_{i} AS (SELECT * EXCLUDE (path), min(CASE WHEN path IS NOT NULL THEN {{'cost': path.cost - {weight(i)}, "
+                f"{cuts}, 'o': path.o - o{i}, 'd': path.d - d{i}}} END) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED "
+                f"PRECEDING AND 1 PRECEDING) AS p FROM path{r}_{i - 1})"
+            )
+            ctes.append(
+                f"path{r}_{i} AS (SELECT * EXCLUDE (p), CASE WHEN p IS NOT NULL AND bin BETWEEN {low} AND {high} THEN "
+                f"{{'cost': p.cost + {weight(i)}, {kept}, 't{i + 1}': bin, 'o': p.o + o{i}, 'd': p.d + d{i}}} END AS path "
+                f"FROM left{r}_{i})"
+            )
+        whole = ", ".join(f"'t{k}': path.t{k}" for k in range(1, 5))
+        ctes.append(
+            f"best{r} AS (SELECT min({{'cost': path.cost - {weight(4)} + {weight(4, 'e')}, {whole}, "
+            f"'o': path.o - o4 + eo4, 'd': path.d - d4 + ed4}}) AS b FROM path{r}_3 WHERE path IS NOT NULL)"
+        )
+        better = f"{r} = 1 OR b.o / b.d <= mu"
+        ctes.append(
+            f"round{r} AS (SELECT CASE WHEN {better} THEN b.o / b.d ELSE mu END AS mu, "
+            + ", ".join(f"CASE WHEN {better} THEN b.t{k} ELSE t{k} END AS t{k}" for k in range(1, 5))
+            + f" FROM best{r}, round{r - 1})"
+        )
+    return "WITH " + ",\n".join(ctes).lstrip()
+
+
 _CELLS = " UNION ALL ".join(
     f"SELECT t1, t2, t3, t4, {y} AS t, unnest([0, 1, 2, 3, 4]) AS p, "
     f"unnest([a.c{y}, b.c{y} - a.c{y}, c.c{y} - b.c{y}, d.c{y} - c.c{y}, n{y} - d.c{y}]) AS n FROM looked"
@@ -550,6 +619,17 @@ SELECT CAST(abs(y - pred) AS INTEGER) AS off_by, count(*) AS n FROM predicted GR
 {agreement(cells_of('cut', 'y', 'pred')).lstrip()}
 SELECT n, qwk, accuracy, macro_f1 FROM rounded"""
     sql["threshold_histogram"] = f"WITH {HISTOGRAM} SELECT bin, label, n FROM histogram"
+    sql["threshold_refined"] = f"""{_shortest_paths(8)}
+SELECT {", ".join(f"t{k} / 1e4 AS t{k}" for k in range(1, 5))}, {r4("k")} AS qwk
+FROM (SELECT *, 1e0 - (SELECT max(n) FROM sums) * mu AS k FROM round8)"""
+    sql["threshold_compare"] = f"""{_shortest_paths(8)},
+cut AS (
+  SELECT 'initial' AS stage, y, {rubric('raw')} AS pred FROM rated
+  UNION ALL
+  SELECT 'optimized', y, {rubric('raw', ('t1 / 1e4', 't2 / 1e4', 't3 / 1e4', 't4 / 1e4'))} FROM rated, round8
+),
+{agreement("SELECT stage AS g, y AS t, pred AS p, count(*) AS n FROM cut GROUP BY ALL").lstrip()}
+SELECT g AS stage, n, qwk, accuracy, macro_f1 FROM rounded"""
     sql["threshold_grid_best"] = f"""WITH {GRID},
 best AS (
   SELECT m.k, g.t1, g.t2, g.t3, g.t4 FROM metrics m

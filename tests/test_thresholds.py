@@ -41,25 +41,54 @@ def test_grid_equals_brute_force(spark, labels):
         assert value is None or abs(value - expected) < 1e-12
 
 
-@pytest.mark.parametrize("labels", [[0, 1, 2, 3, 4], [0, 2, 4]])
-def test_fit_improves_on_grid_and_guess(spark, labels):
-    rows = noisy(400, labels, seed=3)
+@pytest.mark.parametrize(
+    "labels, seed", [([0, 1, 2, 3, 4], 3), ([0, 1, 3, 4], 5), ([0, 2, 4], 4)]
+)
+def test_fit_is_the_best_of_all_cuts(spark, labels, seed):
+    """Few distinct scores: cuts between the same neighbours are alike, so a full search is possible."""
+    rng = random.Random(seed)
+    scores = sorted(rng.sample(range(500, 9900), 9))
+    rows = [(rng.choice(scores) / 10000, rng.choice(labels)) for _ in range(60)]
     cfg = ThresholdSearchConfig()
     cuts, value = th.fit_thresholds(table(spark, rows), "raw", "y", cfg)
-    assert abs(value - qwk(rows, cuts)) < 1e-12
     assert all(a < b for a, b in zip(cuts, cuts[1:]))
     assert all(lo <= c <= hi for c, (lo, hi) in zip(cuts, cfg.bounds))
-    assert value >= qwk(rows, cfg.initial)
-    # No single cut can be moved to a better 4-decimal place.
-    for i in (0, 3):
-        for b in range(round(cfg.bounds[i][0] * 10000), round(cfg.bounds[i][1] * 10000) + 1, 7):
-            moved = [*cuts[:i], b / 10000, *cuts[i + 1 :]]
-            if all(x < y for x, y in zip(moved, moved[1:])):
-                assert qwk(rows, moved) <= value + 1e-12
+    edges = {s + 1 for s in scores} | {round(x * 10000) for pair in cfg.bounds for x in pair}
+    near = sorted({b + k for b in edges for k in range(4) if b + k <= 10000} | {0, 1, 2, 3, 9997, 9998, 9999})
+    axes = [[b for b in near if round(lo * 10000) <= b <= round(hi * 10000)] for lo, hi in cfg.bounds]
+    best, least, seen = None, None, {}
+    for c in itertools.product(*axes):
+        if c[0] < c[1] < c[2] < c[3]:
+            sides = tuple(sum(s < b for s in scores) for b in c)
+            if sides not in seen:
+                seen[sides] = qwk(rows, [b / 10000 for b in c])
+                if seen[sides] is not None and (best is None or seen[sides] > best + 1e-12):
+                    best = seen[sides]
+    assert abs(value - best) < 1e-12
+    assert abs(value - qwk(rows, cuts)) < 1e-12
+
+
+def test_fit_on_many_scores(spark):
+    rows = noisy(400, [0, 1, 2, 3, 4], seed=3)
+    cfg = ThresholdSearchConfig()
+    cuts, value = th.fit_thresholds(table(spark, rows), "raw", "y", cfg)
+    assert abs(value - qwk(rows, cuts)) < 1e-12 and value >= qwk(rows, cfg.initial)
+    rng = random.Random(8)
+    for _ in range(3000):  # no move of any cuts is better
+        moved = sorted(min(1.0, max(0.0, c + rng.choice([0, 0, rng.gauss(0, 0.01), rng.gauss(0, 0.1)]))) for c in cuts)
+        moved = [round(c, 4) for c in moved]
+        if all(x < y for x, y in zip(moved, moved[1:])) and all(lo <= c <= hi for c, (lo, hi) in zip(moved, cfg.bounds)):
+            assert qwk(rows, moved) <= value + 1e-12
     compared = {r.stage: r for r in th.compare_thresholds(table(spark, rows), "raw", "y", cuts).collect()}
     assert compared["optimized"].qwk == round(value, 4) and compared["initial"].qwk <= compared["optimized"].qwk
 
 
+def test_a_guess_outside_the_bounds_stays_if_better(spark):
+    rows = [(0.05, 0), (0.15, 1), (0.25, 2), (0.35, 3), (0.45, 4)] * 3
+    cfg = ThresholdSearchConfig(initial=(0.1, 0.2, 0.3, 0.4), bounds=((0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0)))
+    assert th.fit_thresholds(table(spark, rows), "raw", "y", cfg) == ([0.1, 0.2, 0.3, 0.4], 1.0)
+
+
 def test_fit_does_not_depend_on_partitions(spark):
     df = table(spark, noisy(300, [0, 1, 2, 3, 4], seed=9))
     assert th.fit_thresholds(df.repartition(1), "raw", "y") == th.fit_thresholds(df.repartition(6), "raw", "y")
