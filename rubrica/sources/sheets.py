@@ -14,8 +14,8 @@ import logging
 import os
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -27,6 +27,7 @@ from rubrica.config import IngestConfig
 from rubrica.functions.numeric import parse_number
 from rubrica.functions.text import SPACE, strip
 from rubrica.session import materialize
+from rubrica.sources import sheet_cache
 from rubrica.sources.headers import map_headers
 
 logger = logging.getLogger(__name__)
@@ -65,6 +66,8 @@ PAIR_SCHEMA = T.StructType(
         T.StructField("human_score", T.DoubleType()),
     ]
 )
+# Column that names the file of a row while sheets are read.
+SOURCE = "_source"
 DEDUP_KEY = ["participant_id", "sheet_name", "stimulus", "transcription"]
 
 # Sheet name to its frame, in workbook order.
@@ -98,7 +101,7 @@ def strip_item_suffix(stimulus: Column) -> Column:
 
 
 def _stem(path: str) -> str:
-    return os.path.splitext(os.path.basename(unquote(path)))[0]
+    return os.path.splitext(os.path.basename(path))[0]
 
 
 def workbook_codec(path: str, content: bytes) -> dict[str, pd.DataFrame]:
@@ -115,10 +118,15 @@ MISSING_CELLS = (
 )
 
 
+# Files whose heads are read at the same time.
+HEADS_AT_A_TIME = 16
+
+
 def _files(spark: SparkSession, path: str, missing_ok: bool) -> list[str]:
     """Paths of the files under ``path`` (a file, folder or glob); their contents are not read."""
     try:
-        found = spark.read.format("binaryFile").load(path).select("path").collect()  # one row per sheet file
+        files = spark.read.format("binaryFile").load(path).select(sheet_cache.plain_path(F.col("path")).alias("path"))
+        found = files.collect()  # one row per sheet file
     except AnalysisException as missing:
         if missing_ok:
             logger.warning("nothing to read at %s", path)
@@ -146,24 +154,35 @@ def _check_names(files: list[str]) -> None:
 
 def _named(file: Column) -> Column:
     """Sheet name of a file: its name without the ending."""
-    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
 
 
-def _csv_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header cells, from the first line of each file."""
-    lines = spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    # The first block of a file is read in order by one task, so its first line is the header.
-    first = lines.where("start = 0").groupBy("file").agg(F.first("value").alias("header")).collect()
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in first:
-        cells = tuple(next(csv.reader([row["header"].removeprefix("\ufeff")]), []))
-        found.setdefault(cells, []).append(row["file"])
+def _file() -> Column:
+    """The file of a row, as the listing of files spells it (the metadata column has it as an encoded address)."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return sheet_cache.plain_path(F.url_decode(encoded))
+
+
+def _by_head(files: list[str], head: Callable[[str], tuple | None]) -> dict[tuple, list[str]]:
+    """Files by what stands at their head; one small read per file, some at a time."""
+    found: dict[tuple, list[str]] = {}
+    with ThreadPoolExecutor(HEADS_AT_A_TIME) as pool:
+        for file, cells in zip(files, pool.map(head, files)):
+            if cells is not None:
+                found.setdefault(cells, []).append(file)
     return found
 
 
+def _csv_headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header cells."""
+
+    def head(file: str) -> tuple[str, ...] | None:
+        line = spark.read.text(file).head(1)
+        return tuple(next(csv.reader([line[0]["value"].removeprefix("\ufeff")]), [])) if line else None
+
+    return _by_head(files, head)
+
+
 def _read_csv(spark: SparkSession, cells: tuple[str, ...], files: list[str], multi_line: bool) -> DataFrame:
     """Files of one header, all cells as text, with their file and the order of their rows.
 
@@ -173,8 +192,8 @@ def _read_csv(spark: SparkSession, cells: tuple[str, ...], files: list[str], mul
     read = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
     within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     block = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    return read.csv([unquote(f) for f in files]).select(
-        "*", F.col("_metadata.file_path").alias("file"), (F.shiftleft(block, 33) + within).alias("row_ordinal")
+    return read.csv(files).select(
+        "*", _file().alias("file"), (F.shiftleft(block, 33) + within).alias("row_ordinal")
     )
 
 
@@ -195,25 +214,50 @@ def _csv_rows(spark: SparkSession, files: list[str], multi_line: bool) -> list[D
             (_present(F.col(f"c{place[f]}")) if f in place else F.lit(None)).cast("string").alias(f)
             for f in ("stimulus", "transcription", "human_score")
         ]
-        rows = read.select(F.lit(0).alias("sheet_ordinal"), _named(F.col("file")).alias("sheet_name"), "row_ordinal", *texts)
+        place_of = [F.lit(0).alias("sheet_ordinal"), _named(F.col("file")).alias("sheet_name"), "row_ordinal"]
+        rows = read.select(*place_of, *texts, F.col("file").alias(SOURCE))
         tables.append(rows.filter(~is_ignored_sheet(F.col("sheet_name"))))
     return tables
 
 
-def _parquet_table(spark: SparkSession, files: list[str]) -> DataFrame | None:
-    """Parquet files as one table: its own sheet column, or a sheet per file in row order."""
-    table = spark.read.option("mergeSchema", True).parquet(*[unquote(f) for f in files])
-    if "sheet_name" not in table.columns:
-        _check_names(files)
+def _parquet_schemas(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names and types, from their footers."""
+    return _by_head(files, lambda file: tuple(f"`{n}` {t}" for n, t in spark.read.parquet(file).dtypes))
+
+
+def _has_sheet_column(table: DataFrame) -> bool:
+    if "sheet_name" in table.columns and "row_ordinal" not in table.columns:
+        raise ValueError("a table with a sheet column needs a row_ordinal column")
+    return "sheet_name" in table.columns
+
+
+def _parquet_rows(spark: SparkSession, groups: list[list[str]]) -> list[DataFrame]:
+    """One table per schema: its own sheet column, or a sheet per file in row order."""
+    tables = []
+    for files in groups:
+        table = spark.read.parquet(*files)
+        own = [] if _has_sheet_column(table) else ["_metadata.row_index"]
         table = table.select(
             "*",
-            _named(F.col("_metadata.file_path")).alias("sheet_name"),
-            F.col("_metadata.row_index").alias("row_ordinal"),
+            _file().alias(SOURCE),
+            *(F.col(c).alias("row_ordinal") for c in own),
+            *(_named(_file()).alias("sheet_name") for _ in own),
         )
-    elif "row_ordinal" not in table.columns:
-        raise ValueError("a table with a sheet column needs a row_ordinal column")
-    known = map_headers(c for c in table.columns if c not in ("sheet_name", "row_ordinal")).keys()
-    return sheet_rows_from_table(table) if {"stimulus", "transcription"} <= known else None
+        known = map_headers(c for c in table.columns if c not in ("sheet_name", "row_ordinal", SOURCE)).keys()
+        if {"stimulus", "transcription"} <= known:
+            tables.append(sheet_rows_from_table(table))
+    return tables
+
+
+def _check_tables(tables: list[DataFrame], files: list[str]) -> None:
+    """A sheet named by a column may not also be a file, nor come from two tables."""
+    sheets = reduce(DataFrame.unionByName, [t.select("sheet_name", F.col(SOURCE).alias("path")) for t in tables])
+    named = sheets.sparkSession.createDataFrame([(f,) for f in files], "path string")
+    named = named.select(_named(F.col("path")).alias("sheet_name"), "path")
+    units = sheets.unionByName(named).groupBy("sheet_name").agg(F.countDistinct(sheet_cache.unit()).alias("n"))
+    twice = [r["sheet_name"] for r in units.filter("n > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"sheet names that occur in several files: {twice}")
 
 
 def _sheets_in(
@@ -256,7 +300,7 @@ def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _workbooks(spark: SparkSession, files: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load([unquote(f) for f in files]).select("path", "content")
+    return spark.read.format("binaryFile").load(files).select("path", "content")
 
 
 def read_sheets(
@@ -269,27 +313,54 @@ def read_sheets(
 ) -> DataFrame:
     """Sheet rows of every file under ``path`` (a file, folder or glob).
 
-    CSV and Parquet files go through Spark's readers, with headers mapped once per set of headers; only
-    the columns in use are read.  ``multi_line=False`` also splits single CSV files among tasks, for files
+    CSV and Parquet files go through Spark's readers, with headers mapped once per set of headers (from the first line
+    or the footer of each file); only the columns in use are read.  ``multi_line=False`` also splits single CSV files among tasks, for files
     without line feeds inside cells.  Workbooks, or all files if a ``codec`` is given, are parsed file by file.
     Sheets that are ignored or lack a text column yield no rows.  A missing path and an unreadable workbook
     are errors unless ``missing_ok`` or ``skip_unreadable`` says otherwise; :func:`list_sheets` names the rejected.
     """
     files = _files(spark, path, missing_ok)
+    return read_files(spark, files, codec, skip_unreadable, multi_line)
+
+
+def read_files(
+    spark: SparkSession,
+    files: list[str],
+    codec: Codec | None = None,
+    skip_unreadable: bool = False,
+    multi_line: bool = True,
+) -> DataFrame:
+    """Sheet rows of the given files; see :func:`read_sheets`."""
+    return rows_with_source(spark, files, codec, skip_unreadable, multi_line).drop(SOURCE)
+
+
+def rows_with_source(
+    spark: SparkSession,
+    files: list[str],
+    codec: Codec | None = None,
+    skip_unreadable: bool = False,
+    multi_line: bool = True,
+) -> DataFrame:
+    """Sheet rows with the file of each."""
     texts, tables, books = ([], [], files) if codec else _split_by_kind(files)
-    _check_names(texts)
+    schemas = sorted(_parquet_schemas(spark, tables).items())
+    named = [f for names, group in schemas if not any(n.startswith("`sheet_name` ") for n in names) for f in group]
+    _check_names([*texts, *named])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, ordinal, name, frame in _sheets_in(batches, codec or workbook_codec, skip_unreadable):
+        for path, ordinal, name, frame in _sheets_in(batches, codec or workbook_codec, skip_unreadable):
             if _status(name, frame) == "read":
-                yield _sheet_rows(name, ordinal, frame)
+                yield _sheet_rows(name, ordinal, frame).assign(**{SOURCE: path})
 
     parts = _csv_rows(spark, texts, multi_line) if texts else []
-    parts += [t for t in ([_parquet_table(spark, tables)] if tables else []) if t is not None]
+    columnar = _parquet_rows(spark, [group for _, group in schemas])
+    if len(named) < len(tables):
+        _check_tables(columnar, texts)
+    schema = T.StructType([*SHEET_ROW_SCHEMA.fields, T.StructField(SOURCE, T.StringType())])
+    parts += columnar
     if books:
-        parts.append(_workbooks(spark, books).mapInPandas(read, SHEET_ROW_SCHEMA))
-    empty = spark.createDataFrame([], SHEET_ROW_SCHEMA)
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+        parts.append(_workbooks(spark, books).mapInPandas(read, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def list_sheets(
@@ -327,9 +398,9 @@ def list_sheets(
             listed = counted(read, cells).drop("sheet_name", "status", "sheet_ordinal")
             empty = counted(every, cells).drop("n_rows")
             parts.append(empty.join(listed, "path", "left").fillna(0, subset=["n_rows"]))
-    if tables:
-        table = spark.read.option("mergeSchema", True).parquet(*[unquote(f) for f in tables])
-        parts.append(counted(table.select(F.col("_metadata.file_path").alias("file")), table.columns))
+    for _, group in sorted(_parquet_schemas(spark, tables).items()):
+        table = spark.read.parquet(*group)
+        parts.append(counted(table.select(_file().alias("file")), table.columns))
     if books:
         parts.append(_workbooks(spark, books).mapInPandas(describe, SHEET_LIST_SCHEMA))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SHEET_LIST_SCHEMA)
@@ -337,7 +408,7 @@ def list_sheets(
 
 def sheet_rows_from_table(df: DataFrame, sheet: str = "sheet_name") -> DataFrame:
     """Sheet rows of a table that already has a sheet column and free-form headers."""
-    keep = {sheet, "sheet_ordinal", "row_ordinal"}
+    keep = {sheet, "sheet_ordinal", "row_ordinal", SOURCE}
     fields = map_headers(c for c in df.columns if c not in keep)
     missing = {"stimulus", "transcription"} - fields.keys()
     if missing:
@@ -351,6 +422,7 @@ def sheet_rows_from_table(df: DataFrame, sheet: str = "sheet_name") -> DataFrame
         F.col(fields["stimulus"]).cast("string").alias("stimulus"),
         F.col(fields["transcription"]).cast("string").alias("transcription"),
         score.cast("string").alias("human_score"),
+        *(c for c in df.columns if c == SOURCE),
     )
 
 
@@ -459,20 +531,15 @@ def load_summary(report: DataFrame, all_sheets: DataFrame) -> DataFrame:
 # --- roles and cache ----------------------------------------------------------------------
 
 
-def _modified(spark: SparkSession, path: str, pick) -> object | None:
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        return files.agg(pick("modificationTime")).first()[0]
-    except AnalysisException:
-        return None
-
-
 def is_cache_valid(spark: SparkSession, source: str, cache: str, force_reload: bool = False) -> bool:
-    """True when every file of the cached table is at least as new as every source file."""
+    """True when the cached table was made from just these files, none changed, added or gone since."""
     if force_reload:
         return False
-    newest, oldest = _modified(spark, source, F.max), _modified(spark, cache, F.min)
-    return newest is not None and oldest is not None and oldest >= newest
+    kept = sheet_cache.current(spark, cache)
+    if kept is None:
+        return False
+    changed, gone = sheet_cache.differences(sheet_cache.listing(spark, source), kept.manifest)
+    return changed.isEmpty() and gone.isEmpty()
 
 
 def cache_path(cfg: IngestConfig, path: str, role: str) -> str:
@@ -481,6 +548,14 @@ def cache_path(cfg: IngestConfig, path: str, role: str) -> str:
     return f"{cfg.cache_dir.rstrip('/')}/{role}-{hashlib.sha256(settings.encode()).hexdigest()[:24]}"
 
 
+def _usable(rows: DataFrame, path: str, role: str) -> DataFrame:
+    """``rows``; raises if they are tuning rows without any score."""
+    if role == "tuning" and not rows.isEmpty():
+        if rows.filter(F.col("human_score").isNotNull()).isEmpty():
+            raise ValueError(f"tuning data at {path} has no usable score column")
+    return rows
+
+
 def load_role(
     spark: SparkSession,
     path: str,
@@ -488,20 +563,19 @@ def load_role(
     cfg: IngestConfig = IngestConfig(),
     codec: Codec | None = None,
 ) -> DataFrame:
-    """One data set, from its cached standardised table where that is still fresh."""
-    cache = cache_path(cfg, path, role) if cfg.cache_dir else None
-    if cache and is_cache_valid(spark, path, cache, cfg.force_reload):
-        return spark.read.schema(PAIR_SCHEMA).parquet(cache)
-    # Stored once, so that the tests below and the load do not parse the files again.
-    rows = materialize(read_sheets(spark, path, codec, cfg.missing_ok, cfg.skip_unreadable), "sheet-rows")
-    if role == "tuning" and not rows.isEmpty():
-        if rows.filter(F.col("human_score").isNotNull()).isEmpty():
-            raise ValueError(f"tuning data at {path} has no usable score column")
-    pairs = load_pairs(rows, role, cfg)
-    if not cache:
-        return pairs
-    pairs.write.mode("overwrite").parquet(cache)
-    return spark.read.schema(PAIR_SCHEMA).parquet(cache)
+    """One data set.  With a cache folder only files that changed since the last load are read again."""
+    if not cfg.cache_dir:
+        # Stored once, so that the tests below and the load do not parse the files again.
+        rows = materialize(read_sheets(spark, path, codec, cfg.missing_ok, cfg.skip_unreadable), "sheet-rows")
+        return load_pairs(_usable(rows, path, role), role, cfg)
+
+    def pairs_of(files: list[str], others_kept: bool) -> tuple[DataFrame, DataFrame]:
+        rows = materialize(rows_with_source(spark, files, codec, cfg.skip_unreadable), "sheet-rows")
+        sheets = rows.select("sheet_name", F.col(SOURCE).alias("path")).distinct()
+        return load_pairs(rows if others_kept else _usable(rows, path, role), role, cfg), sheets
+
+    _files(spark, path, cfg.missing_ok)  # raises where there is nothing to read
+    return sheet_cache.refreshed(spark, path, cache_path(cfg, path, role), pairs_of, PAIR_SCHEMA, cfg.force_reload)
 
 
 def load_data(

@@ -237,3 +237,90 @@ def test_rows_of_a_split_file_keep_their_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [f"s{i}" for i in range(n)] and read.first().sheet_name == "P+1 %"
+
+
+def test_parquet_files_of_different_headers(spark, tmp_path):
+    pd.DataFrame({"Target": ["a"], "Response": ["b"], "Score": [3]}).to_parquet(tmp_path / "P1.parquet")
+    pd.DataFrame({"Prompt": ["c"], "Transcription": ["d"], "Grade": ["4"], "Student ID": ["x"]}).to_parquet(tmp_path / "P2.parquet")
+    pd.DataFrame({"foo": ["c"]}).to_parquet(tmp_path / "P3.parquet")
+    got = sheets.read_sheets(spark, str(tmp_path)).collect()
+    assert sorted((r.sheet_name, r.stimulus, r.transcription, r.human_score) for r in got) == [("P1", "a", "b", "3"), ("P2", "c", "d", "4")]
+    listed = {(r.sheet_name, r.status) for r in sheets.list_sheets(spark, str(tmp_path)).collect()}
+    assert listed == {("P1", "read"), ("P2", "read"), ("P3", "no_text_columns")}
+
+
+def test_one_name_in_csv_and_parquet_is_rejected(spark, tmp_path):
+    frame = pd.DataFrame({"Target": ["a"], "Response": ["b"], "Score": [3]})
+    frame.to_parquet(tmp_path / "P1.parquet")
+    write_csv(tmp_path, "P1", frame)
+    with pytest.raises(ValueError, match="P1"):
+        sheets.read_sheets(spark, str(tmp_path))
+
+
+def test_sheet_column_and_file_of_one_name_are_rejected(spark, tmp_path):
+    frame = pd.DataFrame({"sheet_name": ["P1"], "row_ordinal": [0], "Target": ["a"], "Response": ["b"], "Score": [3]})
+    frame.to_parquet(tmp_path / "table.parquet")
+    write_csv(tmp_path, "P1", frame[["Target", "Response"]])
+    with pytest.raises(ValueError, match="P1"):
+        sheets.read_sheets(spark, str(tmp_path))
+
+
+def answers(folder, name, text, later=0):
+    write_csv(folder, name, pd.DataFrame({"stimulus": [text], "response": ["r"], "score": [2]}))
+    stamp = time.time() + later
+    os.utime(folder / f"{name}.csv", (stamp, stamp))
+
+
+def test_cache_follows_changed_added_and_deleted_files(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("P1", "P2", "P3"):
+        answers(source, name, f"{name} old")
+    cfg = IngestConfig(cache_dir=str(tmp_path / "cache"))
+    cache = sheets.cache_path(cfg, str(source), "tuning")
+    load = lambda: {(r.sheet_name, r.stimulus) for r in sheets.load_role(spark, str(source), "tuning", cfg).collect()}
+    assert load() == {(f"P{i}", f"P{i} old") for i in (1, 2, 3)}
+    read, real = [], sheets.rows_with_source
+    monkeypatch.setattr(sheets, "rows_with_source", lambda s, files, *a: read.append([os.path.basename(f) for f in files]) or real(s, files, *a))
+    assert load() == {(f"P{i}", f"P{i} old") for i in (1, 2, 3)} and read == []
+    answers(source, "P2", "P2 new", later=60)
+    answers(source, "P4", "P4 new")
+    os.remove(source / "P3.csv")
+    assert not sheets.is_cache_valid(spark, str(source), cache)
+    want = {("P1", "P1 old"), ("P2", "P2 new"), ("P4", "P4 new")}
+    assert load() == want and read == [["P2.csv", "P4.csv"]]
+    assert sheets.is_cache_valid(spark, str(source), cache)
+    os.remove(source / "P4.csv")  # nothing is left to read, only to drop
+    assert load() == want - {("P4", "P4 new")} and len(read) == 1
+    assert {x for x in os.listdir(f"{cache}/data") if x.startswith("refresh=")} and len(os.listdir(f"{cache}/manifest")) <= 3
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    answers(source, "P1", "old")
+    cfg = IngestConfig(cache_dir=str(tmp_path / "cache"))
+    cache = sheets.cache_path(cfg, str(source), "tuning")
+    sheets.load_role(spark, str(source), "tuning", cfg)
+    answers(source, "P1", "new", later=60)
+    with monkeypatch.context() as broken:
+        broken.setattr(sheets.sheet_cache, "_write", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sheets.load_role(spark, str(source), "tuning", cfg)
+    kept = sheets.sheet_cache.current(spark, cache)
+    assert [r.stimulus for r in sheets.sheet_cache.read(spark, cache, kept, sheets.PAIR_SCHEMA).collect()] == ["old"]
+    (tmp_path / "cache" / os.path.basename(cache) / "manifest" / "version=99").mkdir()  # a writer that never finished
+    assert sheets.sheet_cache.current(spark, cache).number == kept.number
+    assert [r.stimulus for r in sheets.load_role(spark, str(source), "tuning", cfg).collect()] == ["new"]
+
+
+def test_cache_reads_only_the_folders_of_a_sheet(spark, tmp_path, plan_of):
+    source = tmp_path / "in"
+    source.mkdir()
+    for name in ("1", "001", "P1"):
+        answers(source, name, name)
+    cfg = IngestConfig(cache_dir=str(tmp_path / "cache"))
+    got = sheets.load_role(spark, str(source), "tuning", cfg)
+    assert {(r.sheet_name, r.stimulus) for r in got.collect()} == {("1", "1"), ("001", "001"), ("P1", "P1")}
+    data = sheets.cache_path(cfg, str(source), "tuning") + "/data"
+    assert {d for r in os.listdir(data) for d in os.listdir(f"{data}/{r}") if "=" in d} == {"sheet=1", "sheet=001", "sheet=P1"}
