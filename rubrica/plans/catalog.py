@@ -12,6 +12,7 @@ from rubrica.config import (
     ExperimentConfig,
     FeatureConfig,
     HeuristicConfig,
+    IngestConfig,
     OrdinalConfig,
     SplitConfig,
 )
@@ -23,8 +24,8 @@ from rubrica.functions.text import clean_text, early_gate
 from rubrica.functions.vectors import cosine
 from rubrica.operators import cleaning, features, heuristic, metrics, ordering, ordinal, profile, split, thresholds
 from rubrica.plans import experiment, fixtures
-from rubrica.session import materialize
-from rubrica.sources import sheets
+from rubrica.session import materialize, scratch_path
+from rubrica.sources import sheet_cache, sheets
 from rubrica.sources.artifacts import report_table, validation_predictions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +93,44 @@ def load_dedup_first(spark, sf):
     return sheets.load_pairs(rows.unionByName(later), "tuning").drop("sheet_ordinal")
 
 
+def _as_files(rows: DataFrame, folder: str, part: int, headers: tuple[str, str, str]) -> None:
+    """The sheets of one part in three as a table with headers of its own."""
+    own = F.pmod(F.regexp_extract("sheet_name", r"(\d+)", 1).cast("bigint"), F.lit(3)) == part
+    columns = [F.col(c).alias(h) for c, h in zip(("stimulus", "transcription", "human_score"), headers)]
+    rows.filter(own).select("sheet_name", "row_ordinal", *columns).write.mode("overwrite").parquet(f"{folder}/{part}")
+
+
+HEADERS = (
+    ("Target", "Response", "Score"),
+    ("Source Sentence", "Student Transcription", "Grade"),
+    ("Prompt text", "My response", "Rubric"),
+)
+
+
+@query
+def sheets_of_several_headers(spark, sf):
+    """Every sheet through files of three sets of headers."""
+    folder = scratch_path(spark, "sheets")
+    rows = materialize(fixtures.sheet_rows(spark, sf), "sheet-rows")
+    for part, headers in enumerate(HEADERS):
+        _as_files(rows, folder, part, headers)
+    return sheets.standardize(sheets.read_sheets(spark, f"{folder}/*"), "tuning").drop("sheet_ordinal")
+
+
+@query
+def sheet_cache_refresh(spark, sf):
+    """A cached load after a third of the sheets got other scores and a third was deleted."""
+    folder = scratch_path(spark, "sheets")
+    cfg = IngestConfig(cache_dir=scratch_path(spark, "cache"))
+    rows = materialize(fixtures.sheet_rows(spark, sf), "sheet-rows")
+    for part, headers in enumerate(HEADERS):
+        _as_files(rows, folder, part, headers)
+    sheets.load_role(spark, f"{folder}/*", "tuning", cfg)
+    _as_files(rows.withColumn("human_score", F.lit("2")), folder, 1, HEADERS[1])
+    sheet_cache.remove(spark, f"{folder}/2")
+    return sheets.load_role(spark, f"{folder}/*", "tuning", cfg).drop("sheet_ordinal")
+
+
 @query
 def load_holdout(spark, sf):
     rows = _rows(spark, sf).withColumn("human_score", F.lit(None).cast("string"))

@@ -475,6 +475,13 @@ twice AS (
   SELECT sheet_ordinal, sheet_name, row_ordinal + 1000000, stimulus, transcription, '2' FROM sheet_rows
 ),{flagged('twice')}
 SELECT {PAIR_COLUMNS} FROM pairs"""
+    sql["sheets_of_several_headers"] = sql["load_standardize"]
+    third = r"CAST(regexp_extract(sheet_name, '\d+') AS BIGINT) % 3"
+    sql["sheet_cache_refresh"] = f"""WITH {SHEET_ROWS},
+left_over AS (
+  SELECT * REPLACE (CASE WHEN {third} = 1 THEN '2' ELSE human_score END AS human_score) FROM sheet_rows WHERE {third} < 2
+),{flagged('left_over')}
+SELECT {PAIR_COLUMNS} FROM pairs WHERE human_score IS NOT NULL"""
     sql["load_holdout"] = f"""WITH {SHEET_ROWS},
 unscored AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS human_score) FROM sheet_rows),{flagged('unscored', 'holdout')}
 SELECT {PAIR_COLUMNS} FROM pairs"""

@@ -23,6 +23,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the scratch folder that nothing else uses."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the scratch folder and read it back.
 
@@ -30,6 +35,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

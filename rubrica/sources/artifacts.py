@@ -15,6 +15,7 @@ REPORT_COLUMNS = {
     "heuristic_raw_score": "Confidence Score (0-1)",
 }
 
+# Columns of the audit table.
 AUDIT_COLUMNS = (
     "row_index",
     "participant_id",

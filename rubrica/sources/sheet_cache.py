@@ -1,7 +1,8 @@
 """A cached table that follows its source files: a manifest per version, only changed files read again.
 
 Layout: ``manifest/version=<n>`` lists the source files (unit, path, size, time) with the refresh that holds their rows, and
-``data/refresh=<id>/sheet=<name>`` holds the rows read by one refresh.  A refresh writes its rows first and the new
+``data/refresh=<id>`` holds the rows read by one refresh, in sheet order, so that the files and row groups of a sheet are found by
+their statistics, however many sheets there are.  A refresh writes its rows first and the new
 manifest last; a version counts once its writer has left the marker of a finished job, so readers see the old version or the new
 one, never a part, and a failed write changes nothing.
 
@@ -64,6 +65,12 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds."""
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
 def _children(spark: SparkSession, path: str, name: str) -> list[str]:
     """Values of the ``name=value`` folders in ``path``."""
     folder, system = _folder(spark, path)
@@ -92,7 +99,7 @@ def read(spark: SparkSession, cache: str, version: Version, schema: T.StructType
     if not _children(spark, f"{cache}/data", "refresh"):
         return spark.createDataFrame([], schema)
     own = [f for f in schema.fields if f.name != "unit"]
-    every = T.StructType([*own, *(T.StructField(c, T.StringType()) for c in ("unit", "refresh", "sheet"))])
+    every = T.StructType([*own, *(T.StructField(c, T.StringType()) for c in ("unit", "refresh"))])
     data = spark.read.schema(every).option("basePath", f"{cache}/data").parquet(f"{cache}/data")
     held = version.manifest.select("unit", "refresh").distinct()
     held = F.broadcast(held) if fits_broadcast(held) else held
@@ -100,10 +107,11 @@ def read(spark: SparkSession, cache: str, version: Version, schema: T.StructType
 
 
 def _write(cache: str, refresh: str, pairs: DataFrame, sheets: DataFrame, schema: T.StructType) -> None:
-    """Rows of the units that are read again, one folder per sheet."""
+    """Rows of the units that are read again, in sheet order."""
     sheets = F.broadcast(sheets) if fits_broadcast(sheets) else sheets
-    rows = pairs.join(sheets, "sheet_name").select(*schema.names, "unit", F.col("sheet_name").alias("sheet"))
-    rows.repartition("sheet").write.partitionBy("sheet").parquet(f"{cache}/data/refresh={refresh}")
+    rows = pairs.join(sheets, "sheet_name").select(*schema.names, "unit")
+    in_order = rows.repartitionByRange("sheet_name", "row_ordinal").sortWithinPartitions("sheet_name", "row_ordinal")
+    in_order.write.parquet(f"{cache}/data/refresh={refresh}")
 
 
 def _check_sheets(sheets: DataFrame, others: DataFrame) -> None:
@@ -121,8 +129,7 @@ def _forget(spark: SparkSession, cache: str, versions: list[Version]) -> None:
     for kind, name, keep in (("data", "refresh", used), ("manifest", "version", numbers)):
         for value in _children(spark, f"{cache}/{kind}", name):
             if value not in keep:
-                folder, system = _folder(spark, f"{cache}/{kind}/{name}={value}")
-                system.delete(folder, True)
+                remove(spark, f"{cache}/{kind}/{name}={value}")
 
 
 def refreshed(
