@@ -7,12 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,11 +16,13 @@ from pyspark.sql import functions as F
 from rubrica.config import RUBRIC, OrdinalConfig
 from rubrica.functions.numeric import round4, safe_value
 from rubrica.functions.ordinal import class_probabilities, logistic, most_likely
+from rubrica.operators.boundary_models import BoundaryModel, fit_boundaries
 from rubrica.operators.metrics import evaluate
+from rubrica.session import materialize
 
 ROWS_PER_TASK = 65_536
 
-BinaryModel = LogisticRegressionModel | RandomForestClassificationModel
+BinaryModel = BoundaryModel | RandomForestClassificationModel
 
 
 def _inputs(df: DataFrame, names: Sequence[str]) -> list[Column]:
@@ -116,7 +113,7 @@ class OrdinalModel:
         rows = []
         for boundary, model in zip(self.classes, self.binary):
             task = f"y > {boundary}"
-            if isinstance(model, LogisticRegressionModel):
+            if isinstance(model, BoundaryModel):
                 values = [*zip(self.config.features, model.coefficients.toArray()), ("intercept", model.intercept)]
             else:
                 values = zip(self.config.features, model.featureImportances.toArray())
@@ -145,24 +142,31 @@ def training_table(df: DataFrame, label: str, cfg: OrdinalConfig) -> DataFrame:
     return open_rows.unionByName(gated.select(*zeros, "_label", "n"))
 
 
-def _estimator(cfg: OrdinalConfig, n: int):
-    shared = dict(featuresCol="_features", labelCol="_y", weightCol="_w")
-    if cfg.model_type == "random_forest":
-        return RandomForestClassifier(
+def _forests(train: DataFrame, sizes: dict[int, int], cfg: OrdinalConfig) -> tuple[BinaryModel, ...]:
+    """A forest per boundary; the fits are independent, and each is a chain of small jobs."""
+    n = sum(sizes.values())
+    assembled = VectorAssembler(inputCols=list(cfg.features), outputCol="_features").transform(train)
+
+    def fit(boundary: int) -> BinaryModel:
+        above = sum(size for c, size in sizes.items() if c > boundary)
+        positive = F.col("_label") > boundary
+        weight = F.when(positive, n / (2.0 * above)).otherwise(n / (2.0 * (n - above)))
+        rows = assembled.select("_features", positive.cast("double").alias("_y"), (F.col("n") * weight).alias("_w"))
+        forest = RandomForestClassifier(
+            featuresCol="_features",
+            labelCol="_y",
+            weightCol="_w",
             numTrees=cfg.rf_trees,
             maxDepth=cfg.rf_max_depth,
             minInstancesPerNode=cfg.rf_min_samples_leaf,
             seed=cfg.seed,
-            **shared,
         )
-    # The weights add up to n, so this is the summed loss with an L2 penalty of 1 / (2 C).
-    return LogisticRegression(
-        regParam=1.0 / (cfg.lr_c * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=cfg.lr_max_iter,
-        **shared,
-    )
+        return forest.fit(rows)
+
+    classes = sorted(sizes)
+    with ThreadPoolExecutor(len(classes) - 1) as pool:
+        run = inheritable_thread_target(train.sparkSession)(fit)
+        return tuple(f.result() for f in [pool.submit(run, c) for c in classes[:-1]])
 
 
 def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
@@ -181,26 +185,8 @@ def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig =
         raise ValueError("training needs at least two classes")
     n = sum(sizes.values())
 
-    assembled = VectorAssembler(inputCols=list(cfg.features), outputCol="_features").transform(table)
-    # Read once per iteration of every fit, so a small table is kept in few tasks.  The rows are
-    # filtered and pruned before they are dealt out, and the stage that reads them keeps its tasks.
-    tasks = max(1, n // ROWS_PER_TASK)
-    train = assembled.select("_features", "_label", "n").repartition(tasks).persist()
-    try:
-
-        def fit(boundary: int) -> BinaryModel:
-            above = sum(size for c, size in sizes.items() if c > boundary)
-            positive = F.col("_label") > boundary
-            balance = F.when(positive, n / (2.0 * above)).otherwise(n / (2.0 * (n - above)))
-            rows = train.select(
-                "_features", positive.cast("double").alias("_y"), (F.col("n") * balance).alias("_w")
-            )
-            return _estimator(cfg, n).fit(rows)
-
-        # The fits are independent, and each is a chain of small jobs.
-        with ThreadPoolExecutor(len(classes) - 1) as pool:
-            fits = [pool.submit(inheritable_thread_target(df.sparkSession)(fit), c) for c in classes[:-1]]
-            models = tuple(f.result() for f in fits)
-    finally:
-        train.unpersist()
-    return OrdinalModel(cfg, classes, models)
+    # Read once per step, so a small table is kept in few tasks; stored, so that a lost executor costs no recomputation.
+    train = materialize(table.repartition(max(1, n // ROWS_PER_TASK)), "training-rows")
+    if cfg.model_type == "random_forest":
+        return OrdinalModel(cfg, classes, _forests(train, sizes, cfg))
+    return OrdinalModel(cfg, classes, fit_boundaries(train, cfg.features, sizes, cfg.lr_c, cfg.lr_max_iter))

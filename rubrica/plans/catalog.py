@@ -455,7 +455,7 @@ def ordinal_logistic(spark, sf):
 @query
 def ordinal_forest(spark, sf):
     train, validation = _split_features(spark, sf)
-    model = ordinal.fit_ordinal(train, cfg=OrdinalConfig(model_type="random_forest", rf_trees=20))
+    model = ordinal.fit_ordinal(train, cfg=OrdinalConfig(model_type="random_forest"))
     return model.evaluate(validation)
 
 

@@ -318,10 +318,10 @@ histogram AS (SELECT CAST(round(raw * 10000) AS INTEGER) AS bin, y AS label, cou
 _BOUNDS = ((0, 4000), (2000, 7000), (4000, 9000), (6000, 10000))
 
 
-def _shortest_paths(rounds: int) -> str:
+def _shortest_paths(rounds: int, histogram: str = HISTOGRAM) -> str:
     """Best cuts of all by rounds of shortest paths; every grade has labels in the tables at hand."""
     ctes = [
-        HISTOGRAM,
+        histogram,
         "per_bin AS (SELECT bin, "
         + ", ".join(f"sum(n) FILTER (label = {y}) AS n{y}" for y in range(5))
         + " FROM histogram GROUP BY bin)",
@@ -384,6 +384,63 @@ def _shortest_paths(rounds: int) -> str:
     return "WITH " + ",\n".join(ctes).lstrip()
 
 
+_INPUTS = ("nli_margin", "nli_entailment", "nli_contradiction", "sbert_similarity", "lemma_recall")
+
+
+def _newton(train: str, rounds: int) -> str:
+    """Fitted boundary models ``fitted (b, c0 .. c5)`` by Newton steps from zero, systems solved by elimination."""
+    size = range(len(_INPUTS) + 1)
+    ctes = [
+        f"train_rows AS ({train})",
+        "x AS (SELECT "
+        + ", ".join(f"coalesce({name}, 0e0) AS x{i}" for i, name in enumerate(_INPUTS))
+        + ", 1e0 AS x5, human_score AS y FROM train_rows)",
+        "bounds AS (SELECT b, count(*)::DOUBLE AS n, count(*) FILTER (y > b)::DOUBLE AS above"
+        " FROM x, (SELECT unnest([0, 1, 2, 3]) AS b) GROUP BY b)",
+        "sides AS (SELECT b, n / (2e0 * above) AS up, n / (2e0 * (n - above)) AS down FROM bounds)",
+        "beta0 AS MATERIALIZED (SELECT *, " + ", ".join(f"0e0 AS c{i}" for i in size) + " FROM sides)",
+    ]
+    beta = [f"c{i}" for i in size]
+    for r in range(rounds):
+        score = " + ".join(f"c{i} * x{i}" for i in size)
+        matrix = [f"sum(s * x{i} * x{j}){' + 1e0' if i == j < 5 else ''} AS m{i}_{j}" for i in size for j in size]
+        right = [f"sum(d * x{i}){f' + any_value(c{i})' if i < 5 else ''} AS m{i}_6" for i in size]
+        ctes.append(
+            f"weighted{r} AS (SELECT *, w * (p - CASE WHEN y > b THEN 1e0 ELSE 0e0 END) AS d, w * p * (1e0 - p) AS s FROM ("
+            f"SELECT *, 1e0 / (1e0 + exp(-({score}))) AS p, CASE WHEN y > b THEN up ELSE down END AS w FROM x, beta{r}))"
+        )
+        ctes.append(f"step{r}_0 AS MATERIALIZED (SELECT b, {', '.join(matrix + right)} FROM weighted{r} GROUP BY b)")
+        for k in size:
+            cells = [
+                f"m{i}_{j} - m{i}_{k} / m{k}_{k} * m{k}_{j} AS m{i}_{j}" if i != k else f"m{i}_{j}"
+                for i in size
+                for j in range(len(size) + 1)
+            ]
+            ctes.append(f"step{r}_{k + 1} AS MATERIALIZED (SELECT b, {', '.join(cells)} FROM step{r}_{k})")
+        new = ", ".join(f"c{i} - m{i}_6 / m{i}_{i} AS c{i}" for i in size)
+        ctes.append(f"beta{r + 1} AS MATERIALIZED (SELECT b, up, down, {new} FROM beta{r} JOIN step{r}_6 USING (b))")
+    ctes.append(f"fitted AS (SELECT b, {', '.join(beta)} FROM beta{rounds})")
+    return ",\n".join(ctes)
+
+
+def _ordinal_scores(rows: str) -> str:
+    """``ordinal_scored``: all columns of ``rows`` with v0 .. v4 and ``ordinal_pred``."""
+    values = [*(f"coalesce({name}, 0e0)" for name in _INPUTS), "1e0"]
+    score = " + ".join(f"f.c{i} * {v}" for i, v in enumerate(values))
+    edges = ["1e0", "g0", "g1", "g2", "g3", "0e0"]
+    parts = ", ".join(f"least(1e0, greatest(0e0, {a} - {b})) AS u{i}" for i, (a, b) in enumerate(zip(edges, edges[1:])))
+    greater = ", ".join(f"max(1e0 / (1e0 + exp(-({score})))) FILTER (f.b = {k}) AS g{k}" for k in range(4))
+    return f"""greater AS (SELECT r.id, {greater} FROM {rows} r, fitted f GROUP BY r.id),
+clipped_parts AS (SELECT id, {parts} FROM greater),
+summed_parts AS (SELECT *, (((u0 + u1) + u2) + u3) + u4 AS t FROM clipped_parts),
+shares AS (SELECT id, {", ".join(f"u{i} / CASE WHEN t = 0 THEN 1e0 ELSE t END AS v{i}" for i in range(5))} FROM summed_parts),
+ordinal_scored AS (
+  SELECT r.*, v0, v1, v2, v3, v4, CAST(CASE WHEN early_gate_score IN (0, 4) THEN early_gate_score
+    ELSE list_position([v0, v1, v2, v3, v4], greatest(v0, v1, v2, v3, v4)) - 1 END AS INTEGER) AS ordinal_pred
+  FROM {rows} r JOIN shares USING (id)
+)"""
+
+
 _CELLS = " UNION ALL ".join(
     f"SELECT t1, t2, t3, t4, {y} AS t, unnest([0, 1, 2, 3, 4]) AS p, "
     f"unnest([a.c{y}, b.c{y} - a.c{y}, c.c{y} - b.c{y}, d.c{y} - c.c{y}, n{y} - d.c{y}]) AS n FROM looked"
@@ -645,6 +702,30 @@ best AS (
 )
 SELECT t1 / 1e4 AS t1, t2 / 1e4 AS t2, t3 / 1e4 AS t3, t4 / 1e4 AS t4, {r4('k')} AS qwk FROM best"""
 
+    split_sides = f"{FEATURE_PAIRS},\nsides_of AS (WITH {quotas(True)})"
+    chosen = "SELECT p.* FROM feature_pairs p JOIN sides_of s USING (id) WHERE s.split = "
+    sql["ordinal_logistic"] = f"""WITH {split_sides},
+{_newton(chosen + "'train'", 10)},
+held AS ({chosen}'validation'),
+{_ordinal_scores('held')}
+SELECT id, ordinal_pred, {", ".join(f"{r4(f'v{k}')} AS prob_{k}" for k in range(5))} FROM ordinal_scored"""
+    listed = ", ".join(f"c{i}" for i in range(6))
+    named = ", ".join(f"'{name}'" for name in (*_INPUTS, "intercept"))
+    sql["ordinal_summary"] = f"""WITH {FEATURE_PAIRS},
+{_newton("SELECT * FROM feature_pairs", 10)},
+listed AS (SELECT b, unnest([{named}]) AS feature, unnest([{listed}]) AS v FROM fitted)
+SELECT 'logistic_regression' AS model_type, 'y > ' || b AS binary_task, feature, {r4('v')} AS value FROM listed"""
+    open_histogram = f"""{FEATURE_PAIRS},
+histogram AS (SELECT CAST(round(heuristic_raw_score * 10000) AS INTEGER) AS bin, human_score AS label, count(*) AS n
+  FROM raw_scored WHERE early_gate_score IS NULL GROUP BY ALL)"""
+    cuts = tuple(f"t{k} / 1e4" for k in range(1, 5))
+    sql["holdout_score"] = f"""{_shortest_paths(8, open_histogram)},
+{_newton("SELECT * FROM feature_pairs", 10)},
+{_ordinal_scores('raw_scored')}
+SELECT id, early_gate_score, heuristic_raw_score, ordinal_pred,
+  CAST(CASE WHEN early_gate_score IN (0, 4) THEN early_gate_score ELSE {rubric('heuristic_raw_score', cuts)} END AS INTEGER)
+    AS heuristic_pred FROM ordinal_scored, round8"""
+
     edges = ["1e0", "g0", "g1", "g2", "g3", "0e0"]
     parts = ", ".join(
         f"least(1e0, greatest(0e0, {a} - {b})) AS u{i}" for i, (a, b) in enumerate(zip(edges, edges[1:]))
