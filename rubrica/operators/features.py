@@ -1,7 +1,8 @@
 """Features of unresolved pairs: lexical overlap, vector similarity, pair-model margin.
 
 Models are functions from DataFrame to DataFrame, so a JVM expression, a Spark ML stage or a
-Python model behind ``mapInPandas`` all fit the same slot.
+Python model behind ``mapInPandas`` all fit the same slot.  They see each distinct text or pair once; results are joined by
+the 128-bit digests of the texts, so texts move once to become distinct, and never as join keys.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ logger = logging.getLogger(__name__)
 
 PAIR = ["clean_stimulus", "clean_response"]
 
-# (text) -> (text, vector)
+# Digests of the two texts.
+PAIR_ID = ["stimulus_id", "response_id"]
+
+# (id, text) -> (id, vector)
 Embedder = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class PairModel:
-    """``predict`` maps (premise, hypothesis) to the same columns and ``logits``."""
+    """``predict`` maps (pair_id, premise, hypothesis) to (pair_id, logits)."""
 
     predict: Callable[[DataFrame], DataFrame]
     labels: Sequence[str] = ("entailment", "neutral", "contradiction")
@@ -43,6 +47,7 @@ class PairModel:
 class Models:
     """What the engines run on.  ``lexicon`` has ``form, lemma, pos, is_stop``, one row a form.
 
+    ``joint_model`` maps (stimulus_id, response_id and both texts) to the ids and ``score``.
     ``stand_ins`` lets hashed and shared words stand in for models that are not given; without it
     a missing model is an error.
     """
@@ -54,6 +59,29 @@ class Models:
     stand_ins: bool = False
 
 
+def text_id(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def with_ids(df: DataFrame) -> DataFrame:
+    """``df`` with the digests of its texts."""
+    return df.withColumns({name: text_id(F.col(side)) for name, side in zip(PAIR_ID, PAIR)})
+
+
+def _distinct_pairs(df: DataFrame) -> DataFrame:
+    """Ids and texts of each distinct pair."""
+    return with_ids(df.select(*PAIR)).dropDuplicates(PAIR_ID)
+
+
+def _distinct_texts(pairs: DataFrame) -> DataFrame:
+    """(id, text) of each distinct text; stored.  Two texts of one digest are an error."""
+    sides = [F.struct(F.col(i).alias("id"), F.col(side).alias("text")) for i, side in zip(PAIR_ID, PAIR)]
+    texts = materialize(pairs.select(F.inline(F.array(*sides))).distinct(), "texts")
+    if not texts.groupBy("id").count().filter("count > 1").isEmpty():
+        raise ValueError("two different texts have the same digest")
+    return texts
+
+
 def _both_texts() -> Column:
     return (F.col("clean_stimulus") != "") & (F.col("clean_response") != "")
 
@@ -157,7 +185,7 @@ def hashed_embedder(width: int = 256) -> Embedder:
         split = texts.withColumn("_words", F.split("text", " "))
         hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width).transform(split)
         unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
-        return unit.select("text", vector_to_array("_unit", "float32").alias("vector"))
+        return unit.select("id", vector_to_array("_unit", "float32").alias("vector"))
 
     return embed
 
@@ -166,7 +194,7 @@ def hashed_embedder(width: int = 256) -> Embedder:
 MODEL_ROWS = 16_384
 
 
-def _model_tasks(df: DataFrame) -> DataFrame:
+def model_tasks(df: DataFrame) -> DataFrame:
     """Deal rows to tasks by their number, all task slots at least: model time follows rows, not bytes.
 
     ``df`` should be a stored table, as it is counted first.
@@ -182,31 +210,32 @@ def python_embedder(load: Callable[[], Callable[[list[str]], object]], batch_siz
         encode = load()
         for batch in batches:
             for start in range(0, len(batch), batch_size):
-                texts = batch["text"].iloc[start : start + batch_size].tolist()
-                yield pd.DataFrame({"text": texts, "vector": list(encode(texts))})
+                part = batch.iloc[start : start + batch_size]
+                yield pd.DataFrame({"id": part["id"].tolist(), "vector": list(encode(part["text"].tolist()))})
 
     def embed(texts: DataFrame) -> DataFrame:
-        return _model_tasks(texts).mapInPandas(embed_batches, "text string, vector array<float>")
+        return model_tasks(texts).mapInPandas(embed_batches, "id binary, vector array<float>")
 
     return embed
 
 
-def embed_texts(texts: DataFrame, embedder: Embedder) -> DataFrame:
-    """Each distinct text once: (text, vector), written so that no vector is computed twice."""
-    return materialize(embedder(materialize(texts.select("text").distinct(), "texts")), "vectors")
+def _similarity(pairs: DataFrame, texts: DataFrame, embedder: Embedder) -> DataFrame:
+    """Ids and ``sbert_similarity`` of distinct pairs; vectors are written, so that none is computed twice."""
+    vectors = materialize(embedder(texts), "vectors")
+    fits = fits_broadcast(vectors)
+    out = pairs.select(*PAIR_ID)
+    for name in PAIR_ID:
+        named = vectors.select(F.col("id").alias(name), F.col("vector").alias(f"_{name}"))
+        out = lookup_join(out, named, [name], spread_by=PAIR_ID, small_fits=fits)
+    similarity = cosine(*(F.col(f"_{name}") for name in PAIR_ID))
+    return out.select(*PAIR_ID, similarity.alias("sbert_similarity"))
 
 
 def vector_similarity(pairs: DataFrame, embedder: Embedder) -> DataFrame:
     """``sbert_similarity`` of distinct (stimulus, response) pairs."""
-    texts = pairs.select(F.explode(F.array(*PAIR)).alias("text"))
-    vectors = embed_texts(texts, embedder)
-    fits = fits_broadcast(vectors)
-    out = pairs
-    for side in PAIR:
-        named = vectors.select(F.col("text").alias(side), F.col("vector").alias(f"_{side}"))
-        out = lookup_join(out, named, [side], spread_by=PAIR, small_fits=fits)
-    similarity = cosine(F.col("_clean_stimulus"), F.col("_clean_response"))
-    return out.select(*pairs.columns, similarity.alias("sbert_similarity"))
+    ided = materialize(_distinct_pairs(pairs), "pairs")
+    found = _similarity(ided, _distinct_texts(ided), embedder)
+    return lookup_join(with_ids(pairs), found, PAIR_ID, spread_by=PAIR).select(*pairs.columns, "sbert_similarity")
 
 
 # --- pair models --------------------------------------------------------------------------
@@ -221,7 +250,7 @@ def overlap_pair_model() -> PairModel:
         )
         lean = F.lit(4.0) * share - F.lit(2.0)
         return pairs.withColumn("_lean", lean).select(
-            "premise", "hypothesis", F.array(F.col("_lean"), F.lit(0.0), -F.col("_lean")).alias("logits")
+            "pair_id", F.array(F.col("_lean"), F.lit(0.0), -F.col("_lean")).alias("logits")
         )
 
     return PairModel(predict)
@@ -241,11 +270,10 @@ def python_pair_model(
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size]
                 logits = classify(part["premise"].tolist(), part["hypothesis"].tolist())
-                yield part[["premise", "hypothesis"]].assign(logits=list(logits))
+                yield pd.DataFrame({"pair_id": part["pair_id"].tolist(), "logits": list(logits)})
 
     def predict(pairs: DataFrame) -> DataFrame:
-        schema = "premise string, hypothesis string, logits array<double>"
-        return _model_tasks(pairs).mapInPandas(predict_batches, schema)
+        return model_tasks(pairs).mapInPandas(predict_batches, "pair_id binary, logits array<double>")
 
     return PairModel(predict, tuple(labels))
 
@@ -254,16 +282,25 @@ def _premise_and_hypothesis(cfg: FeatureConfig) -> tuple[str, str]:
     return (PAIR[1], PAIR[0]) if cfg.premise_first == "response" else (PAIR[0], PAIR[1])
 
 
-def nli_features(pairs: DataFrame, model: PairModel, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """The four class features of distinct pairs."""
+def _pair_classes(pairs: DataFrame, model: PairModel, cfg: FeatureConfig) -> DataFrame:
+    """Ids and the four class features of distinct pairs."""
     premise, hypothesis = _premise_and_hypothesis(cfg)
-    named = pairs.select(F.col(premise).alias("premise"), F.col(hypothesis).alias("hypothesis"))
+    pair_id = F.concat(*PAIR_ID)
+    named = pairs.select(
+        pair_id.alias("pair_id"), F.col(premise).alias("premise"), F.col(hypothesis).alias("hypothesis")
+    )
     scored = model.predict(named).withColumn("_probabilities", softmax(F.col("logits")))
     return scored.select(
-        F.col("premise").alias(premise),
-        F.col("hypothesis").alias(hypothesis),
+        F.substring("pair_id", 1, 16).alias(PAIR_ID[0]),
+        F.substring("pair_id", 17, 16).alias(PAIR_ID[1]),
         *nli_columns(F.col("_probabilities"), label_positions(model.labels)),
-    ).select(*PAIR, *NLI_FEATURES)
+    ).select(*PAIR_ID, *NLI_FEATURES)
+
+
+def nli_features(pairs: DataFrame, model: PairModel, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """The four class features of distinct pairs."""
+    ided = _distinct_pairs(pairs)
+    return _pair_classes(ided, model, cfg).join(ided, PAIR_ID).select(*PAIR, *NLI_FEATURES)
 
 
 # --- assembly -----------------------------------------------------------------------------
@@ -280,27 +317,27 @@ def feature_names(cfg: FeatureConfig) -> list[str]:
 
 
 def model_features(df: DataFrame, models: Models, cfg: FeatureConfig) -> DataFrame:
-    """Model features of the distinct pairs in ``df``: equal pairs share one model call."""
+    """Ids and model features of the distinct pairs in ``df``: equal pairs share one model call."""
     for engine, used, model in (
         ("sentence vectors", cfg.use_sbert, models.embedder),
         ("pair model", cfg.use_nli, models.pair_model),
     ):
         if used and model is None and not models.stand_ins:
             raise ValueError(f"{engine}: no model given (Models(stand_ins=True) runs the built-in stand-ins)")
-    pairs = materialize(df.filter(_both_texts()).select(*PAIR).distinct(), "pairs")
-    out = pairs
+    pairs = materialize(_distinct_pairs(df.filter(_both_texts())), "pairs")
+    parts = []
     if cfg.use_sbert:
-        out = vector_similarity(out, models.embedder or hashed_embedder())
+        parts.append(_similarity(pairs, _distinct_texts(pairs), models.embedder or hashed_embedder()))
     if cfg.use_nli:
-        nli = nli_features(pairs, models.pair_model or overlap_pair_model(), cfg)
-        out = out.join(nli, PAIR, "left")
+        parts.append(_pair_classes(pairs, models.pair_model or overlap_pair_model(), cfg))
     if cfg.use_cross_encoder:
         if models.joint_model is None:
             raise ValueError("use_cross_encoder needs a joint model")
-        joint = models.joint_model(pairs).select(
-            *PAIR, joint_similarity(F.col("score")).alias("cross_encoder_similarity")
-        )
-        out = out.join(joint, PAIR, "left")
+        score = joint_similarity(F.col("score")).alias("cross_encoder_similarity")
+        parts.append(models.joint_model(pairs).select(*PAIR_ID, score))
+    out = pairs.select(*PAIR_ID)
+    for part in parts:
+        out = out.join(part, PAIR_ID, "left")
     return materialize(out, "pair-features")
 
 
@@ -312,7 +349,7 @@ def extract_features(
     if cfg.use_lemma_overlap:
         out = lexical_features(out, key, models.lexicon, cfg)
     if cfg.use_sbert or cfg.use_nli or cfg.use_cross_encoder:
-        out = lookup_join(out, model_features(df, models, cfg), PAIR, spread_by=key)
+        out = lookup_join(with_ids(out), model_features(df, models, cfg), PAIR_ID, spread_by=key)
     names = feature_names(cfg)
     return out.fillna(0, subset=names).select(*df.columns, *names)
 

@@ -8,12 +8,22 @@ only, once per task.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import SparkFiles
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rubrica.operators.features import Embedder, PairModel, python_embedder, python_pair_model
+from rubrica.operators.features import Embedder, PairModel, model_tasks
+from rubrica.session import materialize
+
+# Windows handed on at a time.
+WINDOW_ROWS = 1024
 
 # Names of the padding token in common vocabularies.
 PAD_TOKENS = ("<pad>", "[PAD]")
@@ -79,27 +89,62 @@ class _Runner:
         return slices[0] if len(slices) == 1 else list(zip(*slices, strict=True))
 
 
-def onnx_embedder(model: str, tokenizer: str, max_length: int = 128, batch_size: int = 8) -> Embedder:
-    """Unit-length sentence vectors: the mean of the token states over all windows of the text."""
+def _cut_to_rows(key: str, load, columns: list[str]):
+    """A task function: a row per window of the text columns of a row, numbered."""
 
-    def load():
-        runner = _Runner(model, tokenizer, max_length, batch_size)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runner = load()
+        for batch in batches:
+            rows = []
+            for own, *texts in batch[[key, *columns]].itertuples(index=False):
+                for k, window in enumerate(runner.windows(*texts)):
+                    rows.append((own, k, *((window,) if isinstance(window, str) else window)))
+                    if len(rows) == WINDOW_ROWS:
+                        yield pd.DataFrame(rows, columns=[key, "window", *columns])
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "window", *columns])
+
+    return cut
 
-        def encode(texts: list[str]) -> np.ndarray:
-            windows = [runner.windows(t) for t in texts]
-            sums, counts = [], []
-            for states, mask in runner.run([w for own in windows for w in own]):
-                sums.append((states * mask[:, :, None]).sum(axis=1))
-                counts.append(mask.sum(axis=1))
-            first = np.cumsum([0, *map(len, windows[:-1])])
-            total = np.add.reduceat(np.concatenate(sums), first, axis=0)
-            mean = total / np.maximum(np.add.reduceat(np.concatenate(counts), first), 1)[:, None]
-            norms = np.linalg.norm(mean, axis=1, keepdims=True)
-            return (mean / np.where(norms == 0, 1, norms)).astype(np.float32)
 
-        return encode
+def _window_rows(df: DataFrame, key: str, columns: list[str], load) -> DataFrame:
+    """Windows as rows, so that the windows of one long text go to many tasks."""
+    schema = f"{key} binary, window int, " + ", ".join(f"{c} string" for c in columns)
+    return materialize(df.mapInPandas(_cut_to_rows(key, load, columns), schema), "windows")
 
-    return python_embedder(load, batch_size)
+
+def onnx_embedder(model: str, tokenizer: str, max_length: int = 128, batch_size: int = 8) -> Embedder:
+    """Unit-length sentence vectors: the mean of the token states over all windows of the text.
+
+    Windows are rows of their own; a window gives the mean of its states and its number of tokens, and
+    these are pooled by text.
+    """
+
+    def load():
+        return _Runner(model, tokenizer, max_length, batch_size)
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runner = load()
+        for batch in batches:
+            start = 0
+            for out, mask in runner.run(batch["text"].tolist()):
+                tokens = mask.sum(axis=1)
+                mean = (out * mask[:, :, None]).sum(axis=1) / np.maximum(tokens, 1)[:, None]
+                keys = batch["id"].iloc[start : start + len(tokens)].tolist()
+                start += len(tokens)
+                yield pd.DataFrame({"id": keys, "tokens": tokens.astype(float), "mean": list(mean.astype(float))})
+
+    def embed(texts: DataFrame) -> DataFrame:
+        windows = model_tasks(_window_rows(texts, "id", ["text"], load))
+        seen = windows.mapInPandas(states, "id binary, tokens double, mean array<double>")
+        pooled = seen.groupBy("id").agg(
+            Summarizer.mean(array_to_vector("mean"), F.greatest("tokens", F.lit(1e-9))).alias("pooled")
+        )
+        unit = Normalizer(inputCol="pooled", outputCol="unit").transform(pooled)
+        return unit.select("id", vector_to_array("unit", "float32").alias("vector"))
+
+    return embed
 
 
 def onnx_pair_model(
@@ -108,19 +153,23 @@ def onnx_pair_model(
     """Class logits of premise and hypothesis.
 
     A pair longer than ``max_length`` tokens is read in windows: both texts are cut into the same number of
-    overlapping parts, part meets part, and the logits are the mean over the windows.
+    overlapping parts, part meets part as a row of its own, and the logits are the mean over a pair's windows.
     """
 
     def load():
-        runner = _Runner(model, tokenizer, max_length, batch_size)
-
-        def classify(premises: list[str], hypotheses: list[str]) -> np.ndarray:
-            windows = [runner.windows(p, h) for p, h in zip(premises, hypotheses, strict=True)]
-            logits = [out for out, _ in runner.run([w for own in windows for w in own])]
-            first, sizes = np.cumsum([0, *map(len, windows[:-1])]), np.array([len(w) for w in windows])
-            total = np.add.reduceat(np.concatenate(logits).astype(np.float64), first, axis=0)
-            return total / sizes[:, None]
-
-        return classify
-
-    return python_pair_model(load, labels, batch_size)
+        return _Runner(model, tokenizer, max_length, batch_size)
+
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runner = load()
+        for batch in batches:
+            texts = list(zip(batch["premise"], batch["hypothesis"], strict=True))
+            logits = [row for out, _ in runner.run(texts) for row in out.astype(float)]
+            yield pd.DataFrame({"pair_id": batch["pair_id"].tolist(), "logits": logits})
+
+    def predict(pairs: DataFrame) -> DataFrame:
+        windows = model_tasks(_window_rows(pairs, "pair_id", ["premise", "hypothesis"], load))
+        seen = windows.mapInPandas(classify, "pair_id binary, logits array<double>")
+        mean = seen.groupBy("pair_id").agg(Summarizer.mean(array_to_vector("logits")).alias("mean"))
+        return mean.select("pair_id", vector_to_array("mean").alias("logits"))
+
+    return PairModel(predict, tuple(labels))

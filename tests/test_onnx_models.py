@@ -115,6 +115,22 @@ def test_texts_longer_than_the_model_count_whole(spark, files):
     assert len(set(scored.values())) == 3
 
 
+def test_a_text_of_a_million_words_is_many_rows(spark, files, plan_of):
+    """Its windows are dealt to tasks, the pooling is an aggregate outside Python."""
+    folder, table = files
+    embedder = onnx_embedder(str(folder / "encoder.onnx"), str(folder / "tokenizer.json"), max_length=512, batch_size=64)
+    words = np.random.default_rng(2).choice(["la", "casa", "roja", "perro"], 1_000_000)
+    texts = spark.createDataFrame([(bytearray(b"x"), " ".join(words)), (bytearray(b"y"), "la casa")], "id binary, text string")
+    out = embedder(texts)
+    plan = plan_of(out)
+    assert plan.index("ObjectHashAggregate") < plan.index("MapInPandas") and "Exchange RoundRobinPartitioning" in plan
+    got = {bytes(r.id): np.array(r.vector) for r in out.collect()}
+    whole = table[[WORDS.index(w) for w in words]].astype(float).mean(axis=0)
+    assert np.abs(got[b"x"] - whole / np.linalg.norm(whole)).max() < 0.02  # overlaps count twice
+    short = table[ids("la casa")].mean(axis=0)
+    assert np.allclose(got[b"y"], short / np.linalg.norm(short), atol=1e-5)
+
+
 def test_windows_cover_the_text(files):
     from rubrica.sources.onnx_models import _Runner
 
