@@ -10,13 +10,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from rubrica.config import SplitConfig
+from rubrica.config import RUBRIC, SplitConfig
 
 logger = logging.getLogger(__name__)
 
-# Rows are cut by hash order.  Their counts are taken over 16^4 hash prefixes, so only about
-# one row in 65,536 of a stratum is ever sorted.
+# Rows are cut by hash order.  Each round counts the rows of the interval in question over 16^4 prefixes that are
+# longer by four digits, until the one prefix that is left has so few rows that they can be ranked.
 PREFIX = 4
+RANKED_ROWS = 10_000
+DIGITS = 32
 
 
 def validation_quotas(counts: dict[int, int], cfg: SplitConfig) -> dict[int, int]:
@@ -43,12 +45,16 @@ def split_labeled(
     """Labelled rows with a ``split`` column: ``validation`` or ``train``.
 
     A row's place is the order of ``md5("seed|id")``, so the result does not depend on
-    partitioning.  Instead of ranking whole strata, counts per hash prefix find the prefix in
-    which each stratum reaches its quota, and only the rows of that prefix are ranked.  The
-    outcome is one cut per stratum; the split itself is a comparison with it, row by row.
+    partitioning.  Instead of ranking whole strata, counts per hash prefix narrow down the interval in
+    which each stratum reaches its quota, and only a few rows are ranked.  The outcome is one cut per
+    stratum; the split itself is a comparison with it, row by row.
     """
     rows = df.filter(F.col(label).isNotNull())
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    per_grade = [F.count_if(F.col(label) == grade).alias(str(grade)) for grade in RUBRIC]  # one row, whatever labels there are
+    found = rows.agg(*per_grade, F.count_if(~F.col(label).isin(*RUBRIC)).alias("other")).first()
+    if found["other"]:
+        raise ValueError("labels must be grades 0 to 4")
+    counts = {grade: found[str(grade)] for grade in RUBRIC if found[str(grade)]}
     if not counts:
         raise ValueError("no labelled rows to split")
     stratified = cfg.stratify
@@ -77,25 +83,52 @@ def split_labeled(
     return rows.withColumn("split", F.when(is_validation, "validation").otherwise("train"))
 
 
-def _cuts(hashed: DataFrame, quotas: dict[int, int]) -> list[Row]:
-    """The last row of each stratum (``_g``) that still belongs to its quota: one per stratum."""
-    prefix = F.substring("_h", 1, PREFIX).alias("_prefix")
-    quota = F.create_map(*[F.lit(x) for item in quotas.items() for x in item])[F.col("_g")]
+def _inside(prefixes: dict[int, str]) -> Column:
+    """Rows of the given hash prefix of each stratum."""
+    own = [(F.col("_g") == g) & F.col("_h").startswith(prefix) for g, prefix in prefixes.items()]
+    return reduce(operator.or_, own, F.lit(False))
+
+
+def _narrowed(hashed: DataFrame, prefixes: dict[int, str], ranks: dict[int, int]) -> list[Row]:
+    """The longer prefix in which each stratum reaches its rank: one row per stratum."""
+    length = len(next(iter(prefixes.values()))) + PREFIX
+    rank = F.create_map(*[F.lit(x) for item in ranks.items() for x in item])[F.col("_g")]
     # One row per stratum and prefix: at most 16^4 rows a stratum.
     upto = Window.partitionBy("_g").orderBy("_prefix")
-    reached = (
-        hashed.groupBy("_g", prefix)
-        .agg(F.count("*").alias("_n"))
-        .withColumns({"_upto": F.sum("_n").over(upto), "_quota": quota})
-        .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
-        .select("_g", "_prefix", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
-    )
-    in_order = Window.partitionBy("_g").orderBy("_h", "_id")
+    row = F.struct("_h", "_id")
     return (
-        hashed.withColumn("_prefix", prefix)
-        .join(F.broadcast(reached), ["_g", "_prefix"])
-        .withColumn("_place", F.row_number().over(in_order))
-        .filter(F.col("_place") == F.col("_rank"))
-        .select("_g", "_h", "_id")
+        hashed.filter(_inside(prefixes))
+        .groupBy("_g", F.substring("_h", 1, length).alias("_prefix"))
+        .agg(F.count("*").alias("_n"), F.min(row).alias("_first"), F.max(row).alias("_last"))
+        .withColumns({"_upto": F.sum("_n").over(upto), "_quota": rank})
+        .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
+        .select("_g", "_prefix", "_n", "_first", "_last", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
         .collect()
     )
+
+
+def _cuts(hashed: DataFrame, quotas: dict[int, int]) -> list[Row]:
+    """The last row of each stratum (``_g``) that still belongs to its quota: one per stratum.
+
+    Rows that repeat an id fall on the same side, so an interval of one id is a cut by itself.
+    """
+    cuts, few = [], {}
+    wide, ranks = dict.fromkeys(quotas, ""), dict(quotas)
+    while wide:
+        found = _narrowed(hashed, wide, ranks)
+        wide = {}
+        for row in found:
+            g = row["_g"]
+            ranks[g] = row["_rank"]
+            if row["_first"] == row["_last"]:
+                cuts.append(Row(_g=g, _h=row["_last"]["_h"], _id=row["_last"]["_id"]))
+            elif row["_n"] <= RANKED_ROWS or len(row["_prefix"]) >= DIGITS:
+                few[g] = row["_prefix"]
+            else:
+                wide[g] = row["_prefix"]
+    if few:
+        rank = F.create_map(*[F.lit(x) for g in few for x in (g, ranks[g])])[F.col("_g")]
+        in_order = Window.partitionBy("_g").orderBy("_h", "_id")
+        ranked = hashed.filter(_inside(few)).withColumn("_place", F.row_number().over(in_order))
+        cuts += ranked.filter(F.col("_place") == rank).select("_g", "_h", "_id").collect()
+    return cuts

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubrica.config import SplitConfig
+from rubrica.operators import split
 from rubrica.operators.split import split_labeled, validation_quotas
 
 
@@ -47,6 +48,34 @@ def test_seed_changes_the_members(spark):
     assert chosen[0] != chosen[1] and len(chosen[0]) == len(chosen[1]) == 50
 
 
+@pytest.mark.parametrize("ranked", [1, 3, 10_000])
+def test_intervals_are_narrowed_until_few_rows_are_left(spark, monkeypatch, ranked):
+    monkeypatch.setattr(split, "PREFIX", 1)
+    monkeypatch.setattr(split, "RANKED_ROWS", ranked)
+    sizes, real = [], split._narrowed
+    monkeypatch.setattr(split, "_narrowed", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    counts = {0: 60, 2: 90, 4: 700}
+    rows = split_labeled(table(spark, counts), "id").collect()
+    assert {r.id for r in rows if r.split == "validation"} == expected(rows, validation_quotas(counts, SplitConfig()))
+    last = {r["_g"]: r["_n"] for found in sizes for r in found}
+    assert max(last.values()) <= ranked and (ranked > 700 or len(sizes) > 1)
+
+
+def test_an_id_with_a_third_of_the_rows_is_not_ranked(spark, monkeypatch):
+    """Its prefix never gets short of rows, so the id itself is the cut."""
+    monkeypatch.setattr(split, "RANKED_ROWS", 5)
+    hot = min(range(300), key=lambda i: abs(int(hashlib.md5(f"42|{i}".encode()).hexdigest(), 16) / 16**32 - 0.1))
+    df = table(spark, {4: 300}).withColumn("id", F.when(F.col("id") % 3 == 0, hot).otherwise(F.col("id")))
+    rows = split_labeled(df, "id").collect()
+    sides = {i: {r.split for r in rows if r.id == i} for i in {r.id for r in rows}}
+    assert all(len(s) == 1 for s in sides.values()) and sides[hot] == {"validation"}
+
+
+def test_labels_outside_the_grades(spark):
+    with pytest.raises(ValueError, match="grades"):
+        split_labeled(table(spark, {0: 10, 7: 10}), "id")
+
+
 @pytest.mark.parametrize("counts", [{0: 1, 4: 30}, {0: 2, 1: 2, 2: 2}])
 def test_falls_back_to_a_plain_split(spark, counts):
     rows = split_labeled(table(spark, counts), "id").collect()
