@@ -25,8 +25,8 @@ from rubrica.functions.vectors import cosine
 from rubrica.operators import cleaning, features, heuristic, metrics, ordering, ordinal, profile, split, thresholds
 from rubrica.plans import experiment, fixtures
 from rubrica.session import materialize, scratch_path
-from rubrica.sources import sheet_cache, sheets
-from rubrica.sources.artifacts import report_table, validation_predictions
+from rubrica.sources import sheets, versions
+from rubrica.sources.artifacts import read_table, report_table, save_table, validation_predictions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,10 +127,23 @@ def sheet_cache_refresh(spark, sf):
         _as_files(rows, folder, part, headers)
     sheets.load_role(spark, f"{folder}/*", "tuning", cfg)
     _as_files(rows.withColumn("human_score", F.lit("2")), folder, 1, HEADERS[1])
-    sheet_cache.remove(spark, f"{folder}/2")
+    versions.remove(spark, f"{folder}/2")
     return sheets.load_role(spark, f"{folder}/*", "tuning", cfg).drop("sheet_ordinal")
 
 
+@query
+def saved_table_by_sheet(spark, sf):
+    """Validated pairs saved twice, read back from the newer version, counted by its partitions."""
+    folder = scratch_path(spark, "tables")
+    pairs = sheets.standardize(_rows(spark, sf), "tuning")
+    by_sheet = pairs.withColumn("part", F.pmod(F.length("sheet_name"), F.lit(7)))
+    save_table(by_sheet.withColumn("human_score", F.lit(0.0)), folder, "pairs", partition_by=["part"])
+    save_table(by_sheet, folder, "pairs", partition_by=["part"])
+    return read_table(spark, folder, "pairs").groupBy("part").agg(
+        F.count("*").alias("n"), F.count("human_score").alias("scored"), F.countDistinct("sheet_name").alias("sheets")
+    )
+
+
 @query
 def load_holdout(spark, sf):
     rows = _rows(spark, sf).withColumn("human_score", F.lit(None).cast("string"))

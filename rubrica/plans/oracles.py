@@ -539,6 +539,9 @@ left_over AS (
   SELECT * REPLACE (CASE WHEN {third} = 1 THEN '2' ELSE human_score END AS human_score) FROM sheet_rows WHERE {third} < 2
 ),{flagged('left_over')}
 SELECT {PAIR_COLUMNS} FROM pairs WHERE human_score IS NOT NULL"""
+    sql["saved_table_by_sheet"] = f"""WITH {SHEET_ROWS},{flagged()}
+SELECT CAST(length(sheet_name) % 7 AS INTEGER) AS part, count(*) AS n, count(human_score) AS scored,
+  count(DISTINCT sheet_name) AS sheets FROM flagged WHERE reason IS NULL GROUP BY ALL"""
     sql["load_holdout"] = f"""WITH {SHEET_ROWS},
 unscored AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS human_score) FROM sheet_rows),{flagged('unscored', 'holdout')}
 SELECT {PAIR_COLUMNS} FROM pairs"""

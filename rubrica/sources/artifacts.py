@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rubrica.sources import versions
+
 # Columns of the final report and the names they get there.
 REPORT_COLUMNS = {
     "participant_id": "ID",
@@ -29,18 +31,32 @@ AUDIT_COLUMNS = (
 )
 
 
-def save_table(df: DataFrame, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """Write a result table, replacing an older one, and return it as read back."""
-    path = f"{directory.rstrip('/')}/{name}"
+def save_table(
+    df: DataFrame, directory: str, name: str, fmt: str = "parquet", partition_by: list[str] | None = None
+) -> DataFrame:
+    """Write a result table as a new version and return it as read back.
+
+    The version before stays what readers see until the write has ended, and its files stay for readers that have
+    begun; older ones go.  ``partition_by`` names columns that readers filter by, such as the sheet.
+    """
+    spark, table = df.sparkSession, f"{directory.rstrip('/')}/{name}"
     options = {"header": True} if fmt == "csv" else {}
-    df.write.mode("overwrite").format(fmt).options(**options).save(path)
-    return df.sparkSession.read.format(fmt).options(**options).schema(df.schema).load(path)
+    before = versions.newest(spark, table)
+    target = versions.following(spark, table)
+    df.write.format(fmt).options(**options).partitionBy(*(partition_by or [])).save(target)
+    now = versions.newest(spark, table)
+    versions.keep_only(spark, table, "version", {str(n) for n in (before, now) if n is not None})
+    return spark.read.format(fmt).options(**options).schema(df.schema).load(versions.path(table, now))
 
 
 def read_table(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """A result table written before; raises where there is none."""
+    """The newest finished version of a result table; raises where there is none."""
+    table = f"{directory.rstrip('/')}/{name}"
+    number = versions.newest(spark, table)
+    if number is None:
+        raise FileNotFoundError(f"no finished version of {table}")
     options = {"header": True, "inferSchema": True} if fmt == "csv" else {}
-    return spark.read.format(fmt).options(**options).load(f"{directory.rstrip('/')}/{name}")
+    return spark.read.format(fmt).options(**options).load(versions.path(table, number))
 
 
 def audit_table(df: DataFrame, features: list[str]) -> DataFrame:

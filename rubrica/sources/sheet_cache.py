@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from rubrica.operators.lookup import fits_broadcast
 from rubrica.session import materialize
+from rubrica.sources import versions
 
 MANIFEST = "unit string, path string, size bigint, time timestamp, refresh string"
 
@@ -60,43 +61,17 @@ def differences(now: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now.join(kept.select(*same), same, "left_anti"), kept.join(now.select("path"), "path", "left_anti")
 
 
-def _folder(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder with all it holds."""
-    folder, system = _folder(spark, path)
-    system.delete(folder, True)
-
-
-def _children(spark: SparkSession, path: str, name: str) -> list[str]:
-    """Values of the ``name=value`` folders in ``path``."""
-    folder, system = _folder(spark, path)
-    found = system.listStatus(folder) if system.exists(folder) else []
-    names = [x.getPath().getName() for x in found]
-    return [n.removeprefix(f"{name}=") for n in names if n.startswith(f"{name}=")]
-
-
-def _finished(spark: SparkSession, path: str) -> bool:
-    marker, system = _folder(spark, f"{path}/_SUCCESS")
-    return system.exists(marker)
-
-
 def current(spark: SparkSession, cache: str) -> Version | None:
     """The newest finished version."""
-    numbers = sorted((int(n) for n in _children(spark, f"{cache}/manifest", "version")), reverse=True)
-    for number in numbers:
-        path = f"{cache}/manifest/version={number}"
-        if _finished(spark, path):
-            return Version(number, spark.read.schema(MANIFEST).parquet(path))
-    return None
+    number = versions.newest(spark, f"{cache}/manifest")
+    if number is None:
+        return None
+    return Version(number, spark.read.schema(MANIFEST).parquet(versions.path(f"{cache}/manifest", number)))
 
 
 def read(spark: SparkSession, cache: str, version: Version, schema: T.StructType) -> DataFrame:
     """The rows of a version."""
-    if not _children(spark, f"{cache}/data", "refresh"):
+    if not versions.children(spark, f"{cache}/data", "refresh"):
         return spark.createDataFrame([], schema)
     own = [f for f in schema.fields if f.name != "unit"]
     every = T.StructType([*own, *(T.StructField(c, T.StringType()) for c in ("unit", "refresh"))])
@@ -122,14 +97,12 @@ def _check_sheets(sheets: DataFrame, others: DataFrame) -> None:
         raise ValueError(f"sheet names that occur in several files: {twice}")
 
 
-def _forget(spark: SparkSession, cache: str, versions: list[Version]) -> None:
+def _forget(spark: SparkSession, cache: str, last: list[Version]) -> None:
     """Delete refreshes that none of the versions refers to, and older manifests."""
-    used = {r["refresh"] for v in versions for r in v.manifest.select("refresh").distinct().collect()}
-    numbers = {str(v.number) for v in versions}
-    for kind, name, keep in (("data", "refresh", used), ("manifest", "version", numbers)):
-        for value in _children(spark, f"{cache}/{kind}", name):
-            if value not in keep:
-                remove(spark, f"{cache}/{kind}/{name}={value}")
+    used = {r["refresh"] for v in last for r in v.manifest.select("refresh").distinct().collect()}
+    numbers = {str(v.number) for v in last}
+    versions.keep_only(spark, f"{cache}/data", "refresh", used)
+    versions.keep_only(spark, f"{cache}/manifest", "version", numbers)
 
 
 def refreshed(
@@ -162,9 +135,8 @@ def refreshed(
         others = read(spark, cache, Version(0, staying), T.StructType([*schema.fields, T.StructField("unit", T.StringType())]))
         _check_sheets(sheets, others.select("sheet_name", "unit").distinct())
         _write(cache, refresh, pairs, sheets, schema)
-    number = 1 + max((int(n) for n in _children(spark, f"{cache}/manifest", "version")), default=0)
     manifest = staying.unionByName(again.withColumn("refresh", F.lit(refresh)))
-    manifest.coalesce(1).write.parquet(f"{cache}/manifest/version={number}")
+    manifest.coalesce(1).write.parquet(versions.following(spark, f"{cache}/manifest"))
     new = current(spark, cache)
     _forget(spark, cache, [new, *([before] if before else [])])
     return read(spark, cache, new, schema)

@@ -84,6 +84,30 @@ def test_artifacts_can_be_read_back(spark, result):
         artifacts.read_table(spark, out, "nothing")
 
 
+def test_saved_tables_have_versions(spark, tmp_path, plan_of):
+    out = str(tmp_path)
+    frame = lambda x: spark.createDataFrame([(x, "a"), (x, "b")], "x int, sheet string")
+    for x in (1, 2, 3):
+        saved = artifacts.save_table(frame(x), out, "t", partition_by=["sheet"])
+        assert [r.x for r in saved.collect()] == [x, x]
+    assert sorted(p.name for p in (tmp_path / "t").glob("version=*")) == ["version=2", "version=3"]
+    one = artifacts.read_table(spark, out, "t").filter("sheet = 'a'")
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(sheet" in plan_of(one)
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    out = str(tmp_path)
+    artifacts.save_table(spark.range(5), out, "t")
+    broken = spark.range(5).withColumn("id", F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("boom")).cast("long")))
+    with pytest.raises(Exception, match="boom"):
+        artifacts.save_table(broken, out, "t")
+    assert artifacts.read_table(spark, out, "t").count() == 5
+    (tmp_path / "t" / "version=77").mkdir()  # a writer that never finished
+    assert artifacts.read_table(spark, out, "t").count() == 5
+    assert artifacts.save_table(spark.range(3), out, "t").count() == 3
+    assert artifacts.read_table(spark, out, "t").count() == 3
+
+
 def test_report_needs_every_column(spark):
     with pytest.raises(ValueError, match="heuristic_pred"):
         artifacts.report_table(spark.createDataFrame([("P1",)], "participant_id string"))
