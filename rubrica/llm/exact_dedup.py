@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.llm.scratch import dropped, stored
@@ -62,10 +62,9 @@ def _summed(counts: str, level: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit((1 << level) - 1)), bucket)
 
 
-def _directory(spark: SparkSession, keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+def _directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     """(slot, bucket, depth) over all slots, and the number of bits of a slot."""
-    open_ones = spark.range(1).select(F.col("id").alias("prefix"))
-    bits, closed = 0, None
+    bits, closed, open_ones = 0, None, None
     while True:
         among = keys.select(_prefix(F.col("key"), bits).alias("prefix"), _prefix(F.col("key"), bits + STEP).alias("slot"))
         if bits:
@@ -73,8 +72,11 @@ def _directory(spark: SparkSession, keys: DataFrame, capacity: int) -> tuple[Dat
             among = among.join(F.broadcast(open_ones) if few else open_ones, "prefix", "left_semi")
         counted = among.groupBy("prefix", "slot").agg(F.count("*").alias("n"))
         slots = F.map_from_entries(F.collect_list(F.struct((F.col("slot") % (1 << STEP)).cast("int"), "n")))
-        by_prefix = counted.groupBy("prefix").agg(slots.alias("found"))  # 2**STEP entries at most
-        filled = open_ones.join(by_prefix, "prefix", "left").select(
+        if bits:  # 2**STEP entries per prefix at most
+            found = open_ones.join(counted.groupBy("prefix").agg(slots.alias("found")), "prefix", "left")
+        else:
+            found = counted.agg(F.lit(0).cast("bigint").alias("prefix"), slots.alias("found"))
+        filled = found.select(
             "prefix",
             F.transform(
                 F.sequence(F.lit(0), F.lit((1 << STEP) - 1)),
@@ -123,7 +125,7 @@ def build(
     entries = stored(_keyed(docs, key, text, normalise, key_bits).drop("text"), "entries")
     summary = entries.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
     summary = stored(summary, "distinct-entries")
-    directory, depth = _directory(spark, summary.select("key").distinct(), capacity)
+    directory, depth = _directory(summary.select("key").distinct(), capacity)
     few = (1 << depth) <= BROADCAST_SLOTS
     dealt = summary.withColumn("slot", _prefix(F.col("key"), depth)).join(
         F.broadcast(directory) if few else directory, "slot"
