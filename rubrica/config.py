@@ -36,6 +36,9 @@ class IngestConfig:
     force_reload: bool = False
     tuning_path: str | None = None
     holdout_path: str | None = None
+    #: Tables of the catalog with a sheet column, instead of files.
+    tuning_table: str | None = None
+    holdout_table: str | None = None
     cache_dir: str | None = None
     #: Read a missing path as an empty table, and go on without workbooks that cannot be read.
     missing_ok: bool = False
@@ -195,6 +198,8 @@ class ExperimentConfig:
                 force_reload=bool(data.get("force_reload", False)),
                 tuning_path=under_raw("tuning_set"),
                 holdout_path=under_raw("holdout_test_set"),
+                tuning_table=data.get("tuning_table"),
+                holdout_table=data.get("holdout_table"),
                 cache_dir=paths.get("cache_dir"),
                 missing_ok=bool(data.get("missing_ok", False)),
                 skip_unreadable=bool(data.get("skip_unreadable", False)),

@@ -131,6 +131,15 @@ def sheet_cache_refresh(spark, sf):
     return sheets.load_role(spark, f"{folder}/*", "tuning", cfg).drop("sheet_ordinal")
 
 
+@query
+def load_reports_of_run(spark, sf):
+    """The report that comes with a load of two catalog tables named in the settings."""
+    named = fixtures.sheet_rows(spark, sf).withColumnsRenamed(dict(zip(("stimulus", "transcription", "human_score"), HEADERS[0])))
+    materialize(named, "sheet-table").createOrReplaceTempView("sheet_table")
+    cfg = IngestConfig(tuning_table="sheet_table", holdout_table="sheet_table")
+    return sheets.load_data_with_reports(spark, cfg)[2]
+
+
 @query
 def saved_table_by_sheet(spark, sf):
     """Validated pairs saved twice, read back from the newer version, counted by its partitions."""

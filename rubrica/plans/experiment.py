@@ -18,7 +18,7 @@ from rubrica.operators.split import split_labeled
 from rubrica.operators.thresholds import compare_thresholds, fit_thresholds
 from rubrica.session import materialize
 from rubrica.sources.artifacts import audit_table, report_table, save_table, validation_predictions
-from rubrica.sources.sheets import Codec, load_data
+from rubrica.sources.sheets import Codec, load_data_with_reports
 
 ORDER = ["sheet_ordinal", "sheet_name", "row_ordinal"]
 SPLIT_NAME = "validation_from_tuning"
@@ -167,6 +167,10 @@ def run_from_files(
     models: Models = Models(),
     codec: Codec | None = None,
 ) -> dict[str, DataFrame]:
-    """Load both data sets named in the settings and run the experiment on them."""
-    tuning, holdout = load_data(spark, cfg.ingest, codec)
-    return run_experiment(tuning, holdout, cfg, models)
+    """Load both data sets named in the settings (files or tables) and run the experiment on them.
+
+    ``load_report`` says per role and sheet what was dropped and why; it is a by-product of the load.
+    """
+    tuning, holdout, reports = load_data_with_reports(spark, cfg.ingest, codec)
+    reports = save_table(reports, cfg.output_dir, "load_report") if cfg.output_dir else reports
+    return run_experiment(tuning, holdout, cfg, models) | {"load_report": reports}

@@ -558,6 +558,17 @@ report AS (
   FROM (SELECT f.*, c.copy FROM flagged f LEFT JOIN copies c USING (sheet_name, row_ordinal)) GROUP BY ALL
 )"""
     sql["load_report"] = f"WITH {report} SELECT * FROM report"
+    # Without labels nothing is out of range and no score is missing for the holdout.
+    holdout = f"""{flagged(role='holdout')},
+copies AS (SELECT sheet_name, row_ordinal, copy, human_score FROM ranked)
+SELECT 'holdout' AS role, sheet_name, count(*) AS rows_read, count(*) FILTER (reason = 'missing') AS dropped_missing,
+  count(*) FILTER (reason = 'blank') AS dropped_blank,
+  count(*) FILTER (reason IS NULL AND human_score IS NULL) AS invalid_scores, 0 AS out_of_range,
+  count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (copy > 1) AS deduplicated, 0 AS missing_scores,
+  count(*) FILTER (copy = 1) AS final_rows
+FROM (SELECT f.*, c.copy FROM flagged f LEFT JOIN copies c USING (sheet_name, row_ordinal)) GROUP BY ALL"""
+    sql["load_reports_of_run"] = f"""WITH {report}, other AS (WITH {SHEET_ROWS},{holdout})
+SELECT 'tuning' AS role, * FROM report UNION ALL SELECT * FROM other"""
     sql["load_summary"] = f"""WITH {report}
 SELECT (SELECT count(DISTINCT sheet_name) FROM all_rows) AS sheets_total,
   (SELECT count(DISTINCT sheet_name) FROM all_rows) - count(*) FILTER (kept > 0) AS sheets_skipped,

@@ -1,8 +1,8 @@
 """A cached table that follows its source files: a manifest per version, only changed files read again.
 
 Layout: ``manifest/version=<n>`` lists the source files (unit, path, size, time) with the refresh that holds their rows, and
-``data/refresh=<id>`` holds the rows read by one refresh, in sheet order, so that the files and row groups of a sheet are found by
-their statistics, however many sheets there are.  A refresh writes its rows first and the new
+``<kind>/refresh=<id>`` holds the rows of one kind (pairs, load report) made by one refresh, in sheet order, so that the files and
+row groups of a sheet are found by their statistics, however many sheets there are.  A refresh writes its rows first and the new
 manifest last; a version counts once its writer has left the marker of a finished job, so readers see the old version or the new
 one, never a part, and a failed write changes nothing.
 
@@ -14,7 +14,7 @@ nor the one before refers to are deleted.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +26,7 @@ from rubrica.operators.lookup import fits_broadcast
 from rubrica.session import materialize
 from rubrica.sources import versions
 
+SHEETS = T.StructType([T.StructField("sheet_name", T.StringType()), T.StructField("unit", T.StringType())])
 MANIFEST = "unit string, path string, size bigint, time timestamp, refresh string"
 
 
@@ -69,24 +70,24 @@ def current(spark: SparkSession, cache: str) -> Version | None:
     return Version(number, spark.read.schema(MANIFEST).parquet(versions.path(f"{cache}/manifest", number)))
 
 
-def read(spark: SparkSession, cache: str, version: Version, schema: T.StructType) -> DataFrame:
+def read(spark: SparkSession, cache: str, version: Version, kind: str, schema: T.StructType) -> DataFrame:
     """The rows of a version."""
-    if not versions.children(spark, f"{cache}/data", "refresh"):
+    if not versions.children(spark, f"{cache}/{kind}", "refresh"):
         return spark.createDataFrame([], schema)
     own = [f for f in schema.fields if f.name != "unit"]
     every = T.StructType([*own, *(T.StructField(c, T.StringType()) for c in ("unit", "refresh"))])
-    data = spark.read.schema(every).option("basePath", f"{cache}/data").parquet(f"{cache}/data")
+    data = spark.read.schema(every).option("basePath", f"{cache}/{kind}").parquet(f"{cache}/{kind}")
     held = version.manifest.select("unit", "refresh").distinct()
     held = F.broadcast(held) if fits_broadcast(held) else held
     return data.join(held, ["unit", "refresh"], "left_semi").select(*schema.names)
 
 
-def _write(cache: str, refresh: str, pairs: DataFrame, sheets: DataFrame, schema: T.StructType) -> None:
+def _write(folder: str, rows: DataFrame, sheets: DataFrame) -> None:
     """Rows of the units that are read again, in sheet order."""
+    order = [c for c in ("sheet_name", "row_ordinal") if c in rows.columns]
     sheets = F.broadcast(sheets) if fits_broadcast(sheets) else sheets
-    rows = pairs.join(sheets, "sheet_name").select(*schema.names, "unit")
-    in_order = rows.repartitionByRange("sheet_name", "row_ordinal").sortWithinPartitions("sheet_name", "row_ordinal")
-    in_order.write.parquet(f"{cache}/data/refresh={refresh}")
+    placed = rows.join(sheets, "sheet_name").select(*rows.columns, "unit")
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(folder)
 
 
 def _check_sheets(sheets: DataFrame, others: DataFrame) -> None:
@@ -97,11 +98,12 @@ def _check_sheets(sheets: DataFrame, others: DataFrame) -> None:
         raise ValueError(f"sheet names that occur in several files: {twice}")
 
 
-def _forget(spark: SparkSession, cache: str, last: list[Version]) -> None:
+def _forget(spark: SparkSession, cache: str, kinds: Iterable[str], last: list[Version]) -> None:
     """Delete refreshes that none of the versions refers to, and older manifests."""
     used = {r["refresh"] for v in last for r in v.manifest.select("refresh").distinct().collect()}
     numbers = {str(v.number) for v in last}
-    versions.keep_only(spark, f"{cache}/data", "refresh", used)
+    for kind in kinds:
+        versions.keep_only(spark, f"{cache}/{kind}", "refresh", used)
     versions.keep_only(spark, f"{cache}/manifest", "version", numbers)
 
 
@@ -109,14 +111,14 @@ def refreshed(
     spark: SparkSession,
     source: str,
     cache: str,
-    pairs_of: Callable[[list[str], bool], tuple[DataFrame, DataFrame]],
-    schema: T.StructType,
+    tables_of: Callable[[list[str], bool], tuple[dict[str, DataFrame], DataFrame]],
+    kinds: Iterable[str],
     force: bool = False,
-) -> DataFrame:
-    """The table of ``source``, brought up to date.
+) -> Version:
+    """The version that ``source`` has now, written if need be.
 
-    ``pairs_of`` gives the rows of some files and (sheet_name, path) of their sheets, and is told whether rows of
-    other files stay.
+    ``tables_of`` gives the rows of some files by kind, with their ``sheet_name``, and (sheet_name, path) of their
+    sheets; it is told whether rows of other files stay.
     """
     now = materialize(listing(spark, source), "listing")
     before = current(spark, cache)
@@ -124,19 +126,20 @@ def refreshed(
     changed, gone = differences(now, kept)
     stale = materialize(changed.select("unit").union(gone.select("unit")).distinct(), "stale-units")
     if before and not force and stale.isEmpty():
-        return read(spark, cache, before, schema)
+        return before
     refresh = uuid.uuid4().hex
     again = now.join(stale, "unit", "left_semi")
     staying = materialize(kept.join(stale, "unit", "left_anti"), "kept-units")
     files = [r["path"] for r in again.select("path").collect()]  # one row per file that is read again
     if files:
-        pairs, sheets = pairs_of(sorted(files), not staying.isEmpty())
+        tables, sheets = tables_of(sorted(files), not staying.isEmpty())
         sheets = materialize(sheets.select("sheet_name", unit().alias("unit")).distinct(), "sheets")
-        others = read(spark, cache, Version(0, staying), T.StructType([*schema.fields, T.StructField("unit", T.StringType())]))
-        _check_sheets(sheets, others.select("sheet_name", "unit").distinct())
-        _write(cache, refresh, pairs, sheets, schema)
+        for kind, rows in tables.items():
+            others = read(spark, cache, Version(0, staying), kind, SHEETS)
+            _check_sheets(sheets, others.distinct())
+            _write(f"{cache}/{kind}/refresh={refresh}", rows, sheets)
     manifest = staying.unionByName(again.withColumn("refresh", F.lit(refresh)))
     manifest.coalesce(1).write.parquet(versions.following(spark, f"{cache}/manifest"))
     new = current(spark, cache)
-    _forget(spark, cache, [new, *([before] if before else [])])
-    return read(spark, cache, new, schema)
+    _forget(spark, cache, kinds, [new, *([before] if before else [])])
+    return new

@@ -68,6 +68,18 @@ PAIR_SCHEMA = T.StructType(
 )
 # Column that names the file of a row while sheets are read.
 SOURCE = "_source"
+REPORT_SCHEMA = T.StructType(
+    [
+        T.StructField("sheet_name", T.StringType()),
+        *(
+            T.StructField(name, T.LongType())
+            for name in (
+                "rows_read", "dropped_missing", "dropped_blank", "invalid_scores", "out_of_range",
+                "kept", "deduplicated", "missing_scores", "final_rows",
+            )
+        ),
+    ]
+)
 DEDUP_KEY = ["participant_id", "sheet_name", "stimulus", "transcription"]
 
 # Sheet name to its frame, in workbook order.
@@ -483,18 +495,22 @@ def load_pairs(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) -
     return pairs.filter(F.col("human_score").isNotNull()) if role == "tuning" else pairs
 
 
-def load_report(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) -> DataFrame:
-    """Per sheet: rows read, dropped by reason, invalid scores, copies removed, rows left."""
-    flagged = flag_rows(rows, role, cfg)
-    groups = flagged.groupBy(*DEDUP_KEY, "drop_reason").agg(
+def _copies(rows: DataFrame, role: str, cfg: IngestConfig) -> DataFrame:
+    """A row per (copy key, drop reason): what both the pairs and the report are made of."""
+    return flag_rows(rows, role, cfg).groupBy(*DEDUP_KEY, "drop_reason").agg(
+        F.min("sheet_ordinal").alias("sheet_ordinal"),
         F.count("*").alias("n"),
         F.count_if(F.col("human_score").isNull()).alias("invalid"),
-        F.min_by("human_score", "row_ordinal").alias("score"),
+        F.min_by("human_score", "row_ordinal").alias("human_score"),
+        F.min("row_ordinal").alias("row_ordinal"),
     )
+
+
+def _report(groups: DataFrame, role: str) -> DataFrame:
     n, reason = F.col("n"), F.col("drop_reason")
     kept = reason.isNull()
     typed = kept | (reason == "out_of_range")
-    unscored = kept & F.col("score").isNull() if role == "tuning" else F.lit(False)
+    unscored = kept & F.col("human_score").isNull() if role == "tuning" else F.lit(False)
 
     def total(condition: Column, value: Column = n) -> Column:
         return F.sum(F.when(condition, value).otherwise(0))
@@ -512,6 +528,21 @@ def load_report(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig())
     )
 
 
+def load_report(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) -> DataFrame:
+    """Per sheet: rows read, dropped by reason, invalid scores, copies removed, rows left."""
+    return _report(_copies(rows, role, cfg), role)
+
+
+def load_with_report(
+    rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs and load report of the same rows, which are cleaned, shuffled and read once for both."""
+    groups = materialize(_copies(rows, role, cfg), "copies")
+    pairs = groups.filter(F.col("drop_reason").isNull()).select(*PAIR_SCHEMA.names)
+    pairs = pairs.filter(F.col("human_score").isNotNull()) if role == "tuning" else pairs
+    return pairs, _report(groups, role)
+
+
 def load_summary(report: DataFrame, all_sheets: DataFrame) -> DataFrame:
     """One row: sheets in all, skipped and valid, with the totals of a load report.
 
@@ -556,33 +587,62 @@ def _usable(rows: DataFrame, path: str, role: str) -> DataFrame:
     return rows
 
 
-def load_role(
+def load_role_with_report(
     spark: SparkSession,
-    path: str,
+    path: str | None,
     role: str,
     cfg: IngestConfig = IngestConfig(),
     codec: Codec | None = None,
-) -> DataFrame:
-    """One data set.  With a cache folder only files that changed since the last load are read again."""
+    table: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs and load report of one data set: a table of the catalog, or files.
+
+    With a cache folder only files that changed since the last load are read again.
+    """
+    if table is not None:
+        return load_with_report(_usable(sheet_rows_from_table(spark.table(table)), table, role), role, cfg)
     if not cfg.cache_dir:
         # Stored once, so that the tests below and the load do not parse the files again.
         rows = materialize(read_sheets(spark, path, codec, cfg.missing_ok, cfg.skip_unreadable), "sheet-rows")
-        return load_pairs(_usable(rows, path, role), role, cfg)
+        return load_with_report(_usable(rows, path, role), role, cfg)
 
-    def pairs_of(files: list[str], others_kept: bool) -> tuple[DataFrame, DataFrame]:
+    def tables_of(files: list[str], others_kept: bool) -> tuple[dict[str, DataFrame], DataFrame]:
         rows = materialize(rows_with_source(spark, files, codec, cfg.skip_unreadable), "sheet-rows")
         sheets = rows.select("sheet_name", F.col(SOURCE).alias("path")).distinct()
-        return load_pairs(rows if others_kept else _usable(rows, path, role), role, cfg), sheets
+        pairs, report = load_with_report(rows if others_kept else _usable(rows, path, role), role, cfg)
+        return {"pairs": pairs, "report": report}, sheets
 
     _files(spark, path, cfg.missing_ok)  # raises where there is nothing to read
-    return sheet_cache.refreshed(spark, path, cache_path(cfg, path, role), pairs_of, PAIR_SCHEMA, cfg.force_reload)
+    cache = cache_path(cfg, path, role)
+    schemas = {"pairs": PAIR_SCHEMA, "report": REPORT_SCHEMA}
+    version = sheet_cache.refreshed(spark, path, cache, tables_of, schemas, cfg.force_reload)
+    pairs, report = (sheet_cache.read(spark, cache, version, kind, schema) for kind, schema in schemas.items())
+    return pairs, report
+
+
+def load_role(
+    spark: SparkSession,
+    path: str | None,
+    role: str,
+    cfg: IngestConfig = IngestConfig(),
+    codec: Codec | None = None,
+) -> DataFrame:
+    """One data set without its report."""
+    return load_role_with_report(spark, path, role, cfg, codec)[0]
+
+
+def load_data_with_reports(
+    spark: SparkSession, cfg: IngestConfig, codec: Codec | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tuning and holdout pairs, and the load report of both by ``role`` and sheet."""
+    tuning, first = load_role_with_report(spark, cfg.tuning_path, "tuning", cfg, codec, cfg.tuning_table)
+    holdout, second = load_role_with_report(spark, cfg.holdout_path, "holdout", cfg, codec, cfg.holdout_table)
+    reports = [r.select(F.lit(role).alias("role"), "*") for role, r in (("tuning", first), ("holdout", second))]
+    return tuning, holdout, reports[0].unionByName(reports[1])
 
 
 def load_data(
     spark: SparkSession, cfg: IngestConfig, codec: Codec | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Tuning and holdout pairs."""
-    return (
-        load_role(spark, cfg.tuning_path, "tuning", cfg, codec),
-        load_role(spark, cfg.holdout_path, "holdout", cfg, codec),
-    )
+    return load_data_with_reports(spark, cfg, codec)[:2]

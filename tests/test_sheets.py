@@ -134,6 +134,39 @@ def test_list_sheets_and_summary(spark, tmp_path):
     assert sheets.list_sheets(spark, str(tmp_path / "none"), missing_ok=True).isEmpty()
 
 
+def test_report_of_a_load_reads_the_rows_once(spark):
+    data = rows(
+        spark, ("P1", 0, "k", "t", None), ("P1", 1, "k", "t", "4"), ("P2", 0, "k", "t", "3"), ("P2", 1, "k", "t", "9"), ("P2", 2, None, "t", "1")
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    counted = data.mapInPandas(count, data.schema)
+    for role in ("tuning", "holdout"):
+        before = seen.value
+        pairs, report = sheets.load_with_report(counted, role)
+        got = sorted(map(tuple, pairs.collect())), sorted(map(tuple, report.collect()))
+        assert seen.value - before == 5
+        assert got[0] == sorted(map(tuple, sheets.load_pairs(data, role).collect()))
+        assert got[1] == sorted(map(tuple, sheets.load_report(data, role).collect()))
+        assert report.schema.names == sheets.REPORT_SCHEMA.names
+
+
+def test_tables_as_sources(spark):
+    table = spark.createDataFrame(
+        [("P1", 0, "a (2)", "a", 4), ("Key", 0, "b", "b", 4)], "sheet_name string, row_ordinal long, Target string, Response string, Grade int"
+    )
+    table.createOrReplaceTempView("answers_table")
+    cfg = IngestConfig(tuning_table="answers_table", holdout_table="answers_table")
+    tuning, holdout, report = sheets.load_data_with_reports(spark, cfg)
+    assert [(r.participant_id, r.stimulus) for r in tuning.collect()] == [("P1", "a")] and holdout.count() == 1
+    assert sorted((r.role, r.sheet_name, r.final_rows) for r in report.collect()) == [("holdout", "P1", 1), ("tuning", "P1", 1)]
+
+
 def json_codec(path, content):
     return {name: pd.DataFrame(columns) for name, columns in json.loads(content).items()}
 
@@ -292,7 +325,9 @@ def test_cache_follows_changed_added_and_deleted_files(spark, tmp_path, monkeypa
     assert sheets.is_cache_valid(spark, str(source), cache)
     os.remove(source / "P4.csv")  # nothing is left to read, only to drop
     assert load() == want - {("P4", "P4 new")} and len(read) == 1
-    assert {x for x in os.listdir(f"{cache}/data") if x.startswith("refresh=")} and len(os.listdir(f"{cache}/manifest")) <= 3
+    assert {x for x in os.listdir(f"{cache}/pairs") if x.startswith("refresh=")} and len(os.listdir(f"{cache}/manifest")) <= 3
+    report = sheets.load_role_with_report(spark, str(source), "tuning", cfg)[1]
+    assert {(r.sheet_name, r.rows_read, r.final_rows) for r in report.collect()} == {("P1", 1, 1), ("P2", 1, 1)} and len(read) == 1
 
 
 def test_a_failed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
@@ -308,7 +343,7 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             sheets.load_role(spark, str(source), "tuning", cfg)
     kept = sheets.sheet_cache.current(spark, cache)
-    assert [r.stimulus for r in sheets.sheet_cache.read(spark, cache, kept, sheets.PAIR_SCHEMA).collect()] == ["old"]
+    assert [r.stimulus for r in sheets.sheet_cache.read(spark, cache, kept, "pairs", sheets.PAIR_SCHEMA).collect()] == ["old"]
     (tmp_path / "cache" / os.path.basename(cache) / "manifest" / "version=99").mkdir()  # a writer that never finished
     assert sheets.sheet_cache.current(spark, cache).number == kept.number
     assert [r.stimulus for r in sheets.load_role(spark, str(source), "tuning", cfg).collect()] == ["new"]
