@@ -148,6 +148,54 @@ named AS (
 ),{gated('named')}"""
 
 
+_LOW = "4294967295::UBIGINT"
+
+
+def _turned(x: str, bits: int) -> str:
+    """A 32-bit number rotated to the left."""
+    return f"((({x} << {bits}) & {_LOW}) | ({x} >> {32 - bits}))"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x} * {factor}::UBIGINT) & {_LOW})"
+
+
+def hashed_words(texts: str) -> str:
+    """``unit (t, bucket, v)``: unit vectors of word counts over 256 buckets of a 32-bit word hash (MurmurHash3, seed 42)."""
+    mixed = _times(_turned(_times("k", 0xCC9E2D51), 15), 0x1B873593)
+    step = f"(({_turned('xor(h, k)', 13)} * 5::UBIGINT + {0xE6546B64}::UBIGINT) & {_LOW})"
+    return f"""
+terms AS (SELECT t, w, count(*) AS n FROM (SELECT t, unnest(string_split(t, ' ')) AS w FROM ({texts})) GROUP BY ALL),
+coded AS (
+  SELECT w, hex(encode(w)) AS code, octet_length(encode(w)) AS len FROM (SELECT DISTINCT w FROM terms)
+),
+raw_bytes AS (SELECT w, len, [('0x' || substr(code, 2 * i + 1, 2))::UBIGINT FOR i IN range(len)] AS b FROM coded),
+blocks AS (
+  SELECT w, len, [b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216 FOR i IN range(len // 4)] AS ks,
+    coalesce(b[len // 4 * 4 + 1], 0) + coalesce(b[len // 4 * 4 + 2], 0) * 256 + coalesce(b[len // 4 * 4 + 3], 0) * 65536 AS k
+  FROM raw_bytes
+),
+mixed AS (SELECT w, len, {mixed} AS tail, [42::UBIGINT] || [{mixed} FOR k IN ks] AS ks FROM blocks),
+folded AS (SELECT w, xor(xor(list_reduce(ks, lambda h, k: {step}), tail), len::UBIGINT) AS a FROM mixed),
+once AS (SELECT w, {_times('xor(a, a >> 16)', 0x85EBCA6B)} AS a FROM folded),
+twice AS (SELECT w, {_times('xor(a, a >> 13)', 0xC2B2AE35)} AS a FROM once),
+buckets AS (SELECT w, CAST(xor(a, a >> 16) & 255 AS INTEGER) AS bucket FROM twice),
+counted_words AS (SELECT t, bucket, sum(n)::DOUBLE AS n FROM terms JOIN buckets USING (w) GROUP BY ALL),
+unit AS (SELECT t, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY t)))::FLOAT AS v FROM counted_words)"""
+
+
+def hashed_cosine(pairs: str) -> str:
+    """``similar_pairs``: the distinct text pairs of a table with ``sbert_similarity``."""
+    texts = f"SELECT DISTINCT unnest([clean_stimulus, clean_response]) AS t FROM {pairs}"
+    return f"""{hashed_words(texts)},
+dots AS (
+  SELECT p.clean_stimulus, p.clean_response, least(1e0, greatest(0e0, coalesce(sum(a.v::DOUBLE * b.v::DOUBLE ORDER BY a.bucket), 0e0))) AS d
+  FROM {pairs} p JOIN unit a ON a.t = p.clean_stimulus LEFT JOIN unit b ON b.t = p.clean_response AND b.bucket = a.bucket
+  GROUP BY ALL
+),
+similar_pairs AS (SELECT clean_stimulus, clean_response, {r4('d')} AS sbert_similarity FROM dots)"""
+
+
 def overlap(source: str, key: str, lexicon: bool) -> str:
     """Overlap features per key, from exploded distinct words."""
     words = ", ".join(f"'{w}'" for w in NUMBER_WORDS)
@@ -648,21 +696,32 @@ SELECT vec_id, {r4('pe')} AS nli_entailment, {r4('pn')} AS nli_neutral, {r4('pc'
     sql["joint_pair_similarity"] = f"""WITH {outputs},
 clamped AS (SELECT vec_id, least(1e0, greatest(0e0, score)) AS x FROM outputs)
 SELECT vec_id, {r4('x')} AS cross_encoder_similarity FROM clamped"""
-    sql["shared_word_margin"] = f"""WITH {CLEANED},
-open_pairs AS (
-  SELECT DISTINCT clean_stimulus, clean_response, list_distinct(string_split(clean_stimulus, ' ')) AS s,
-    list_distinct(string_split(clean_response, ' ')) AS r
-  FROM cleaned WHERE early_gate_score IS NULL AND clean_stimulus <> ''
-),
-leaned AS (SELECT *, 4e0 * (len(list_intersect(s, r))::DOUBLE / len(s)) - 2e0 AS lean FROM open_pairs),
+    margins = f"""
+leaned AS (SELECT *, 4e0 * (len(list_intersect(s, r))::DOUBLE / len(s)) - 2e0 AS lean FROM (
+  SELECT clean_stimulus, clean_response, list_distinct(string_split(clean_stimulus, ' ')) AS s,
+    list_distinct(string_split(clean_response, ' ')) AS r FROM open_pairs)),
 powers AS (
   SELECT *, exp(lean - greatest(lean, 0e0, -lean)) AS a, exp(0e0 - greatest(lean, 0e0, -lean)) AS b,
     exp(-lean - greatest(lean, 0e0, -lean)) AS c FROM leaned
 ),
 probs AS (SELECT *, a / ((a + b) + c) AS pe, b / ((a + b) + c) AS pn, c / ((a + b) + c) AS pc FROM powers),
-margins AS (SELECT *, pe - pc AS m FROM probs)
-SELECT clean_stimulus, clean_response, {r4('pe')} AS nli_entailment, {r4('pn')} AS nli_neutral,
-  {r4('pc')} AS nli_contradiction, {r4('m')} AS nli_margin FROM margins"""
+margins AS (
+  SELECT clean_stimulus, clean_response, {r4('pe')} AS nli_entailment, {r4('pn')} AS nli_neutral,
+    {r4('pc')} AS nli_contradiction, {r4('m')} AS nli_margin FROM (SELECT *, pe - pc AS m FROM probs)
+)"""
+    open_pairs = "open_pairs AS (SELECT DISTINCT clean_stimulus, clean_response FROM cleaned WHERE early_gate_score IS NULL"
+    sql["shared_word_margin"] = f"WITH {CLEANED},\n{open_pairs} AND clean_stimulus <> ''),{margins} SELECT * FROM margins"
+    sql["hash_embed_cosine"] = f"WITH {CLEANED},\n{open_pairs}),{hashed_cosine('open_pairs')} SELECT * FROM similar_pairs"
+    from_models = ("sbert_similarity", "nli_entailment", "nli_neutral", "nli_contradiction", "nli_margin")
+    modelled = ", ".join(f"CASE WHEN early_gate_score IS NULL THEN coalesce({c}, 0e0) END AS {c}" for c in from_models)
+    lexical = ", ".join(
+        f"CASE WHEN early_gate_score IS NULL THEN {c.strip()} END AS {c.strip()}" for c in LEXICAL.split(",")
+    )
+    sql["model_features"] = f"""WITH {CLEANED},{overlap('cleaned', row, False)},
+{open_pairs} AND clean_stimulus <> ''),{hashed_cosine('open_pairs')},{margins}
+SELECT {", ".join(f"f.{k.strip()}" for k in row.split(","))}, early_gate_score, {lexical}, {modelled}
+FROM features f LEFT JOIN similar_pairs s ON s.clean_stimulus = f.clean_stimulus AND s.clean_response = f.clean_response
+  LEFT JOIN margins m ON m.clean_stimulus = f.clean_stimulus AND m.clean_response = f.clean_response"""
     gated_columns = ", ".join(
         f"CASE WHEN early_gate_score IS NULL THEN {c.strip()} END AS {c.strip()}" for c in LEXICAL.split(",")
     )
