@@ -333,7 +333,7 @@ def cells_of(source: str, truth: str, pred: str, by: str = "1 AS g") -> str:
     )
 
 
-def quotas(stratified: bool) -> str:
+def quotas(stratified: bool, rated: str = RATED) -> str:
     group = "y" if stratified else "0"
     share = (
         """
@@ -346,7 +346,7 @@ quota AS (SELECT grp, n - base - CASE WHEN place <= missing THEN 1 ELSE 0 END AS
         if stratified
         else "quota AS (SELECT grp, total - n_train AS q FROM whole)"
     )
-    return f"""{RATED},
+    return f"""{rated},
 sizes AS (SELECT {group} AS grp, count(*) AS n FROM rated GROUP BY ALL),
 whole AS (
   SELECT grp, n, total, total - CAST(ceil(total * 2e-1) AS BIGINT) AS n_train
@@ -366,21 +366,28 @@ histogram AS (SELECT CAST(round(raw * 10000) AS INTEGER) AS bin, y AS label, cou
 _BOUNDS = ((0, 4000), (2000, 7000), (4000, 9000), (6000, 10000))
 
 
-def _shortest_paths(rounds: int, histogram: str = HISTOGRAM) -> str:
-    """Best cuts of all by rounds of shortest paths; every grade has labels in the tables at hand."""
+def _shortest_paths(rounds: int, histogram: str = HISTOGRAM, used=range(5), first: str = "TRUE") -> str:
+    """Best cuts of all by rounds of shortest paths.
+
+    Every grade has labels, or all but grade 0: then ``used`` is the grades in use and ``first`` says by ``n0``, the rows that
+    get grade 0, whether there may be any.
+    """
+    place = {grade: i for i, grade in enumerate(used)}
     ctes = [
         histogram,
         "per_bin AS (SELECT bin, "
         + ", ".join(f"sum(n) FILTER (label = {y}) AS n{y}" for y in range(5))
         + " FROM histogram GROUP BY bin)",
         "counted AS (SELECT b.bin, "
-        + ", ".join(f"coalesce(sum(n{y}) OVER up, 0)::BIGINT AS c{y}, sum(n{y}) OVER ()::BIGINT AS a{y}" for y in range(5))
+        + ", ".join(
+            f"coalesce(sum(n{y}) OVER up, 0)::BIGINT AS c{y}, coalesce(sum(n{y}) OVER (), 0)::BIGINT AS a{y}" for y in range(5)
+        )
         + " FROM (SELECT unnest(range(10001)) AS bin) b LEFT JOIN per_bin USING (bin)"
         " WINDOW up AS (ORDER BY b.bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
     ]
 
     def apart(prefix: str, grade: int) -> str:
-        return " + ".join(f"{prefix}{y} * {(y - grade) ** 2}" for y in range(5))
+        return " + ".join(f"{prefix}{y} * {(place[y] - place.get(grade, 0)) ** 2}" for y in used)
 
     columns = []
     for at, prefix in (("", "c"), ("e", "a")):
@@ -391,7 +398,7 @@ def _shortest_paths(rounds: int, histogram: str = HISTOGRAM) -> str:
                 f"({rows})::DOUBLE * ({apart('a', g)})::DOUBLE AS {at}d{g}",
             ]
     ctes += [
-        f"sums AS (SELECT bin, {', '.join(columns)}, ({' + '.join(f'a{y}' for y in range(5))})::DOUBLE AS n FROM counted)",
+        f"sums AS (SELECT bin, {' + '.join(f'c{y}' for y in range(5))} AS n0, {', '.join(columns)}, ({' + '.join(f'a{y}' for y in range(5))})::DOUBLE AS n FROM counted)",
         "round0 AS (SELECT 0e0 AS mu, NULL::DOUBLE AS t1, NULL::DOUBLE AS t2, NULL::DOUBLE AS t3, NULL::DOUBLE AS t4)",
     ]
 
@@ -401,7 +408,7 @@ def _shortest_paths(rounds: int, histogram: str = HISTOGRAM) -> str:
     for r in range(1, rounds + 1):
         low, high = _BOUNDS[0]
         ctes.append(
-            f"path{r}_0 AS (SELECT *, CASE WHEN bin BETWEEN {low} AND {high} THEN "
+            f"path{r}_0 AS (SELECT *, CASE WHEN {first} AND bin BETWEEN {low} AND {high} THEN "
             f"{{'cost': {weight(0)}, 't1': bin, 'o': o0, 'd': d0}} END AS path FROM sums, (SELECT mu FROM round{r - 1}))"
         )
         for i in range(1, 4):
@@ -567,7 +574,7 @@ PAIR_COLUMNS = "participant_id, sheet_name, row_ordinal, stimulus, transcription
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL per registered query; fitted models and stand-in model features have none."""
+    """SQL per registered query; the random forest has none."""
     sql: dict[str, str] = {}
     sql["sheet_names"] = f"""WITH {SHEET_ROWS}
 SELECT DISTINCT sheet_name, regexp_matches(lower(trim(sheet_name)), '{IGNORED}') AS ignored,
@@ -822,6 +829,42 @@ SELECT id AS original_row_index, human_score, early_gate_score, heuristic_pred,
 SELECT row_number() OVER (ORDER BY sheet_name, row_ordinal) - 1 AS row_index, participant_id, sheet_name, stimulus,
   transcription, clean_stimulus, clean_response, CAST(trunc(human_score) AS INTEGER) AS human_score, early_gate_score,
   {gated_columns} FROM features"""
+    rated_rows = "rated AS (SELECT id, human_score AS y FROM feature_pairs)"
+    unused = "unused AS (SELECT 1 AS one)"
+    cut_columns = "t1, t2, t3, t4, 1e0 - (SELECT max(n) FROM sums) * mu AS k"
+    scored_rows = FEATURE_PAIRS[FEATURE_PAIRS.index("weighted AS (") :]
+    sql["experiment_summary"] = f"""WITH feature_pairs AS MATERIALIZED (
+WITH {SHEET_ROWS},{flagged()},{gated('pairs')},{overlap('cleaned', row, False)},
+{open_pairs} AND clean_stimulus <> ''),{hashed_cosine('open_pairs')},{margins}
+SELECT row_number() OVER (ORDER BY f.sheet_name, f.row_ordinal) - 1 AS id, CAST(trunc(human_score) AS INTEGER) AS human_score,
+  early_gate_score, CASE WHEN early_gate_score IS NULL THEN lemma_recall END AS lemma_recall, {modelled}
+FROM features f LEFT JOIN similar_pairs s ON s.clean_stimulus = f.clean_stimulus AND s.clean_response = f.clean_response
+  LEFT JOIN margins m ON m.clean_stimulus = f.clean_stimulus AND m.clean_response = f.clean_response),
+{scored_rows},
+sides_of AS MATERIALIZED (WITH {quotas(True, rated_rows)}),
+train_side AS MATERIALIZED (SELECT p.* FROM raw_scored p JOIN sides_of s USING (id) WHERE s.split = 'train'),
+held AS MATERIALIZED (SELECT p.* FROM raw_scored p JOIN sides_of s USING (id) WHERE s.split = 'validation'),
+histogram AS MATERIALIZED (SELECT CAST(round(heuristic_raw_score * 10000) AS INTEGER) AS bin, human_score AS label, count(*) AS n
+  FROM train_side WHERE early_gate_score IS NULL GROUP BY ALL),
+with_zero AS ({_shortest_paths(8, unused, range(5), "(n0 > 0 OR (SELECT count(*) FROM histogram WHERE label = 0) > 0)")}
+  SELECT {cut_columns} FROM round8),
+without_zero AS ({_shortest_paths(8, unused, range(1, 5), "n0 = 0 AND (SELECT count(*) FROM histogram WHERE label = 0) = 0")}
+  SELECT {cut_columns} FROM round8),
+best_cuts AS (
+  SELECT * FROM (SELECT * FROM with_zero UNION ALL SELECT * FROM without_zero) WHERE k IS NOT NULL
+  ORDER BY k DESC, t1, t2, t3, t4 LIMIT 1
+),
+{_newton("SELECT * FROM train_side", 10)},
+{_ordinal_scores('held')},
+both_graded AS (
+  SELECT *, coalesce(early_gate_score, {rubric('heuristic_raw_score', tuple(f"t{k} / 1e4" for k in range(1, 5)))}) AS heuristic_pred
+  FROM ordinal_scored, best_cuts
+),
+long AS (
+  SELECT 'heuristic' AS approach, human_score AS y, heuristic_pred AS pred FROM both_graded
+  UNION ALL SELECT 'ordinal_ml', human_score, ordinal_pred FROM both_graded
+),{agreement(cells_of('long', 'y', 'pred', 'approach'), 'approach')}
+SELECT 'validation_from_tuning' AS evaluation_split, approach, qwk, accuracy, macro_f1 FROM rounded"""
     sql["sanity_check"] = f"SELECT * FROM ({sql['tuning_audit']}) ORDER BY row_index LIMIT 3"
     sql["report_export"] = f"""WITH {SHEET_ROWS},{flagged()},{gated('pairs')},{overlap('cleaned', row, False)},
 graded AS (SELECT *, CASE WHEN early_gate_score IS NULL THEN lemma_recall ELSE 0e0 END AS raw FROM features)
