@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.components import components
-from rubrica.llm.scratch import having, stored
+from rubrica.llm.scratch import dropped, having, stored
 from rubrica.llm.textblocks import (
     LOWER,
     NOT_SPACE,
@@ -407,12 +407,14 @@ def join(
         F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")
     )
     frequent = _frequent_hashes(texts, texts.count(), size, percent)
-    sets = stored(_summaries(texts, frequent, size, percent), "shingle-sets")
+    spark = docs.sparkSession
     identity = ["n", "one", "two"]
+    whole = stored(_summaries(texts, frequent, size, percent), "shingle-sets")
+    sets = stored(whole.select("key", *identity), "shingle-counts")
     first = sets.where("n > 0 and key is not null").groupBy(*identity).agg(F.min("key").alias("first"))
 
     copies = sets.select("key", *identity).join(first, identity).where("key <> first").select("key").distinct()
-    kept = sets.where("n > 0 and key is not null").join(copies, "key", "left_anti")
+    kept = whole.where("n > 0 and key is not null").join(copies, "key", "left_anti")
     entries = kept.select("key", "n", "prefix", "n_frequent").mapInArrow(
         _entries, "h bigint, key bigint, n bigint, salt int"
     )
@@ -423,10 +425,14 @@ def join(
         .mapInArrow(_tiles(percent), "a bigint, b bigint, h bigint, n bigint"),
         "tiles",
     )
+    dropped(spark, whole)  # its prefixes are the bulk of what is stored
     pairs = stored(tiled.where("b is not null").select("a", "b").distinct(), "pairs")
-    large = tiled.where("b is null").select("h", F.col("a").alias("key"), "n")
+    large = stored(tiled.where("b is null").select("h", F.col("a").alias("key"), "n"), "large-tiles")
+    dropped(spark, tiled)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(large.select("key")).distinct()
-    candidates = stored(having(texts, stored(wanted, "wanted"), "key"), "candidates")
+    wanted = stored(wanted, "wanted")
+    candidates = stored(having(texts, wanted, "key"), "candidates")
+    dropped(spark, wanted)
     bitmaps = _bitmaps(candidates, size)
 
     # One pair per document unites most groups; then only pairs between groups can matter.
@@ -443,7 +449,10 @@ def join(
     rest = _possible(apart, bitmaps, percent)
     if not large.isEmpty():
         rest = rest.union(_across(large, united, bitmaps, percent)).distinct()
-    more = stored(_verified(stored(rest, "pairs"), candidates, size, percent), "shingle-links")
+    rest = stored(rest, "pairs")
+    dropped(spark, pairs, large, bitmaps)
+    more = stored(_verified(rest, candidates, size, percent), "shingle-links")
+    dropped(spark, rest, candidates)
     if not more.isEmpty():
         united = components(united.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     class_of = first.join(united.withColumnRenamed("id", "first"), "first", "left").select(
