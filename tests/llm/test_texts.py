@@ -225,11 +225,31 @@ def test_benchmark_in_several_tables(spark, odd, monkeypatch):
 
 
 def simhash(line):
-    data = np.frombuffer(line.encode(), np.uint8)
-    starts, ends, _ = word_bounds(data, np.array([0, len(data)]), ALNUM)
-    words = range_hashes(range_sums(data), starts, ends)
-    weights = np.minimum(ends - starts, 12)
-    return int(line_dedup.simhashes(words, weights, np.array([0]), np.array([len(words)]))[0])
+    """Bits that more than half of the strings of five bytes have, in plain integers."""
+    data, whole = line.encode(), (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    votes = [0] * 128
+    for i in range(len(data) - 4):
+        one = mix(int.from_bytes(data[i : i + 5], "little") * 0x9E3779B97F4A7C15 + 1 & whole)
+        both = one | mix(one + 0xD6E8FEB86659FD93 & whole) << 64
+        votes = [n + (both >> k & 1) for k, n in enumerate(votes)]
+    return sum(1 << k for k, n in enumerate(votes) if 2 * n > max(len(data) - 4, 0))
+
+
+def test_simhash_of_long_and_short_runs():
+    random.seed(2)
+    lines = ["", "a", "abcd", "abcde", *("".join(random.choice("abcé ") for _ in range(n)) for n in (200, 257, 258, 700, 3000))]
+    data = [x.encode() for x in lines]
+    ends = np.cumsum([len(x) for x in data])
+    found = line_dedup.simhashes(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends)
+    for x, row in zip(lines, found):
+        plain = simhash(x)
+        assert row.tobytes() == plain.to_bytes(16, "little")
 
 
 def expected_lines(rows):
@@ -312,6 +332,29 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == brute.edit_distance(a, b)
 
 
+def test_pairs_side_by_side():
+    random.seed(6)
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("ab", "é𝄞")]
+    for n in (3, 20, 63, 64, 65, 128, 129, 200):
+        for share in (0.1, 0.2, 0.25):
+            for letters in ("ab", "abcdefgh 𝄞é"):
+                a = "".join(random.choice(letters) for _ in range(n))
+                b = "".join(
+                    random.choice((c + "x", "", random.choice(letters))) if random.random() < share else c for c in a
+                )
+                pairs += [(a, b), (b, a)]
+    distances = [brute.edit_distance(*p) for p in pairs]
+    want = [5 * d <= max(map(len, p)) for d, p in zip(distances, pairs)]
+    for cap in (len(pairs), 5):
+        for at in range(0, len(pairs), cap):
+            a, b = zip(*pairs[at : at + cap])
+            assert line_dedup.similar_pairs(list(a), list(b)).tolist() == want[at : at + cap]
+    middle = [(*sorted(p, key=len), d) for p, d in zip(pairs, distances) if 64 < min(map(len, p)) <= 128]
+    short, long, expected = zip(*middle)
+    assert line_dedup._distances(list(short), list(long), 2).tolist() == list(expected)
+    assert line_dedup.similar_pairs(["x" * 2200], ["x" * 2199 + "y"]).all()
+
+
 def test_lines_of_nothing(spark):
     docs = frame(spark, [])
     assert line_dedup.apply(docs, line_dedup.decide(docs)).isEmpty()
