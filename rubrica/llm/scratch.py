@@ -22,10 +22,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
+    # The plan goes too where the caller keeps no name for it, or its shuffles would stay until the next call.
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def having(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
