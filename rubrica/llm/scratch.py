@@ -18,17 +18,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a lost executor costs nothing.
 
     The driver's garbage is collected afterwards, since Spark keeps the shuffle files of a finished job on the
-    executors' disks until the driver has dropped its objects.
+    executors' disks until the driver has dropped its objects; and before, since a job just ended is still held then.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    _collected(spark)
     df.write.parquet(path)
-    # The plan goes too where the caller keeps no name for it, or its shuffles would stay until the next call.
-    del df
+    _collected(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _collected(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def having(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
