@@ -13,8 +13,8 @@ from rubrica.functions.binding import bind
 from rubrica.functions.text import clean_text
 
 
-# Below this many bytes per task slot a table may come as a single row group, that is, one task.
-SPREAD_BYTES = 32 * 1024 * 1024
+# Stored bytes that a task of heavy work per row should get; row groups may be much larger, or a whole table.
+TASK_BYTES = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, columns: list[str]) -> DataFrame:
-    """``columns`` of a table for heavy work per row: a table too small to occupy all task
-    slots by itself is spread over them, a larger one is read as it is."""
+    """``columns`` of a table for heavy work per row, spread over all task slots and over as many
+    tasks as its bytes ask for: a task does not grow with the table or its row groups."""
     rows = table(spark, sf_dir, name).select(*columns)
     files = spark.read.format("binaryFile").load(f"{sf_dir}/{name}.parquet")
     slots = spark.sparkContext.defaultParallelism
-    size = files.agg(F.sum("length")).first()[0]
-    return rows.repartition(4 * slots, key) if size < slots * SPREAD_BYTES else rows
+    size = files.agg(F.sum("length")).first()[0] or 0
+    return rows.repartition(max(4 * slots, -(-size // TASK_BYTES)), key)
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
