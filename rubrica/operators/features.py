@@ -132,16 +132,23 @@ def lexical_features(
         ideas = {name: F.lit(0) for name in ("_idea_s", "_idea_r", "_idea_both")}
         return _finish_overlap(sets.withColumns(sizes | ideas), df.columns)
 
-    def tagged(side: str) -> Column:
-        from_stimulus = F.lit(side == "clean_stimulus")
-        listed = F.when(F.col("_wanted"), words[side]).otherwise(none)
-        return F.transform(listed, lambda t: F.struct(t.alias("form"), from_stimulus.alias("in_s")))
+    def tagged(forms: Column, sides: int) -> Column:
+        return F.transform(forms, lambda t: F.struct(t.alias("form"), F.lit(sides).alias("sides")))
 
     # Unwanted rows have no words and vanish here; a filter would repeat the cleaning.
     rows = df.select(*key, *PAIR, wanted.alias("_wanted"))
     small = fits_broadcast(lexicon)
     rows = rows.repartition(*key) if small else rows
-    occurrences = rows.select(*key, F.inline(F.concat(*[tagged(side) for side in PAIR])))
+    listed = rows.select(*key, *[F.when(F.col("_wanted"), words[side]).otherwise(none).alias(f"_{side}") for side in PAIR])
+    stim, resp = F.col("_clean_stimulus"), F.col("_clean_response")
+    # A word of both texts is looked up and counted once: bit 1 for the stimulus, bit 2 for the response.
+    every = [
+        tagged(F.array_intersect(stim, resp), 3), tagged(F.array_except(stim, resp), 1), tagged(F.array_except(resp, stim), 2)
+    ]
+    forms = listed.select(*key, F.concat(*every).alias("_words"))
+    # A lexicon that is not broadcast is looked up in several passes over the words.
+    forms = forms if small else materialize(forms, "words")
+    occurrences = forms.select(*key, F.inline("_words"))
     found = lookup_join(occurrences, lexicon, ["form"], spread_by=key, small_fits=small)
 
     listed = F.lower(F.trim(F.coalesce(F.col("lemma"), F.col("form"))))
@@ -151,24 +158,23 @@ def lexical_features(
     units = found.select(
         *key,
         F.when(listed == "-pron-", F.col("form")).otherwise(listed).alias("lemma"),
-        "in_s",
-        content.alias("idea"),
+        # Bits 4 and 8: the same sides, as an idea unit.
+        F.when(content, F.col("sides") * 5).otherwise(F.col("sides")).alias("sides"),
     ).filter(F.col("lemma") != "")
+    # One shuffle by key serves both counts; where the lexicon was broadcast the rows came in by key.
+    units = units if small else units.repartition(*key)
 
-    in_s, idea = F.col("in_s"), F.col("idea")
-    lemmas = units.groupBy(*key, "lemma").agg(
-        F.max(in_s).alias("s"),
-        F.max(~in_s).alias("r"),
-        F.max(in_s & idea).alias("si"),
-        F.max(~in_s & idea).alias("ri"),
-    )
+    def holds(bits: int) -> Column:
+        return F.count_if(F.col("sides").bitwiseAND(bits) == bits)
+
+    lemmas = units.groupBy(*key, "lemma").agg(F.bit_or("sides").alias("sides"))
     counts = lemmas.groupBy(*key).agg(
-        F.count_if("s").alias("_lemma_s"),
-        F.count_if("r").alias("_lemma_r"),
-        F.count_if(F.col("s") & F.col("r")).alias("_lemma_both"),
-        F.count_if("si").alias("_idea_s"),
-        F.count_if("ri").alias("_idea_r"),
-        F.count_if(F.col("si") & F.col("ri")).alias("_idea_both"),
+        holds(1).alias("_lemma_s"),
+        holds(2).alias("_lemma_r"),
+        holds(3).alias("_lemma_both"),
+        holds(4).alias("_idea_s"),
+        holds(8).alias("_idea_r"),
+        holds(12).alias("_idea_both"),
     )
     sums = [c for c in counts.columns if c not in key]
     joined = df.join(counts, key, "left").fillna(0, subset=sums)

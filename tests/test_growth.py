@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rubrica.operators import lookup
 from rubrica.plans import fixtures
 
 
@@ -21,3 +22,32 @@ def test_a_large_table_is_spread_by_its_bytes(spark, tmp_path, monkeypatch):
 def test_an_empty_table_is_spread_too(spark, tmp_path):
     spark.range(0).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     assert fixtures.spread_table(spark, str(tmp_path), "documents", "doc_id", ["doc_id"]).count() == 0
+
+
+def _large_lookup(spark):
+    """Ten keys with nine tenths of the rows, rare ones, unknown ones and nulls."""
+    n = F.col("id")
+    key = F.when(n % 10 != 0, F.concat(F.lit("common"), n % 10)).when(n % 50 != 0, F.concat(F.lit("rare"), n))
+    big = spark.range(20_000).select(n.alias("row"), key.alias("k"))
+    known = spark.range(15_000).select(F.concat(F.lit("rare"), "id").alias("k"), F.col("id").alias("v"))
+    return big, known.unionByName(spark.createDataFrame([(f"common{i}", -i) for i in range(8)], "k string, v long"))
+
+
+def test_frequent_keys_are_not_shuffled(spark):
+    big, small = _large_lookup(spark)
+    want = {r.row: (r.k, r.v) for r in big.join(small, "k", "left").collect()}
+    joined = lookup.lookup_join(big, small, ["k"], ["row"], small_fits=False)
+    got = joined.collect()
+    assert len(got) == 20_000 and {r.row: (r.k, r.v) for r in got} == want
+    counts = big.groupBy("k").agg(F.count("*").alias("_n"))
+    frequent = lookup._frequent(counts, small, ["k"])
+    assert {f"common{i}" for i in range(1, 10)} <= {r.k for r in frequent.collect()}
+
+
+def test_keys_that_are_all_rare_take_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT_KEYS", 5)
+    big, small = _large_lookup(spark)
+    counts = big.groupBy("k").agg(F.count("*").alias("_n"))
+    assert lookup._frequent(counts, small, ["k"]) is None
+    empty = big.limit(0)
+    assert lookup.lookup_join(empty, small, ["k"], ["row"], small_fits=False).collect() == []
