@@ -226,7 +226,10 @@ def python_embedder(load: Callable[[], Callable[[list[str]], object]], batch_siz
 
 
 def _similarity(pairs: DataFrame, texts: DataFrame, embedder: Embedder) -> DataFrame:
-    """Ids and ``sbert_similarity`` of distinct pairs; vectors are written, so that none is computed twice."""
+    """Ids and ``sbert_similarity`` of distinct pairs, stored: both are joined or measured more than once.
+
+    Vectors are written too, so that none is computed twice.
+    """
     vectors = materialize(embedder(texts), "vectors")
     fits = fits_broadcast(vectors)
     out = pairs.select(*PAIR_ID)
@@ -234,7 +237,7 @@ def _similarity(pairs: DataFrame, texts: DataFrame, embedder: Embedder) -> DataF
         named = vectors.select(F.col("id").alias(name), F.col("vector").alias(f"_{name}"))
         out = lookup_join(out, named, [name], spread_by=PAIR_ID, small_fits=fits)
     similarity = cosine(*(F.col(f"_{name}") for name in PAIR_ID))
-    return out.select(*PAIR_ID, similarity.alias("sbert_similarity"))
+    return materialize(out.select(*PAIR_ID, similarity.alias("sbert_similarity")), "similarity")
 
 
 def vector_similarity(pairs: DataFrame, embedder: Embedder) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rubrica.operators import lookup
+from rubrica.operators import features, lookup
 from rubrica.plans import fixtures
 
 
@@ -51,3 +51,13 @@ def test_keys_that_are_all_rare_take_the_shuffle(spark, monkeypatch):
     assert lookup._frequent(counts, small, ["k"]) is None
     empty = big.limit(0)
     assert lookup.lookup_join(empty, small, ["k"], ["row"], small_fits=False).collect() == []
+
+
+def test_similarity_is_stored_before_it_is_measured_and_joined(spark, monkeypatch):
+    kept = []
+    store = features.materialize
+    monkeypatch.setattr(features, "materialize", lambda df, name: kept.append(name) or store(df, name))
+    pairs = spark.createDataFrame([("a b", "a c"), ("a b", "d"), ("e", "e")], ", ".join(f"{c} string" for c in features.PAIR))
+    rows = features.vector_similarity(pairs, features.hashed_embedder()).collect()
+    assert kept.count("similarity") == 1
+    assert {(r.clean_stimulus, r.clean_response): r.sbert_similarity for r in rows}[("a b", "a c")] == 0.5
