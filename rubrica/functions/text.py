@@ -6,11 +6,12 @@ a word character is a letter, a number or ``_``; white space includes U+001C to
 
 from __future__ import annotations
 
+import operator
 import re
 import string
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +73,16 @@ def remove_restarts(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){_NOT_AFTER_WORD}[{WORD}]+-[{SPACE}]+{_BEFORE_WORD}", "")
 
 
+def _may_hold(text: Column, words: tuple[str, ...]) -> Column:
+    """False only where no word can occur: none of their first characters does, in either case."""
+    first = {w[0] for w in words}
+    # These have further case variants, and so may letters beyond ASCII.
+    if any(ch in "iksIKS" or (not ch.isascii() and ch.isalpha()) for ch in first):
+        return F.lit(True)
+    variants = sorted({v for ch in first for v in (ch.lower(), ch.upper())})
+    return reduce(operator.or_, [text.contains(v) for v in variants], F.lit(False))
+
+
 def remove_stutters(c: Column) -> Column:
     """``m- muy`` becomes ``muy``.  After :func:`remove_restarts` there is nothing left to match."""
     return F.regexp_replace(c, rf"(?U){_NOT_AFTER_WORD}[{WORD}]-[{SPACE}]+{_BEFORE_WORD}", "")
@@ -163,10 +174,14 @@ def clean_text(c: Column, cfg: CleanConfig = CleanConfig()) -> Column:
     out = coerce_text(c)
     if cfg.lowercase:
         out = F.lower(out)
-    out = remove_noise_tags(out, cfg.noise_tags)
-    out = remove_gibberish(out, cfg.gibberish_markers)
-    # Stutters are the one-letter case of restarts, so one pass does both.
-    out = bind(out, lambda t: F.when(t.contains("-"), remove_restarts(t)).otherwise(t))
+
+    def without_noise(text: Column) -> Column:
+        # Stutters are the one-letter case of restarts, so one pass does both.
+        quiet = remove_gibberish(remove_noise_tags(text, cfg.noise_tags), cfg.gibberish_markers)
+        suspect = _may_hold(text, (*cfg.noise_tags, *cfg.gibberish_markers, "-"))
+        return F.when(suspect, remove_restarts(quiet)).otherwise(text)
+
+    out = bind(out, without_noise)
     if cfg.remove_punctuation:
         # Punctuation becomes a space and spaces are folded: one pass for both rules.
         out = F.regexp_replace(out, rf"[^{WORD}]+", " ")

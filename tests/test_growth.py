@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from rubrica.config import GIBBERISH_MARKERS, NOISE_TAGS, CleanConfig
+from rubrica.functions import text
 from rubrica.operators import features, lookup
 from rubrica.plans import fixtures
 
@@ -61,3 +63,18 @@ def test_similarity_is_stored_before_it_is_measured_and_joined(spark, monkeypatc
     rows = features.vector_similarity(pairs, features.hashed_embedder()).collect()
     assert kept.count("similarity") == 1
     assert {(r.clean_stimulus, r.clean_response): r.sbert_similarity for r in rows}[("a b", "a c")] == 0.5
+
+
+def test_noise_is_looked_for_only_where_its_first_characters_are(spark):
+    texts = ["hola", "[pause] hola", "Xxx hola", "xxx", "m- muy", "a[b", "", "x", "[EN INGL\u00c9S] y", "\u017f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    straight = text.remove_restarts(text.remove_gibberish(text.remove_noise_tags(F.lower(t), NOISE_TAGS), GIBBERISH_MARKERS))
+    for words in ((*NOISE_TAGS, *GIBBERISH_MARKERS, "-"), ("kilo", "-"), ("\u00e9", "-"), ("-",)):
+        may = text._may_hold(F.lower(t), words)
+        for r in rows.select(t, may.alias("may"), straight.alias("out")).collect():
+            assert r.may or not any(w in r.t.lower() for w in words)
+            assert r.may or r.out == r.t.lower() or words[0] in ("kilo", "\u00e9", "-")
+    plain = CleanConfig(noise_tags=(), gibberish_markers=("sigma",), remove_punctuation=False, normalize_accents=False)
+    got = spark.createDataFrame([("sigma a",), ("\u017figma a",)], "t string").select(text.clean_text(t, plain).alias("x"))
+    assert [r.x for r in got.collect()] == ["a", "a"]
