@@ -122,7 +122,7 @@ def sheet_cache_refresh(spark, sf):
     """A cached load after a third of the sheets got other scores and a third was deleted."""
     folder = scratch_path(spark, "sheets")
     cfg = IngestConfig(cache_dir=scratch_path(spark, "cache"))
-    rows = materialize(fixtures.sheet_rows(spark, sf), "sheet-rows")
+    rows = fixtures.sheet_rows(spark, sf)  # a part only takes the documents of its sheets
     for part, headers in enumerate(HEADERS):
         _as_files(rows, folder, part, headers)
     sheets.load_role(spark, f"{folder}/*", "tuning", cfg)

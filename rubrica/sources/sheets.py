@@ -11,6 +11,7 @@ import csv
 import hashlib
 import io
 import logging
+import operator
 import os
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -66,7 +67,7 @@ PAIR_SCHEMA = T.StructType(
         T.StructField("human_score", T.DoubleType()),
     ]
 )
-# Column that names the file of a row while sheets are read.
+# Column that names the file of a row while sheets are read: its address, as Spark's readers spell it.
 SOURCE = "_source"
 REPORT_SCHEMA = T.StructType(
     [
@@ -90,7 +91,8 @@ Codec = Callable[[str, bytes], dict[str, pd.DataFrame]]
 
 
 def is_ignored_sheet(sheet_name: Column) -> Column:
-    return strip(F.lower(sheet_name)).rlike("|".join(IGNORED_SHEETS))
+    name = F.lower(sheet_name)
+    return reduce(operator.or_, [name.contains(token) for token in IGNORED_SHEETS])
 
 
 def participant_id(sheet_name: Column) -> Column:
@@ -169,10 +171,24 @@ def _named(file: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.[^.]*$", "")
 
 
+def _address() -> Column:
+    return F.col("_metadata.file_path").alias(SOURCE)
+
+
+def _path(address: Column) -> Column:
+    """A file as the listing of files spells it, from its encoded address."""
+    return sheet_cache.plain_path(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))))
+
+
 def _file() -> Column:
-    """The file of a row, as the listing of files spells it (the metadata column has it as an encoded address)."""
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return sheet_cache.plain_path(F.url_decode(encoded))
+    """The file of a row, as the listing of files spells it."""
+    return _path(F.col("_metadata.file_path"))
+
+
+def sheet_files(rows: DataFrame) -> DataFrame:
+    """(sheet_name, path) of the files that rows with their source come from; paths are worked out once per file and
+    sheet, not once per row."""
+    return rows.select("sheet_name", SOURCE).distinct().select("sheet_name", _path(F.col(SOURCE)).alias("path"))
 
 
 def _by_head(files: list[str], head: Callable[[str], tuple | None]) -> dict[tuple, list[str]]:
@@ -205,7 +221,7 @@ def _read_csv(spark: SparkSession, cells: tuple[str, ...], files: list[str], mul
     within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     block = F.shiftright(F.col("_metadata.file_block_start"), 20)
     return read.csv(files).select(
-        "*", _file().alias("file"), (F.shiftleft(block, 33) + within).alias("row_ordinal")
+        "*", _file().alias("file"), _address(), (F.shiftleft(block, 33) + within).alias("row_ordinal")
     )
 
 
@@ -227,7 +243,7 @@ def _csv_rows(spark: SparkSession, files: list[str], multi_line: bool) -> list[D
             for f in ("stimulus", "transcription", "human_score")
         ]
         place_of = [F.lit(0).alias("sheet_ordinal"), _named(F.col("file")).alias("sheet_name"), "row_ordinal"]
-        rows = read.select(*place_of, *texts, F.col("file").alias(SOURCE))
+        rows = read.select(*place_of, *texts, SOURCE)
         tables.append(rows.filter(~is_ignored_sheet(F.col("sheet_name"))))
     return tables
 
@@ -251,7 +267,7 @@ def _parquet_rows(spark: SparkSession, groups: list[list[str]]) -> list[DataFram
         own = [] if _has_sheet_column(table) else ["_metadata.row_index"]
         table = table.select(
             "*",
-            _file().alias(SOURCE),
+            _address(),
             *(F.col(c).alias("row_ordinal") for c in own),
             *(_named(_file()).alias("sheet_name") for _ in own),
         )
@@ -263,7 +279,7 @@ def _parquet_rows(spark: SparkSession, groups: list[list[str]]) -> list[DataFram
 
 def _check_tables(tables: list[DataFrame], files: list[str]) -> None:
     """A sheet named by a column may not also be a file, nor come from two tables."""
-    sheets = reduce(DataFrame.unionByName, [t.select("sheet_name", F.col(SOURCE).alias("path")) for t in tables])
+    sheets = reduce(DataFrame.unionByName, [sheet_files(t) for t in tables])
     named = sheets.sparkSession.createDataFrame([(f,) for f in files], "path string")
     named = named.select(_named(F.col("path")).alias("sheet_name"), "path")
     units = sheets.unionByName(named).groupBy("sheet_name").agg(F.countDistinct(sheet_cache.unit()).alias("n"))
@@ -312,7 +328,7 @@ def _sheet_rows(name: str, ordinal: int, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _workbooks(spark: SparkSession, files: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(files).select("path", "content")
+    return spark.read.format("binaryFile").load(files).select("path", "content", _address())
 
 
 def read_sheets(
@@ -353,16 +369,18 @@ def rows_with_source(
     skip_unreadable: bool = False,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Sheet rows with the file of each."""
+    """Sheet rows with the address of the file of each; see :func:`sheet_files`."""
     texts, tables, books = ([], [], files) if codec else _split_by_kind(files)
     schemas = sorted(_parquet_schemas(spark, tables).items())
     named = [f for names, group in schemas if not any(n.startswith("`sheet_name` ") for n in names) for f in group]
     _check_names([*texts, *named])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for path, ordinal, name, frame in _sheets_in(batches, codec or workbook_codec, skip_unreadable):
-            if _status(name, frame) == "read":
-                yield _sheet_rows(name, ordinal, frame).assign(**{SOURCE: path})
+        for batch in batches:
+            address = dict(zip(batch["path"], batch[SOURCE]))
+            for path, ordinal, name, frame in _sheets_in(iter([batch]), codec or workbook_codec, skip_unreadable):
+                if _status(name, frame) == "read":
+                    yield _sheet_rows(name, ordinal, frame).assign(**{SOURCE: address[path]})
 
     parts = _csv_rows(spark, texts, multi_line) if texts else []
     columnar = _parquet_rows(spark, [group for _, group in schemas])
@@ -496,14 +514,19 @@ def load_pairs(rows: DataFrame, role: str, cfg: IngestConfig = IngestConfig()) -
 
 
 def _copies(rows: DataFrame, role: str, cfg: IngestConfig) -> DataFrame:
-    """A row per (copy key, drop reason): what both the pairs and the report are made of."""
-    return flag_rows(rows, role, cfg).groupBy(*DEDUP_KEY, "drop_reason").agg(
+    """A row per (copy key, drop reason): what both the pairs and the report are made of.
+
+    The participant follows from the sheet, so it is no part of the key and is added to the groups.
+    """
+    key = [c for c in DEDUP_KEY if c != "participant_id"]
+    groups = flag_rows(rows, role, cfg).groupBy(*key, "drop_reason").agg(
         F.min("sheet_ordinal").alias("sheet_ordinal"),
         F.count("*").alias("n"),
         F.count_if(F.col("human_score").isNull()).alias("invalid"),
         F.min_by("human_score", "row_ordinal").alias("human_score"),
         F.min("row_ordinal").alias("row_ordinal"),
     )
+    return groups.withColumn("participant_id", participant_id(F.col("sheet_name")))
 
 
 def _report(groups: DataFrame, role: str) -> DataFrame:
@@ -607,8 +630,10 @@ def load_role_with_report(
         return load_with_report(_usable(rows, path, role), role, cfg)
 
     def tables_of(files: list[str], others_kept: bool) -> tuple[dict[str, DataFrame], DataFrame]:
-        rows = materialize(rows_with_source(spark, files, codec, cfg.skip_unreadable), "sheet-rows")
-        sheets = rows.select("sheet_name", F.col(SOURCE).alias("path")).distinct()
+        rows = rows_with_source(spark, files, codec, cfg.skip_unreadable)
+        if codec or any(not f.lower().endswith(".parquet") for f in files):
+            rows = materialize(rows, "sheet-rows")  # parsed once; Parquet files are read for their columns
+        sheets = sheet_files(rows)
         pairs, report = load_with_report(rows if others_kept else _usable(rows, path, role), role, cfg)
         return {"pairs": pairs, "report": report}, sheets
 

@@ -359,3 +359,26 @@ def test_cached_sheet_is_found_by_pushed_filters(spark, tmp_path, plan_of):
     assert {(r.sheet_name, r.stimulus) for r in got.collect()} == {("1", "1"), ("001", "001"), ("P1", "P1")}
     one_sheet = got.filter(F.col("sheet_name") == "P1")
     assert one_sheet.count() == 1 and "EqualTo(sheet_name,P1)" in plan_of(one_sheet)
+
+
+def test_paths_are_worked_out_per_file_and_sheet(spark, tmp_path, plan_of):
+    folder = tmp_path / "a +b%20c"
+    columns = "sheet_name string, row_ordinal long, stimulus string, response string, score string"
+    rows = [("P1", i, f"s{i}", "r", "2") for i in range(3)] + [("P2", 0, "s", "r", "1")]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(folder / "table"))
+    write_csv(folder, "P3 x+y", pd.DataFrame({"stimulus": ["a", "b"], "response": ["r", "r"], "score": [2, 3]}))
+    files = sheets._files(spark, str(folder / "table"), False) + [f"file:{folder}/P3 x+y.csv"]
+    table = sheets.rows_with_source(spark, files[:1])
+    assert "decode" not in plan_of(table)
+    found = [tuple(r) for r in sheets.sheet_files(sheets.rows_with_source(spark, files)).collect()]
+    assert sorted(found) == [("P1", files[0]), ("P2", files[0]), ("P3 x+y", files[1])]
+    codec = lambda path, content: {os.path.basename(path): pd.DataFrame({"stimulus": ["a"], "response": ["r"]})}
+    book = sheets.sheet_files(sheets.rows_with_source(spark, files[1:], codec))
+    assert [tuple(r) for r in book.collect()] == [("P3 x+y.csv", files[1])]
+
+
+def test_the_participant_is_no_part_of_the_shuffle(spark, plan_of):
+    rows = spark.createDataFrame([("P1", 0, i, "s", "r", "2") for i in range(2)], "sheet_name string, sheet_ordinal int, row_ordinal long, stimulus string, transcription string, human_score string")
+    groups = sheets._copies(rows, "tuning", IngestConfig())
+    exchange = next(line for line in plan_of(groups).splitlines() if "Exchange hashpartitioning" in line)
+    assert "participant_id" not in exchange and [(r.participant_id, r.n) for r in groups.collect()] == [("P1", 2)]
