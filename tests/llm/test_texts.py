@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from rubrica.llm import attribution, decontaminate, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup
 from rubrica.llm.textblocks import ALNUM, range_hashes, range_sums, word_bounds
@@ -355,6 +356,61 @@ def test_pairs_side_by_side():
     assert line_dedup.similar_pairs(["x" * 2200], ["x" * 2199 + "y"]).all()
 
 
+def test_sketches_never_part_similar_lines():
+    random.seed(7)
+    lines = []
+    for n in (1, 5, 40, 64, 65, 90, 200, 330, 700, 1500):
+        for letters in ("ab", "abcdefgh 𝄞é", "etaoin shrdlu"):
+            for share in (0.05, 0.15, 0.2, 0.5):
+                a = "".join(random.choice(letters) for _ in range(n))
+                b = "".join(
+                    random.choice((c + "x", "", random.choice(letters))) if random.random() < share else c for c in a
+                )
+                lines += [(a, b, sum(x != y for x, y in zip(a, b))), ("é" + a, a[1:], 0)]
+    short, long = ([f(x[:2], key=len) for x in lines] for f in (min, max))
+    long = [y if x is not y else z[1] for x, y, z in zip(short, long, lines)]
+    sizes = [np.array([len(x) for x in texts]) for texts in (short, long)]
+    held, first = line_dedup.sketches(short + long)
+    gone = line_dedup.apart(held, first[: len(short)], first[len(short) :], *sizes)
+    # Several of each length, so that they are compared side by side.
+    many = np.tile(np.arange(len(short)), 40)
+    at, other = first[: len(short)][many], first[len(short) :][many]
+    often = line_dedup.apart(held, at, other, sizes[0][many], sizes[1][many])[: len(short)]
+    distances = np.array([line_dedup.edit_distance(a, b) for a, b in zip(short, long)])
+    near = 5 * distances <= sizes[1]
+    assert near.any() and often.any() and not (gone & near).any() and not (often & near).any()
+
+
+def test_large_tile_gives_few_pairs_that_are_not_similar():
+    random.seed(8)
+    parts = ["que", "mente", "ción", "de ", "los ", "ar ", "es", "la ", "adora ", "tu", "osa ", "in", "fi ", "bre", "ru "]
+    weights = [6, 6, 6, 6, 4, 4, *[3] * 9]
+    lines = ["".join(random.choices(parts, weights, k=random.randint(90, 110))) for _ in range(300)]
+    lines += [x.replace("mente", "mento", 1) + "s" for x in lines[:20]]
+    data = [x.encode() for x in lines]
+    ends = np.cumsum([len(x) for x in data])
+    sims = line_dedup.simhashes(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends)
+    sizes = np.array([len(x) for x in lines])
+    held, first = line_dedup.sketches(lines)
+    cuts = [*first.tolist(), len(held)]
+    columns = {
+        "tile": np.zeros(len(lines), np.int64),
+        "sim": sims[:, 0].view(np.int64),
+        "sim2": sims[:, 1].view(np.int64),
+        "size": sizes.astype(np.int32),
+        "id": np.arange(len(lines)),
+        "component": np.arange(len(lines)),
+        "sketch": pa.array([held[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()),
+    }
+    found = set()
+    for out in line_dedup._second_pass([pa.RecordBatch.from_pydict(columns)]):
+        found |= set(zip(*out.to_pydict().values()))
+    near = [(i, j) for x in line_dedup._all_pairs(sims.T, sizes) for i, j in zip(*(y.tolist() for y in x))]
+    similar = {(min(p), max(p)) for p in near if line_dedup.similar(lines[p[0]], lines[p[1]])}
+    assert len(similar) >= 15 and similar <= found
+    assert len(near) > 1000 and len(found) < len(near) / 10
+
+
 def test_lines_of_nothing(spark):
     docs = frame(spark, [])
     assert line_dedup.apply(docs, line_dedup.decide(docs)).isEmpty()
