@@ -411,6 +411,73 @@ def test_large_tile_gives_few_pairs_that_are_not_similar():
     assert len(near) > 1000 and len(found) < len(near) / 10
 
 
+def test_strings_at_other_places_make_no_pairs(spark):
+    random.seed(9)
+    rows = []
+    for k in range(30):
+        halves = ["".join(random.choices("abcdefgh ", k=100)).strip() for _ in range(2)]
+        rows += [(2 * k, " ".join(halves)), (2 * k + 1, " ".join(halves[::-1]))]
+    # Near lines whose strings come twice.
+    rows += [(100 + k, "once upon a time " * 5 + f"there was number {k}") for k in range(2)]
+    found = line_dedup._lines(line_dedup._texts(frame(spark, rows), "doc_id", "text"))
+    batch = found.withColumnRenamed("key", "id").select("id", "sim", "sim2", "size", "keys").toArrow().combine_chunks().to_batches()
+    tiles = pa.Table.from_batches(line_dedup._tabled(False)(batch)).sort_by([("tile", "ascending"), ("id", "ascending")])
+    pairs = pa.Table.from_batches(line_dedup._first_pass(tiles.combine_chunks().to_batches())).to_pylist()
+    assert {(x["a"], x["b"]) for x in pairs} == {(100, 101)}
+
+
+def test_tiles_of_all_sizes_in_batches_of_all_sizes():
+    random.seed(10)
+    rows = []
+    for tile in range(60):
+        bits = [random.getrandbits(63) for _ in range(2)]
+        for _ in range(random.choice((1, 2, 3, 8, line_dedup.SMALL_CELL, line_dedup.SMALL_CELL + 1, 90))):
+            low, high = sorted(random.choice((0, 100, 140, 255)) for _ in range(2))
+            sims = [x ^ random.getrandbits(63) & random.getrandbits(63) & random.getrandbits(63) for x in bits]
+            rows.append((tile - 30 << 16 | low << 8 | high, *sims, random.randint(80, 110), len(rows)))
+    columns = [np.array(x) for x in zip(*rows)]
+    names = ["tile", "sim", "sim2", "size", "id"]
+    pairs, again = set(), {}
+    for x, y in ((x, y) for x in rows for y in rows if x[0] >> 16 == y[0] >> 16 and x[4] < y[4]):
+        size = max(x[3], y[3])
+        places = [[n * part / 255 for part in (tile >> 8 & 255, tile & 255)] for tile, *_, n, _ in (x, y)]
+        before = max(places[0][0] - places[1][1], places[1][0] - places[0][1], 0)
+        ends = [[n - place for place in own] for own, n in zip(places, (x[3], y[3]))]
+        behind = max(ends[0][1] - ends[1][0], ends[1][1] - ends[0][0], 0)
+        bits = (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+        if bits <= line_dedup.DISTANCE and 5 * max(before + behind, abs(x[3] - y[3])) <= size + 1e-9:
+            pairs.add((x[4], y[4]))
+    counts = np.unique(columns[0] >> 16, return_counts=True)
+    small = {t for t, n in zip(*counts) if n <= line_dedup.SMALL_CELL}
+    want = {(a, b) for a, b in pairs if rows[a][0] >> 16 in small}
+    for step in (1, 7, 100, len(rows)):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], names=names)
+            for at in range(0, len(rows), step)
+        ]
+        found = pa.Table.from_batches(line_dedup._first_pass(batches)).to_pylist()
+        again = {x["a"]: x["tile"] for x in found if x["b"] is None}
+        assert again == {i: r[0] for i, r in enumerate(rows) if r[0] >> 16 not in small}
+        made = {(x["a"], x["b"]) for x in found if x["b"] is not None}
+        assert want and {(a, b) for a, b in made if rows[a][0] >> 16 in small} == want and made <= pairs
+
+
+def test_distances_near_the_diagonal():
+    random.seed(11)
+    pairs = []
+    for n in (65, 100, 130, 200, 300):
+        for share in (0.02, 0.1, 0.2, 0.6):
+            a = "".join(random.choice("abcdé") for _ in range(n))
+            pairs.append((a, "".join(random.choice((c + "x", "", "y")) if random.random() < share else c for c in a)))
+    words = max(-(-len(a) // 64) for a, _ in pairs)
+    short, long = zip(*(sorted(p, key=len) for p in pairs))
+    want = np.array([brute.edit_distance(*p) for p in pairs])
+    shift = max(len(y) - len(x) for x, y in zip(short, long))
+    for reach in (shift, shift + 10, shift + 64, 500):
+        found = line_dedup._distances(list(short), list(long), words, reach)[0]
+        assert (found >= want).all() and (found == want)[want <= reach].all()
+
+
 def test_lines_of_nothing(spark):
     docs = frame(spark, [])
     assert line_dedup.apply(docs, line_dedup.decide(docs)).isEmpty()
