@@ -1,7 +1,8 @@
 """Features of unresolved pairs: lexical overlap, vector similarity, pair-model margin.
 
 Models are functions from DataFrame to DataFrame, so a JVM expression, a Spark ML stage or a
-Python model behind ``mapInPandas`` all fit the same slot.  They see each distinct text or pair once; results are joined by
+Python model behind ``mapInPandas`` all fit the same slot.  They see each distinct pair and, unless they work row by row in the
+JVM, each distinct text once; results are joined by
 the 128-bit digests of the texts, so texts move once to become distinct, and never as join keys.
 """
 
@@ -184,16 +185,28 @@ def lexical_features(
 # --- vectors ------------------------------------------------------------------------------
 
 
-def hashed_embedder(width: int = 256) -> Embedder:
-    """Deterministic unit vectors of hashed words: a stand-in that needs no model file."""
+@dataclass(frozen=True)
+class RowEmbedder:
+    """Unit vectors of hashed words, row by row in the JVM: an embedder of texts that also works beside other columns."""
 
-    def embed(texts: DataFrame) -> DataFrame:
-        split = texts.withColumn("_words", F.split("text", " "))
-        hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width).transform(split)
-        unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
-        return unit.select("id", vector_to_array("_unit", "float32").alias("vector"))
+    width: int
 
-    return embed
+    def __call__(self, texts: DataFrame) -> DataFrame:
+        return self.beside(texts, {"text": "vector"}).select("id", "vector")
+
+    def beside(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        """``df`` with the vectors of its text columns, under the names given for them."""
+        for text, vector in names.items():
+            split = df.withColumn("_words", F.split(text, " "))
+            hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.width).transform(split)
+            unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
+            df = unit.withColumn(vector, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+        return df
+
+
+def hashed_embedder(width: int = 256) -> Embedder:
+    """Deterministic unit vectors of hashed words: a stand-in that needs no model file."""
+    return RowEmbedder(width)
 
 
 # Rows that one task runs through a model.
@@ -228,14 +241,18 @@ def python_embedder(load: Callable[[], Callable[[list[str]], object]], batch_siz
 def _similarity(pairs: DataFrame, texts: DataFrame, embedder: Embedder) -> DataFrame:
     """Ids and ``sbert_similarity`` of distinct pairs, stored: both are joined or measured more than once.
 
-    Vectors are written too, so that none is computed twice.
+    Vectors are written too, so that none is computed twice; but those of hashed words take less time to compute for
+    each pair than to write, shuffle and join.
     """
-    vectors = materialize(embedder(texts), "vectors")
-    fits = fits_broadcast(vectors)
-    out = pairs.select(*PAIR_ID)
-    for name in PAIR_ID:
-        named = vectors.select(F.col("id").alias(name), F.col("vector").alias(f"_{name}"))
-        out = lookup_join(out, named, [name], spread_by=PAIR_ID, small_fits=fits)
+    if isinstance(embedder, RowEmbedder):
+        out = embedder.beside(pairs.select(*PAIR_ID, *PAIR), {side: f"_{name}" for side, name in zip(PAIR, PAIR_ID)})
+    else:
+        vectors = materialize(embedder(texts), "vectors")
+        fits = fits_broadcast(vectors)
+        out = pairs.select(*PAIR_ID)
+        for name in PAIR_ID:
+            named = vectors.select(F.col("id").alias(name), F.col("vector").alias(f"_{name}"))
+            out = lookup_join(out, named, [name], spread_by=PAIR_ID, small_fits=fits)
     similarity = cosine(*(F.col(f"_{name}") for name in PAIR_ID))
     return materialize(out.select(*PAIR_ID, similarity.alias("sbert_similarity")), "similarity")
 

@@ -185,6 +185,9 @@ def fit_ordinal(df: DataFrame, label: str = "human_score", cfg: OrdinalConfig =
         raise ValueError("training needs at least two classes")
     n = sum(sizes.values())
 
+    # Every step of the logistic fits reads all rows; equal ones are one row with their number.  A forest draws rows.
+    if cfg.model_type != "random_forest":
+        table = table.groupBy(*cfg.features, "_label").agg(F.sum("n").alias("n"))
     # Read once per step, so a small table is kept in few tasks; stored, so that a lost executor costs no recomputation.
     train = materialize(table.repartition(max(1, n // ROWS_PER_TASK)), "training-rows")
     if cfg.model_type == "random_forest":

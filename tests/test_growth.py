@@ -65,6 +65,19 @@ def test_similarity_is_stored_before_it_is_measured_and_joined(spark, monkeypatc
     assert {(r.clean_stimulus, r.clean_response): r.sbert_similarity for r in rows}[("a b", "a c")] == 0.5
 
 
+def test_vectors_of_hashed_words_are_not_moved(spark, monkeypatch):
+    kept = []
+    store = features.materialize
+    monkeypatch.setattr(features, "materialize", lambda df, name: kept.append(name) or store(df, name))
+    texts = ["a b", "a c c", "d", "a b d e", ""]
+    pairs = spark.createDataFrame([(x, y) for x in texts for y in texts], ", ".join(f"{c} string" for c in features.PAIR))
+    embedder = features.hashed_embedder()
+    beside = features.vector_similarity(pairs, embedder).collect()
+    assert "vectors" not in kept
+    joined = features.vector_similarity(pairs, lambda texts: embedder(texts)).collect()
+    assert "vectors" in kept and sorted(beside) == sorted(joined) and len(beside) == len(texts) ** 2
+
+
 def test_noise_is_looked_for_only_where_its_first_characters_are(spark):
     texts = ["hola", "[pause] hola", "Xxx hola", "xxx", "m- muy", "a[b", "", "x", "[EN INGL\u00c9S] y", "\u017f"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -76,6 +76,18 @@ def test_one_scan_per_step(spark, plan_of):
     assert plan.count("Scan") == 1 and plan.count("Exchange") == 1 and "Python" not in plan
 
 
+def test_equal_rows_are_one_row_of_each_step(spark, monkeypatch):
+    df, rows = data(spark)
+    stored, store = [], ordinal.materialize
+    monkeypatch.setattr(ordinal, "materialize", lambda df, name: stored.append(store(df, name)) or stored[-1])
+    once, many = (ordinal.fit_ordinal(x, cfg=OrdinalConfig(lr_c=c)) for x, c in ((df, 1.0), (df.union(df).union(df), 1 / 3)))
+    assert stored[0].count() == stored[1].count()
+    assert [x.agg(F.sum("n")).first()[0] for x in stored] == [len(rows), 3 * len(rows)]
+    for a, b in zip(once.binary, many.binary):
+        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=1e-9)
+        assert abs(a.intercept - b.intercept) < 1e-9
+
+
 def test_gated_rows_collapse_to_counts(spark):
     df, rows = data(spark)
     table = ordinal.training_table(df, "human_score", OrdinalConfig())
